@@ -24,13 +24,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.session import shuffle_partitions
+from ledgerlens.session import ensure_checkpoint_dir, shuffle_partitions
+
+
+# Largest input (rows) ranked by the built-in single-partition window under
+# method="auto": one task sorts this many narrow rows in about a second.
+SINGLE_TASK_ROWS = 1_000_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return num_partitions or shuffle_partitions(df.sparkSession)
 
 
+def resolve_method(df: DataFrame, method: str, max_single_task_rows: int = SINGLE_TASK_ROWS) -> tuple[DataFrame, str]:
+    """Pick ``"window"`` or ``"range"`` for ``method="auto"`` from a measured row count.
+
+    The input is checkpointed to the session's reliable checkpoint dir first
+    (it is one row per entity, far smaller than the fact table), so the count
+    and the ranking read the same materialised rows and lineage is cut. The
+    single-task window is used only when the count proves the input small.
+    """
+    if method != "auto":
+        return df, method
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    n = df.count()
+    return df, ("window" if n <= max_single_task_rows else "range")
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                       num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)``; ``order`` must be a total order.
@@ -72,8 +93,10 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str,
     """``NTILE(n) OVER (ORDER BY order)``; ``order`` must be total (append a unique key).
 
     ``method="range"`` is the distributed form; ``method="window"`` uses the
-    built-in single-partition window (only for small inputs).
+    built-in single-partition window (only for small inputs); ``"auto"``
+    measures the input first (:func:`resolve_method`).
     """
+    df, method = resolve_method(df, method)
     if method == "window":
         return df.withColumn(name, F.ntile(n).over(Window.orderBy(*order)))
     rn = global_row_number(df, order, "_rn", num_partitions, total_name="_n")
@@ -89,6 +112,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], keys: Sequence[str], tai
     group's rank is its smallest row number (one aggregate on the keys, joined
     back; a huge tie group is a skewed join key that AQE splits).
     """
+    df, method = resolve_method(df, method)
     if method == "window":
         return df.withColumn(name, F.rank().over(Window.orderBy(*order)))
     numbered = global_row_number(df, [*order, *tail], "_rn", num_partitions)

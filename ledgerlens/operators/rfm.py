@@ -34,13 +34,16 @@ def rfm_base(txn: DataFrame, keys: Sequence[str] = ("cc_num",), as_of=None,
 
 
 def rfm_score(base: DataFrame, tiles: int = 4, tie: Sequence[str] = ("cc_num",),
-              method: str = "range", num_partitions: int | None = None) -> DataFrame:
+              method: str = "auto", num_partitions: int | None = None) -> DataFrame:
     """Quartile scores: recency (most recent = highest), frequency and monetary (ascending).
 
     Each NTILE order ends in the ``tie`` columns so equal values split
     deterministically across tile edges. ``method="range"`` runs the
-    distributed NTILE; ``"window"`` the single-partition built-in.
+    distributed NTILE; ``"window"`` the single-partition built-in; ``"auto"``
+    checkpoints and counts the entities once and picks for all three scores.
     """
+    from ledgerlens.operators.ranking import resolve_method
+    base, method = resolve_method(base, method)
     tail = [F.col(c).asc() for c in tie]
     scored = global_ntile(base, tiles, [F.col("recency_days").desc(), *tail], "r_score", num_partitions, method)
     scored = global_ntile(scored, tiles, [F.col("frequency").asc(), *tail], "f_score", num_partitions, method)

@@ -14,9 +14,9 @@ from ledgerlens.operators.series import (
 RFM_KEYS = ("cc_num", "customer_name", "gender", "age", "job")
 
 
-def rfm_segments(txn: DataFrame, method: str = "range") -> DataFrame:
+def rfm_segments(txn: DataFrame, method: str = "auto") -> DataFrame:
     """1a: cardholders, mean spend, recency, frequency and revenue share per sub-segment."""
-    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS), method=method))
+    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS), tie=RFM_KEYS, method=method))
     grouped = (scored.groupBy("sub_segment", "recommended_action")
                      .agg(F.count(F.lit(1)).alias("cardholders"),
                           ratio(F.sum("monetary"), F.count("monetary"), 2).alias("avg_2yr_spend"),
@@ -72,7 +72,7 @@ def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019) ->
                   .withColumn("trend_label", trend_label("rolling_3m_avg", "prev_rolling_avg")))
 
 
-def rolling_spend_decline(txn: DataFrame, method: str = "range") -> DataFrame:
+def rolling_spend_decline(txn: DataFrame, method: str = "auto") -> DataFrame:
     """1d: cards declining in the latest month, ranked (urgent first, then larger rolling mean)."""
     trend = card_month_trend(txn)
     latest = trend.agg(F.max("month_seq").alias("_last"))

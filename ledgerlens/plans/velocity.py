@@ -57,7 +57,7 @@ def amount_band_rate(txn: DataFrame) -> DataFrame:
             .orderBy("band"))
 
 
-def segment_fraud_exposure(txn: DataFrame, method: str = "range") -> DataFrame:
+def segment_fraud_exposure(txn: DataFrame, method: str = "auto") -> DataFrame:
     """4d: per RFM segment (card-level scoring), cards hit by fraud and fraud loss."""
     scored = with_segments(rfm_score(rfm_base(txn, ["cc_num"]), method=method), sub_segments=False)
     card_fraud = (txn.where(F.col("is_fraud") == 1)
