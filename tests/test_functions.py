@@ -1,0 +1,88 @@
+"""Column-level rules: bands, calendar, distance, exact ratios, risk flag."""
+
+import datetime as dt
+import math
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import (
+    age_at, amount_band, band, city_size_band, confidence_label, distance_band, great_circle_km, pct,
+    ratio, risk_flag, seconds_between,
+)
+from ledgerlens.functions.bands import AGE_LABELS, age_band
+
+
+def _one(spark, col, data, schema):
+    return [r[0] for r in spark.createDataFrame(data, schema).select(col).collect()]
+
+
+def test_band_half_open_and_null_last(spark):
+    got = _one(spark, band("x", [10, 20], ["lo", "mid", "hi"]),
+               [(9.99,), (10.0,), (19.99,), (20.0,), (None,)], "x double")
+    assert got == ["lo", "mid", "mid", "hi", "hi"]
+
+
+def test_fixed_bands(spark):
+    assert _one(spark, distance_band("d"), [(29.999,), (30.0,), (99.9,), (100.0,)], "d double") == \
+        ["< 30 km (local)", "30-60 km", "60-100 km", "> 100 km (remote)"]
+    assert _one(spark, amount_band("a"), [(Decimal("9.99"),), (Decimal("500.00"),), (Decimal("1000.00"),)],
+                "a decimal(12,2)") == ["1: < $10", "5: $500-1000", "6: > $1000"]
+    assert _one(spark, city_size_band("p"), [(4999,), (5000,), (500000,), (None,)], "p long") == \
+        ["Rural (< 5K)", "Small town (5K-25K)", "Metro (500K+)", "Metro (500K+)"]
+
+
+def test_age_band_inclusive_integer_ranges(spark):
+    got = _one(spark, age_band("a"), [(24,), (25,), (39,), (40,), (54,), (55,), (69,), (70,), (None,)], "a int")
+    assert got == [AGE_LABELS[0], AGE_LABELS[1], AGE_LABELS[1], AGE_LABELS[2], AGE_LABELS[2],
+                   AGE_LABELS[3], AGE_LABELS[3], AGE_LABELS[4], AGE_LABELS[4]]
+
+
+def test_age_at_year_end_and_birthday_adjustment(spark):
+    data = [(dt.date(1990, 12, 31),), (dt.date(1990, 1, 1),), (dt.date(1990, 7, 1),)]
+    assert _one(spark, age_at("d", "2020-12-31"), data, "d date") == [30, 30, 30]
+    assert _one(spark, age_at("d", "2020-06-30"), data, "d date") == [29, 30, 29]
+
+
+def test_great_circle_matches_formula_and_never_nan(spark):
+    lat1, lon1, lat2, lon2 = 40.0, -75.0, 41.0, -74.0
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    want = 6371 * math.acos(math.cos(p1) * math.cos(p2) * math.cos(math.radians(lon2 - lon1))
+                            + math.sin(p1) * math.sin(p2))
+    got = _one(spark, great_circle_km("a", "b", "c", "d"),
+               [(lat1, lon1, lat2, lon2), (10.0, 20.0, 10.0, 20.0)], "a double, b double, c double, d double")
+    assert abs(got[0] - want) < 1e-6
+    # same point: the cosine rounds to about 1 (possibly above); clamped, so never NaN
+    assert not math.isnan(got[1]) and got[1] < 1e-3
+
+
+def test_seconds_between_counts_boundaries(spark):
+    data = [(dt.datetime(2020, 1, 1, 0, 0, 0, 900000), dt.datetime(2020, 1, 1, 0, 0, 1, 100000)),
+            (dt.datetime(2020, 1, 1, 0, 0, 0), dt.datetime(2020, 1, 2, 0, 0, 0))]
+    assert _one(spark, seconds_between("a", "b"), data, "a timestamp_ntz, b timestamp_ntz") == [1, 86400]
+
+
+def test_pct_is_exact_half_up(spark):
+    # 1/8 = 12.5% -> 13 at 0 digits; 1/3 -> 33.333; 2/3 -> 66.667; x/0 -> NULL
+    got = _one(spark, pct("k", "n", 0), [(1, 8)], "k long, n long")
+    assert got == [13.0]
+    got = _one(spark, pct("k", "n", 3), [(1, 3), (2, 3), (5, 0)], "k long, n long")
+    assert got == [33.333, 66.667, None]
+    # 1.005 exactly (decimal) rounds up, unlike binary floating point
+    assert _one(spark, ratio("a", "b", 2), [(Decimal("2.01"), 2)], "a decimal(12,2), b long") == [1.01]
+
+
+def test_confidence_and_risk_flag(spark):
+    assert _one(spark, confidence_label("n"), [(10000,), (9999,), (500,), (499,)], "n long") == \
+        ["High confidence", "Medium confidence", "Low confidence", "Indicative only"]
+    data = [(2, 200, Decimal("10000.01")), (2, 199, Decimal("10000.01")), (3, 200, Decimal("10000.00"))]
+    got = _one(spark, risk_flag("f", "n", "loss"), data, "f long, n long, loss decimal(22,2)")
+    assert got == ["", "ELEVATED RISK: rate > 1% AND loss > $10K", ""]  # exactly 1% is not above 1%
+
+
+def test_no_python_udfs_in_functions(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, d double")
+    plan = df.select(great_circle_km("a", "b", "c", "d"), band("a", [1], ["x", "y"]))._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert F is not None
