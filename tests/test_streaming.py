@@ -1,0 +1,40 @@
+"""The streaming hourly rules emit every closed hour exactly as the batch path does."""
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from ledgerlens.operators.alerts import absolute_rules, hourly_profile
+from ledgerlens.plans.preparation import prepare_transactions
+from ledgerlens.sources.fixtures import raw_from_driver_tables
+from ledgerlens.streaming import hourly_alert_stream, read_raw_stream
+
+COLS = ["cc_num", "trans_date", "txn_hour", "category", "txns_in_hour", "spend_in_hour", "fraud_in_hour",
+        "distinct_merchants", "inperson_txns", "rules_triggered"]
+
+
+def test_stream_matches_batch_for_closed_hours(spark):
+    raw = raw_from_driver_tables(spark, SF_SMALL)
+    src = tempfile.mkdtemp(prefix="ledgerlens-stream-src-")
+    months = [r[0] for r in raw.select(F.substring("trans_date_trans_time", 1, 7).alias("m"))
+              .distinct().orderBy("m").collect()]
+    for i, m in enumerate(months):  # one file per month, written in time order
+        raw.where(F.substring("trans_date_trans_time", 1, 7) == m).coalesce(1) \
+           .write.mode("overwrite").parquet(f"{src}/part={i:03d}")
+    stream = hourly_alert_stream(read_raw_stream(spark, f"{src}/*", max_files_per_trigger=4), watermark="2 hours")
+    q = (stream.writeStream.format("memory").queryName("hourly_alerts_test").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("hourly_alerts_test")
+
+    batch = absolute_rules(hourly_profile(prepare_transactions(raw))).where("rules_triggered > 0")
+    last = prepare_transactions(raw).agg(F.max("trans_ts")).first()[0]
+    closed = batch.withColumn("_end", F.make_timestamp_ntz(
+        F.year("trans_date"), F.month("trans_date"), F.dayofmonth("trans_date"), F.col("txn_hour"),
+        F.lit(0), F.lit(0)) + F.expr("INTERVAL 1 HOUR")).where(
+        F.col("_end") <= F.lit(last) - F.expr("INTERVAL 2 HOURS"))
+    a = got.select(*COLS)
+    b = closed.select(*COLS)
+    assert b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
