@@ -6,8 +6,6 @@ import datetime as _dt
 
 from pyspark.sql import Column, functions as F
 
-_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -50,8 +48,16 @@ def months_between_starts(a, b) -> Column:
 
 
 def epoch_second(ts) -> Column:
-    """Whole-second epoch of a TIMESTAMP_NTZ (floor; independent of session time zone)."""
-    return F.timestamp_diff("SECOND", F.expr(_EPOCH_NTZ), F.date_trunc("second", _c(ts)).cast("timestamp_ntz"))
+    """Whole-second count of a TIMESTAMP_NTZ wall-clock value since 1970-01-01 00:00:00.
+
+    Built from the wall-clock fields (day number, hour, minute, second), so it
+    never passes through a session-time-zone conversion: a daylight-saving
+    change in the session zone cannot shift it. Fractional seconds are dropped
+    (floor), which makes differences count second boundaries.
+    """
+    ts = _c(ts)
+    days = F.datediff(ts.cast("date"), F.lit(_dt.date(1970, 1, 1))).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def seconds_between(a, b) -> Column:

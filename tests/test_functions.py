@@ -62,6 +62,19 @@ def test_seconds_between_counts_boundaries(spark):
     assert _one(spark, seconds_between("a", "b"), data, "a timestamp_ntz, b timestamp_ntz") == [1, 86400]
 
 
+def test_seconds_between_ignores_session_time_zone(spark):
+    # 01:30 -> 03:30 on a spring-forward day is 2 wall-clock hours in every session zone
+    data = [(dt.datetime(2020, 3, 8, 1, 30), dt.datetime(2020, 3, 8, 3, 30)),
+            (dt.datetime(1969, 12, 31, 23, 59, 59, 500000), dt.datetime(1970, 1, 1, 0, 0, 0))]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = _one(spark, seconds_between("a", "b"), data, "a timestamp_ntz, b timestamp_ntz")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [7200, 1]
+
+
 def test_pct_is_exact_half_up(spark):
     # 1/8 = 12.5% -> 13 at 0 digits; 1/3 -> 33.333; 2/3 -> 66.667; x/0 -> NULL
     got = _one(spark, pct("k", "n", 0), [(1, 8)], "k long, n long")
