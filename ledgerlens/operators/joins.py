@@ -28,3 +28,63 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
     lb = left.withColumn("_bucket", F.explode(F.array(F.floor(l_sec / h), F.floor(l_sec / h) + 1)))
     rb = right.withColumn("_bucket", F.floor(r_sec / h))
     return lb.join(rb, [key, "_bucket"]).where(cond_between).drop("_bucket")
+
+
+def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, k: int,
+                            horizon_seconds: int = 24 * 3600, left_tie: str | None = None,
+                            num_partitions: int | None = None) -> DataFrame:
+    """For every right row, its (at most) ``k`` best left partners: same ``key``,
+    ``left_ts <= right_ts <= left_ts + horizon``, most recent ``left_ts`` first
+    (then smaller ``left_tie``).
+
+    Exact for any top-k (k' <= k) query ordered by the gap ``right_ts - left_ts``
+    (then key, left time, right time, ``left_tie``): a pair in the global top k
+    is among the first k pairs of its own right row. Never forms all pairs of a
+    key, so a hot key costs O(k) per right row and nothing is quadratic:
+
+    1. put both sides in one total order (key, time, left before right, then
+       larger tie first) and count, for every row, the left rows at or before
+       it (:func:`global_running_count`, no single-partition stage). A left
+       row's count is its sequence number ``s``; a right row's count ``c`` is
+       the sequence number of its latest possible partner;
+    2. its candidates are ``s`` in (c - k, c]: at most two blocks of k
+       consecutive left rows, so an equi join on (key, block) meets <= 2k left
+       rows per right row (a block holds k left rows, so no key is hot on the
+       left side; many right rows on one block are a skewed key AQE splits);
+    3. the exact key and time conditions filter the candidates.
+
+    First, left rows that cannot have any partner are dropped by a semi join
+    on (key, horizon bucket): a partner of a left row lies in its bucket or
+    the next one. Dropping non-partners keeps every right row's best partners
+    at the end of its candidate run, so the result is unchanged.
+    """
+    from ledgerlens.operators.ranking import global_running_count
+
+    h = F.lit(horizon_seconds)
+    right_buckets = (right.select(F.col(key), F.floor(epoch_second(right_ts) / h).alias("_b"))
+                          .select(F.col(key), F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"))
+                          .distinct())
+    left = (left.withColumn("_b", F.floor(epoch_second(left_ts) / h))
+                .join(right_buckets, [key, "_b"], "left_semi").drop("_b"))
+
+    tie_type = left.schema[left_tie].dataType if left_tie else "int"
+    lrows = left.select(*[F.col(c) for c in left.columns], F.lit(0).alias("_kind"), F.col(left_ts).alias("_t"),
+                        (F.col(left_tie) if left_tie else F.lit(None).cast("int")).alias("_tie"))
+    rrows = right.select(*[F.col(c) for c in right.columns], F.lit(1).alias("_kind"), F.col(right_ts).alias("_t"),
+                         F.lit(None).cast(tie_type).alias("_tie"))
+    both = lrows.unionByName(rrows, allowMissingColumns=True)
+    order = [F.col(key), F.col("_t"), F.col("_kind"), F.col("_tie").desc(),
+             *[F.col(c) for c in right.columns if c != key]]
+    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions)
+    lk = (counted.where(F.col("_kind") == 0)
+                 .select(*left.columns, F.col("_n").alias("_s"))
+                 .withColumn("_block", F.floor((F.col("_s") - 1) / k)))
+    rk = (counted.where((F.col("_kind") == 1) & (F.col("_n") > 0))
+                 .select(*right.columns, F.col("_n").alias("_c")))
+    blocks = F.array(F.floor(F.greatest(F.col("_c") - k, F.lit(0)) / k), F.floor((F.col("_c") - 1) / k))
+    rk = rk.withColumn("_block", F.explode(F.array_distinct(blocks)))
+    cond_between = F.col(right_ts).between(F.col(left_ts),
+                                           F.col(left_ts) + F.make_dt_interval(secs=F.lit(horizon_seconds)))
+    return (lk.join(rk, [key, "_block"])
+              .where((F.col("_s") > F.col("_c") - k) & (F.col("_s") <= F.col("_c")) & cond_between)
+              .drop("_block", "_s", "_c"))

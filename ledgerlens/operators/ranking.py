@@ -11,11 +11,12 @@ with one row per card at cluster scale. The distributed form here:
 3. count rows per partition (P numbers), turn them into exclusive prefix sums
    with a window over those P rows, and broadcast that P-row table back.
 
-The global row number is ``offset[partition] + local + 1``. Both uses of the
-partitioned rows read one shuffle (Spark reuses the range exchange), and the
-order must be total (callers append a unique tail key), so the numbering is
-deterministic and a re-run task reproduces it. The broadcast table is bounded
-by the partition count, not by the data.
+The global row number is ``offset[partition] + local + 1``. The tagged rows
+are checkpointed (reliable storage, lineage cut) before counting, so counts
+and numbers come from one materialisation even if Spark would evaluate the
+range exchange twice or re-run a task. The order should be total (callers
+append a unique tail key) for a deterministic numbering. The broadcast table
+is bounded by the partition count, not by the data.
 """
 
 from __future__ import annotations
@@ -60,10 +61,16 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     """
     p = _partitions(df, num_partitions)
     pid = F.spark_partition_id()
+    ensure_checkpoint_dir(df.sparkSession)
+    # Freeze (partition, position) as column values in the reliable checkpoint
+    # dir: range bounds come from sampling, and two evaluations of the range
+    # exchange (or a re-run after a lost executor) may draw different bounds.
+    # Counting and numbering then read the same stored rows.
     tagged = (df.repartitionByRange(p, *order)
                 .sortWithinPartitions(*order)
                 .withColumn("_pid", pid)
-                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
+                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
+                .checkpoint(eager=True))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -78,6 +85,36 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     return out.drop("_pid", "_local", "_offset", "_total")
 
 
+def global_running_count(df: DataFrame, order: Sequence[Column], flag: Column, name: str,
+                         num_partitions: int | None = None) -> DataFrame:
+    """For every row, how many rows with ``flag`` true come at or before it in ``order``
+    (a running count over the global order, e.g. of one kind of event).
+
+    Same range-partition / checkpoint / offset scheme as
+    :func:`global_row_number`; the in-partition running count is a window over
+    each (balanced) range partition, and the offsets of the preceding
+    partitions come from a broadcast table of P rows.
+    """
+    p = _partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = (df.withColumn("_w", F.when(flag, 1).otherwise(0))
+                .repartitionByRange(p, *order)
+                .sortWithinPartitions(*order)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_local", F.monotonically_increasing_id()
+                            - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+                .checkpoint(eager=True))
+    sums = tagged.groupBy("_pid").agg(F.sum("_w").alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"))
+    running = F.sum("_w").over(Window.partitionBy("_pid").orderBy("_local")
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (tagged.withColumn("_run", running)
+                  .join(F.broadcast(offsets), "_pid")
+                  .withColumn(name, (F.col("_offset") + F.col("_run")).cast("long"))
+                  .drop("_w", "_pid", "_local", "_offset", "_run"))
+
+
 def ntile_from_row_number(rn: Column, total: Column, n: int) -> Column:
     """NTILE(n) from a 1-based row number and the row count: the first ``total % n``
     tiles hold one row more than the others."""

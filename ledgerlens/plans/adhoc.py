@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions import dec, money, pct, pct_exact, risk_condition, seconds_between
-from ledgerlens.operators.joins import interval_join
+from ledgerlens.operators.joins import interval_join, nearest_preceding_pairs
 from ledgerlens.operators.rates import label_rate, top_k
 from ledgerlens.operators.series import previous_value
 
 
 def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int = 24, k: int = 50,
-                      bucketed: bool = True) -> DataFrame:
+                      method: str = "nearest") -> DataFrame:
     """A1: legit purchases over ``min_amount`` followed on the same card by a fraud
-    within ``horizon_hours`` (both ends inclusive); the k closest pairs."""
+    within ``horizon_hours`` (both ends inclusive); the k closest pairs.
+
+    ``method="nearest"`` (default) keeps, per fraud row, only its k most recent
+    qualifying purchases (:func:`nearest_preceding_pairs`), which is exact for
+    this top-k and never forms all pairs of a card. ``"all_pairs"`` forms every
+    pair with the time-bucketed interval join; it is the brute-force reference.
+    """
     large = (txn.where((F.col("is_fraud") == 0) & (F.col("amt") > min_amount))
                 .select("cc_num", F.col("trans_ts").alias("legit_txn_time"), F.col("amt").alias("legit_amt")))
     fraud = txn.where(F.col("is_fraud") == 1).select("cc_num", F.col("trans_ts").alias("fraud_txn_time"))
-    pairs = interval_join(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time",
-                          horizon_hours * 3600, bucketed=bucketed)
+    if method == "all_pairs":
+        pairs = interval_join(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", horizon_hours * 3600)
+    else:
+        pairs = nearest_preceding_pairs(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", k,
+                                        horizon_hours * 3600, left_tie="legit_amt")
     hours = F.round(seconds_between("legit_txn_time", "fraud_txn_time").cast("decimal(20,0)") / dec("3600.0"), 2)
     out = pairs.select(
         "cc_num", "legit_txn_time",

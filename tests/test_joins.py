@@ -38,3 +38,35 @@ def test_bucket_edges_counted_once(spark):
     a = interval_join(left, right, "k", "lt", "rt")
     b = interval_join(left, right, "k", "lt", "rt", bucketed=False)
     assert a.count() == b.count() == 3
+
+
+def test_nearest_pairs_top_k_equals_all_pairs(spark):
+    from conftest import make_txn
+    from ledgerlens.plans.adhoc import fraud_after_large
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(1500):
+        card = rnd.choice([1, 1, 1, 2, 3])  # card 1 is hot
+        ts = T0 + dt.timedelta(seconds=rnd.randrange(0, 5 * 86400, 600))  # coarse grid -> many ties
+        fraud = 1 if rnd.random() < 0.3 else 0
+        amt = rnd.choice(["501.00", "750.00", "499.99", "900.00"])
+        rows.append(dict(cc_num=card, trans_ts=ts, is_fraud=fraud, amt=amt))
+    txn = make_txn(spark, rows)
+    for k in (1, 5, 50):
+        a = fraud_after_large(txn, k=k, method="nearest")
+        b = fraud_after_large(txn, k=k, method="all_pairs")
+        assert a.count() == b.count() == k
+        assert a.exceptAll(b).count() == 0
+
+
+def test_nearest_pairs_bounded_per_right_row(spark):
+    from ledgerlens.operators.joins import nearest_preceding_pairs
+    from pyspark.sql import functions as F
+    left = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=i), i) for i in range(200)],
+                                 "k long, lt timestamp_ntz, v int")
+    right = spark.createDataFrame([(1, T0 + dt.timedelta(hours=5))] * 30, "k long, rt timestamp_ntz")
+    pairs = nearest_preceding_pairs(left, right, "k", "lt", "rt", 3)
+    per_right = pairs.groupBy("rt").count().collect()
+    assert pairs.count() == 30 * 3
+    assert pairs.agg(F.min("v")).first()[0] == 197  # the three most recent left rows
+    assert per_right
