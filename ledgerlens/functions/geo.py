@@ -13,13 +13,15 @@ def great_circle_km(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) ->
     clamp is what the original statement does; the lower one only guards acos).
     Pure built-ins: stays inside whole-stage codegen.
     """
-    p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
-    dl = F.radians(_c(lon2)) - F.radians(_c(lon1))
+    lat1, lon1, lat2, lon2 = (_c(x) for x in (lat1, lon1, lat2, lon2))
+    p1, p2 = F.radians(lat1), F.radians(lat2)
+    dl = F.radians(lon2) - F.radians(lon1)
     cosine = F.cos(p1) * F.cos(p2) * F.cos(dl) + F.sin(p1) * F.sin(p2)
-    clamped = (F.when(cosine > 1, F.lit(1.0))
-                .when(cosine < -1, F.lit(-1.0))
-                .otherwise(cosine))
-    return F.lit(radius) * F.acos(clamped)
+    # greatest/least evaluate the cosine once (a searched CASE would repeat the
+    # trig per branch); they skip NULLs, so NULL inputs are handled explicitly.
+    clamped = F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, F.lit(radius) * F.acos(clamped))
 
 
 def _c(x) -> Column:

@@ -99,3 +99,9 @@ def test_no_python_udfs_in_functions(spark):
         .executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F is not None
+
+
+def test_great_circle_null_input_gives_null(spark):
+    got = _one(spark, great_circle_km("a", "b", "c", "d"), [(None, 1.0, 2.0, 3.0)],
+               "a double, b double, c double, d double")
+    assert got == [None]
