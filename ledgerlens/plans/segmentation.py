@@ -75,7 +75,8 @@ def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019) ->
 def rolling_spend_decline(txn: DataFrame, method: str = "auto") -> DataFrame:
     """1d: cards declining in the latest month, ranked (urgent first, then larger rolling mean)."""
     trend = card_month_trend(txn)
-    latest = trend.agg(F.max("month_seq").alias("_last"))
+    # latest month of the whole table: a two-column scan, not a second pass over the trend windows
+    latest = txn.agg(F.max(month_index("trans_year", "trans_month")).alias("_last"))
     flagged = (trend.crossJoin(F.broadcast(latest))
                     .where((F.col("month_seq") == F.col("_last"))
                            & F.col("trend_label").isin(TREND_URGENT, TREND_WARNING))

@@ -84,3 +84,15 @@ def test_top_k_is_take_ordered(spark):
     from ledgerlens.plans.category import top_merchants
     df = top_merchants(transactions_from_driver_tables(spark, SF_SMALL))
     assert "TakeOrderedAndProject" in _plan(df)
+
+
+@pytest.mark.parametrize("name", ["rfm_segments", "segment_fraud_exposure", "rolling_spend_decline"])
+def test_distributed_ranking_path_matches_oracle(spark, duck, name):
+    from ledgerlens.plans import segmentation, velocity
+    from ledgerlens.plans.catalog import transactions_from_driver_tables
+    fn = {"rfm_segments": segmentation.rfm_segments, "segment_fraud_exposure": velocity.segment_fraud_exposure,
+          "rolling_spend_decline": segmentation.rolling_spend_decline}[name]
+    sdf = fn(transactions_from_driver_tables(spark, SF_SMALL), method="range")
+    res = duck.execute(E.oracle_sql()[name])
+    ocols = [d[0] for d in res.description]
+    assert _digest([tuple(r) for r in sdf.collect()], sdf.columns) == _digest(res.fetchall(), ocols)
