@@ -48,6 +48,12 @@ def prepared_for_comparison(txn: DataFrame) -> DataFrame:
                .withColumn("dist_km", F.round("dist_km", 4)))
 
 
+def register_transactions_view(txn: DataFrame, name: str = "transactions") -> DataFrame:
+    """Expose the prepared table to ``spark.sql`` under ``name`` (a temp view; no copy)."""
+    txn.createOrReplaceTempView(name)
+    return txn
+
+
 def run_report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     txn = transactions_from_driver_tables(spark, sf_dir)
     if name == "prepare_transactions":

@@ -59,3 +59,11 @@ def test_read_raw_parquet(spark, tmp_path):
     path = str(tmp_path / "raw")
     raw_from_driver_tables(spark, SF_SMALL).write.parquet(path)
     assert read_raw(spark, path, "parquet").columns == RAW_COLUMNS
+
+
+def test_sql_view_over_prepared_table(spark):
+    from ledgerlens.plans.catalog import register_transactions_view
+    txn = transactions_from_driver_tables(spark, SF_SMALL)
+    register_transactions_view(txn)
+    n = spark.sql("SELECT count(*) FROM transactions WHERE is_fraud = 1").first()[0]
+    assert n == txn.where("is_fraud = 1").count() > 0
