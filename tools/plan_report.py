@@ -21,6 +21,7 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
     spark = local_session(8)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # do not truncate pushed filters
     path = scratch_path(spark, "plan-report")
     write_transactions(transactions_from_driver_tables(spark, sf_dir), path)
     txn = read_transactions(spark, path)
@@ -32,17 +33,20 @@ def main():
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = plan.splitlines()
         count = lambda pat: sum(1 for ln in lines if re.search(pat, ln))
-        print(f"== {name}: scans={count('Scan parquet|FileScan')} shuffles={count('Exchange hashpartitioning|Exchange rangepartitioning|Exchange RoundRobin|Exchange SinglePartition')} "
-              f"single={count('SinglePartition')} bcast={count('BroadcastExchange')} reused={count('Reused')} "
-              f"sorts={count(' Sort ')} windows={count('Window ')} python={count('EvalPython|PythonUDF')} "
-              f"smj={count('SortMergeJoin')} bhj={count('BroadcastHashJoin')}")
+        print(f"\n### {name}\n")
+        shuffles = count("Exchange (hashpartitioning|rangepartitioning|RoundRobin|SinglePartition)")
+        print(f"- parquet scans={count('FileScan')} checkpoint scans={count('Scan ExistingRDD')} "
+              f"shuffles={shuffles} single-partition={count('SinglePartition')} "
+              f"broadcasts={count('BroadcastExchange')} reused={count('Reused')} sorts={count(' Sort ')} "
+              f"windows={count('Window ')} python={count('EvalPython|PythonUDF')} "
+              f"sort-merge joins={count('SortMergeJoin')} broadcast joins={count('BroadcastHashJoin')}")
         for ln in lines:
             if "FileScan" in ln:
                 pf = re.search(r"PushedFilters: \[([^\]]*)\]", ln)
                 rs = re.search(r"ReadSchema: (struct<[^>]*>)", ln)
-                print(f"   scan pushed=[{pf.group(1) if pf else ''}] schema={rs.group(1) if rs else ''}")
+                print(f"- scan: pushed `[{pf.group(1) if pf else ''}]`, schema `{rs.group(1) if rs else ''}`")
             if "SinglePartition" in ln or "Window [" in ln:
-                print("  ", ln.strip()[:160])
+                print("- `" + ln.strip().lstrip("+-: ")[:150] + "`")
 
 
 if __name__ == "__main__":
