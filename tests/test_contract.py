@@ -96,3 +96,16 @@ def test_distributed_ranking_path_matches_oracle(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert _digest([tuple(r) for r in sdf.collect()], sdf.columns) == _digest(res.fetchall(), ocols)
+
+
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP"}
+
+
+def test_result_types_match_oracle(spark, duck):
+    for name, fn in E.queries().items():
+        df = fn(spark, SF_SMALL)
+        spark_types = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+                       for f in df.schema.fields}
+        duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+        assert spark_types == duck_types, name
