@@ -29,7 +29,19 @@ DOB_BASE = "1940-01-01"
 # ---------------------------------------------------------------------------
 
 
+# Resolved table DataFrames per (application, directory, half): resolving the
+# Parquet footers and the split count is the same for every query of a session.
+_TABLES: dict[tuple, tuple] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str, half: int | None = None):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), half)
+    if key not in _TABLES:
+        _TABLES[key] = _load_tables(spark, sf_dir, half)
+    return _TABLES[key]
+
+
+def _load_tables(spark: SparkSession, sf_dir: str, half: int | None = None):
     def t(name, *cols):
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
 
@@ -117,8 +129,18 @@ def raw_from_driver_tables(spark: SparkSession, sf_dir: str, half: int | None =
     )
 
 
+_EXPORTS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
 def raw_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The mapped rows as two raw exports ("train", "test") with different column order."""
-    train = raw_from_driver_tables(spark, sf_dir, half=0).select(*RAW_COLUMNS)
-    test = raw_from_driver_tables(spark, sf_dir, half=1).select(*reversed(RAW_COLUMNS))
-    return train, test
+    """The mapped rows as two raw exports ("train", "test") with different column order.
+
+    The (lazy, immutable) DataFrames are reused within an application, which
+    spares re-analysing the mapping for every query; nothing is cached in memory.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _EXPORTS:
+        train = raw_from_driver_tables(spark, sf_dir, half=0).select(*RAW_COLUMNS)
+        test = raw_from_driver_tables(spark, sf_dir, half=1).select(*reversed(RAW_COLUMNS))
+        _EXPORTS[key] = (train, test)
+    return _EXPORTS[key]
