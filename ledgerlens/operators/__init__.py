@@ -3,10 +3,10 @@
 from ledgerlens.operators.alerts import (  # noqa: F401
     absolute_rules, context_risk, hourly_profile, layered_alerts, personal_baseline,
 )
-from ledgerlens.operators.joins import interval_join  # noqa: F401
-from ledgerlens.operators.ranking import global_ntile, global_rank, global_row_number  # noqa: F401
-from ledgerlens.operators.rates import expected_vs_actual, label_rate, rank_desc, top_k  # noqa: F401
-from ledgerlens.operators.rfm import rfm_base, rfm_score, share_of_total, with_segments  # noqa: F401
+from ledgerlens.operators.joins import interval_join, nearest_preceding_pairs  # noqa: F401
+from ledgerlens.operators.ranking import global_ntile, global_rank, global_row_number, global_running_count  # noqa: F401
+from ledgerlens.operators.rates import expected_vs_actual, label_rate, rank_by, top_k  # noqa: F401
+from ledgerlens.operators.rfm import rfm_base, rfm_score, segment_exposure, share_of_total, with_segments  # noqa: F401
 from ledgerlens.operators.series import (  # noqa: F401
-    cohort_matrix, consistency, previous_value, rolling_mean, trend_label,
+    cohort_matrix, consistency, period_delta, previous_value, rolling_mean, rolling_trend, trend_label,
 )

@@ -52,8 +52,11 @@ def expected_vs_actual(counts: DataFrame, n: str = "txn_count", actual: str = "a
             .drop("_rate", "_expected_raw"))
 
 
-def rank_desc(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """``RANK() OVER (ORDER BY value DESC)`` on an already aggregated, small frame."""
+def rank_by(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``RANK() OVER (ORDER BY value DESC)`` over an aggregate, e.g. a ratio of sums.
+
+    Meant for already aggregated frames with a bounded number of groups
+    (categories); rank large frames with :func:`ledgerlens.operators.global_rank`."""
     return df.withColumn(name, F.rank().over(Window.orderBy(value.desc())))
 
 

@@ -61,6 +61,25 @@ def with_segments(scored: DataFrame, sub_segments: bool = True) -> DataFrame:
     return out
 
 
+def segment_exposure(scored: DataFrame, txn: DataFrame, label: str = "is_fraud") -> DataFrame:
+    """Per segment: scored cards, cards with labelled (fraud) rows, their loss, and the
+    segment's legit revenue, from a left join of per-card fraud totals (one row per
+    card on both sides). Cards without fraud count with zero loss."""
+    card_fraud = (txn.where(F.col(label) == 1)
+                     .groupBy("cc_num")
+                     .agg(F.count(F.lit(1)).alias("fraud_txns"), F.round(F.sum("amt"), 2).alias("fraud_loss"))
+                     .withColumnRenamed("cc_num", "f_cc_num"))
+    joined = scored.join(card_fraud, scored["cc_num"] == card_fraud["f_cc_num"], "left")
+    loss = F.coalesce(F.col("fraud_loss"), F.lit(0))
+    return (joined.groupBy("segment")
+                  .agg(F.countDistinct("cc_num").alias("total_cards"),
+                       F.countDistinct("f_cc_num").alias("cards_hit_by_fraud"),
+                       F.sum(loss).alias("_loss"),
+                       F.count(F.lit(1)).alias("_rows"),
+                       F.sum("monetary").alias("_monetary"),
+                       F.count("monetary").alias("_n_monetary")))
+
+
 def share_of_total(grouped: DataFrame, value: str, name: str, digits: int = 1) -> DataFrame:
     """Each group's share (percent) of the column total; ``grouped`` is already
     aggregated to a handful of rows, so the total is a window over those rows."""

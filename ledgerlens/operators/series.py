@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions import dec, month_start, months_between_starts, safe_div
+from ledgerlens.functions.numeric import pct_exact
 
 # ---------------------------------------------------------------------------
 # Trend and consistency labels (original wording).
@@ -33,6 +34,30 @@ def previous_value(df: DataFrame, partition: Sequence[str], order: Sequence, val
     return df.withColumn(name, F.lag(value).over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def period_delta(df: DataFrame, entity: Sequence[str], period: Sequence, value: str, prev: str, delta: str,
+                 mode: str = "pct", digits: int = 1) -> DataFrame:
+    """Previous period's value (previous existing row of the entity) and the change:
+    ``mode="pct"`` -> ``ROUND((v - prev) * 100 / NULLIF(prev, 0), digits)``,
+    ``mode="diff"`` -> ``ROUND(v - prev, digits)``. Decimal inputs stay exact."""
+    out = previous_value(df, entity, period, value, prev)
+    change = F.col(value) - F.col(prev)
+    if mode == "pct":
+        return out.withColumn(delta, pct_exact(change, prev, digits))
+    if mode == "diff":
+        return out.withColumn(delta, F.round(change, digits))
+    raise ValueError("mode must be 'pct' or 'diff'")
+
+
+def rolling_trend(df: DataFrame, entity: Sequence[str], order: Sequence, value: str, window: int = 3,
+                  cuts=("0.70", "0.90", "1.10"), mean: str = "rolling_3m_avg", prev: str = "prev_rolling_avg",
+                  change: str = "rolling_change", label: str = "trend_label") -> DataFrame:
+    """Rolling mean of the last ``window`` rows (2-digit rounded), its previous value,
+    the change and the trend label (:func:`trend_label`)."""
+    rolled = rolling_mean(df, entity, order, value, window, mean)
+    out = period_delta(rolled, entity, order, mean, prev, change, mode="diff", digits=2)
+    return out.withColumn(label, trend_label(mean, prev, cuts))
+
+
 def rolling_mean(df: DataFrame, partition: Sequence[str], order: Sequence, value: str, rows: int,
                  name: str, digits: int | None = 2) -> DataFrame:
     """Mean of the current and ``rows - 1`` preceding rows (shorter frames at the start)."""

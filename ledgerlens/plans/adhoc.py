@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.functions import dec, money, pct, pct_exact, risk_condition, seconds_between
 from ledgerlens.operators.joins import interval_join, nearest_preceding_pairs
 from ledgerlens.operators.rates import label_rate, top_k
-from ledgerlens.operators.series import previous_value
+from ledgerlens.operators.series import period_delta
 
 
 def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int = 24, k: int = 50,
@@ -44,11 +44,11 @@ def fraud_rate_jumps(txn: DataFrame, k: int = 10) -> DataFrame:
     """A2: the k largest month-over-month rises of a category's fraud rate."""
     monthly = (txn.groupBy("category", "trans_year", "trans_month")
                   .agg(pct_exact(F.sum("is_fraud"), F.count(F.lit(1)), 3).alias("_rate")))
-    lagged = previous_value(monthly, ["category"], ["trans_year", "trans_month"], "_rate", "_prev")
-    out = (lagged.where(F.col("_prev").isNotNull())
-                 .select("category", "trans_year", "trans_month",
-                         F.col("_rate").cast("double").alias("fraud_rate"),
-                         F.round(F.col("_rate") - F.col("_prev"), 3).alias("_change")))
+    jumps = period_delta(monthly, ["category"], ["trans_year", "trans_month"], "_rate", "_prev", "_change",
+                         mode="diff", digits=3)
+    out = (jumps.where(F.col("_prev").isNotNull())
+                .select("category", "trans_year", "trans_month",
+                        F.col("_rate").cast("double").alias("fraud_rate"), "_change"))
     ranked = top_k(out, k, [F.col("_change").desc(), F.col("category"), F.col("trans_year"), F.col("trans_month")])
     return ranked.withColumn("fraud_rate_change", F.col("_change").cast("double")).drop("_change")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions import money, pct, ratio
-from ledgerlens.operators.rates import label_rate, rank_desc, top_k
+from ledgerlens.operators.rates import label_rate, rank_by, top_k
 
 
 def category_scorecard(txn: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def category_loss_priority(txn: DataFrame) -> DataFrame:
     """2b: fraud loss as % of volume; ranked on the unrounded ratio, sorted on the rounded one."""
     g = label_rate(txn, ["category"])
     loss_ratio = F.col("loss") * F.lit(100) / F.nullif(F.col("volume"), F.lit(0))
-    ranked = rank_desc(g, loss_ratio, "intervention_priority")
+    ranked = rank_by(g, loss_ratio, "intervention_priority")
     return ranked.select(
         "category",
         money("volume").alias("total_volume"),

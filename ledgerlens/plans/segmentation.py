@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.functions import age_band, money, month_index, pct, ratio
+from ledgerlens.functions import age_band, money, month_index, ratio
 from ledgerlens.operators.ranking import global_rank
 from ledgerlens.operators.rfm import rfm_base, rfm_score, share_of_total, with_segments
-from ledgerlens.operators.series import (
-    TREND_URGENT, TREND_WARNING, previous_value, rolling_mean, trend_label,
-)
+from ledgerlens.operators.series import TREND_URGENT, TREND_WARNING, period_delta, rolling_trend
 
 RFM_KEYS = ("cc_num", "customer_name", "gender", "age", "job")
 
@@ -50,12 +48,13 @@ def category_mom_growth(txn: DataFrame) -> DataFrame:
     monthly = (txn.where(F.col("is_fraud") == 0)
                   .groupBy("trans_year", "trans_month", "category")
                   .agg(F.sum("amt").alias("_spend")))
-    lagged = previous_value(monthly, ["category"], ["trans_year", "trans_month"], "_spend", "_prev")
-    return lagged.select(
+    growth = period_delta(monthly, ["category"], ["trans_year", "trans_month"], "_spend", "_prev", "_growth",
+                          mode="pct", digits=1)
+    return growth.select(
         "trans_year", "trans_month", "category",
         money("_spend").alias("monthly_spend"),
         money("_prev").alias("prev_month_spend"),
-        pct(F.col("_spend") - F.col("_prev"), "_prev", 1).alias("mom_growth_pct"),
+        F.col("_growth").cast("double").alias("mom_growth_pct"),
     ).orderBy("trans_year", "trans_month", "category")
 
 
@@ -66,10 +65,7 @@ def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019) ->
                   .agg(F.round(F.sum(F.when(F.col("is_fraud") == 0, F.col("amt")).otherwise(0)), 2)
                        .alias("legit_spend"))
                   .withColumn("month_seq", month_index("trans_year", "trans_month", base_year)))
-    rolled = rolling_mean(monthly, ["cc_num"], ["month_seq"], "legit_spend", window, "rolling_3m_avg")
-    lagged = previous_value(rolled, ["cc_num"], ["month_seq"], "rolling_3m_avg", "prev_rolling_avg")
-    return (lagged.withColumn("rolling_change", F.round(F.col("rolling_3m_avg") - F.col("prev_rolling_avg"), 2))
-                  .withColumn("trend_label", trend_label("rolling_3m_avg", "prev_rolling_avg")))
+    return rolling_trend(monthly, ["cc_num"], ["month_seq"], "legit_spend", window)
 
 
 def rolling_spend_decline(txn: DataFrame, method: str = "auto") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.functions import amount_band, distance_band, money, pct, ratio
 from ledgerlens.operators.alerts import layered_alerts
 from ledgerlens.operators.rates import expected_vs_actual, label_rate
-from ledgerlens.operators.rfm import rfm_base, rfm_score, with_segments
+from ledgerlens.operators.rfm import rfm_base, rfm_score, segment_exposure, with_segments
 
 
 def distance_band_rate(txn: DataFrame) -> DataFrame:
@@ -60,19 +60,7 @@ def amount_band_rate(txn: DataFrame) -> DataFrame:
 def segment_fraud_exposure(txn: DataFrame, method: str = "auto") -> DataFrame:
     """4d: per RFM segment (card-level scoring), cards hit by fraud and fraud loss."""
     scored = with_segments(rfm_score(rfm_base(txn, ["cc_num"]), method=method), sub_segments=False)
-    card_fraud = (txn.where(F.col("is_fraud") == 1)
-                     .groupBy("cc_num")
-                     .agg(F.count(F.lit(1)).alias("fraud_txns"), F.round(F.sum("amt"), 2).alias("fraud_loss"))
-                     .withColumnRenamed("cc_num", "f_cc_num"))
-    joined = scored.join(card_fraud, scored["cc_num"] == card_fraud["f_cc_num"], "left")
-    loss = F.coalesce(F.col("fraud_loss"), F.lit(0))
-    g = (joined.groupBy("segment")
-               .agg(F.countDistinct("cc_num").alias("total_cards"),
-                    F.countDistinct("f_cc_num").alias("cards_hit_by_fraud"),
-                    F.sum(loss).alias("_loss"),
-                    F.count(F.lit(1)).alias("_rows"),
-                    F.sum("monetary").alias("_monetary"),
-                    F.count("monetary").alias("_n_monetary")))
+    g = segment_exposure(scored, txn)
     return g.select(
         "segment", "total_cards", "cards_hit_by_fraud",
         pct("cards_hit_by_fraud", "total_cards", 1).alias("pct_cards_hit"),
