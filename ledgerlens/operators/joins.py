@@ -32,7 +32,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 
 def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, k: int,
                             horizon_seconds: int = 24 * 3600, left_tie: str | None = None,
-                            num_partitions: int | None = None) -> DataFrame:
+                            num_partitions: int | None = None, method: str = "auto") -> DataFrame:
     """For every right row, its (at most) ``k`` best left partners: same ``key``,
     ``left_ts <= right_ts <= left_ts + horizon``, most recent ``left_ts`` first
     (then smaller ``left_tie``).
@@ -75,7 +75,7 @@ def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts
     both = lrows.unionByName(rrows, allowMissingColumns=True)
     order = [F.col(key), F.col("_t"), F.col("_kind"), F.col("_tie").desc(),
              *[F.col(c) for c in right.columns if c != key]]
-    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions)
+    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method)
     lk = (counted.where(F.col("_kind") == 0)
                  .select(*left.columns, F.col("_n").alias("_s"))
                  .withColumn("_block", F.floor((F.col("_s") - 1) / k)))

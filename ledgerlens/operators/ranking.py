@@ -86,15 +86,22 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
 
 
 def global_running_count(df: DataFrame, order: Sequence[Column], flag: Column, name: str,
-                         num_partitions: int | None = None) -> DataFrame:
+                         num_partitions: int | None = None, method: str = "range") -> DataFrame:
     """For every row, how many rows with ``flag`` true come at or before it in ``order``
     (a running count over the global order, e.g. of one kind of event).
 
-    Same range-partition / checkpoint / offset scheme as
+    ``method="range"``: same range-partition / checkpoint / offset scheme as
     :func:`global_row_number`; the in-partition running count is a window over
     each (balanced) range partition, and the offsets of the preceding
-    partitions come from a broadcast table of P rows.
+    partitions come from a broadcast table of P rows. ``"window"``: the
+    built-in running sum over one partition (small inputs only). ``"auto"``:
+    checkpoint and count the input, then pick (:func:`resolve_method`).
     """
+    df, method = resolve_method(df, method)
+    if method == "window":
+        running = F.sum(F.when(flag, 1).otherwise(0)).over(
+            Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn(name, running.cast("long"))
     p = _partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.withColumn("_w", F.when(flag, 1).otherwise(0))

@@ -17,8 +17,10 @@ def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int
 
     ``method="nearest"`` (default) keeps, per fraud row, only its k most recent
     qualifying purchases (:func:`nearest_preceding_pairs`), which is exact for
-    this top-k and never forms all pairs of a card. ``"all_pairs"`` forms every
-    pair with the time-bucketed interval join; it is the brute-force reference.
+    this top-k and never forms all pairs of a card; its running count picks
+    the single-window or range form from a measured size (``"nearest_range"``
+    forces the range form). ``"all_pairs"`` forms every pair with the
+    time-bucketed interval join; it is the brute-force reference for tests.
     """
     large = (txn.where((F.col("is_fraud") == 0) & (F.col("amt") > min_amount))
                 .select("cc_num", F.col("trans_ts").alias("legit_txn_time"), F.col("amt").alias("legit_amt")))
@@ -26,8 +28,9 @@ def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int
     if method == "all_pairs":
         pairs = interval_join(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", horizon_hours * 3600)
     else:
+        count_method = "range" if method == "nearest_range" else "auto"
         pairs = nearest_preceding_pairs(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", k,
-                                        horizon_hours * 3600, left_tie="legit_amt")
+                                        horizon_hours * 3600, left_tie="legit_amt", method=count_method)
     hours = F.round(seconds_between("legit_txn_time", "fraud_txn_time").cast("decimal(20,0)") / dec("3600.0"), 2)
     out = pairs.select(
         "cc_num", "legit_txn_time",

@@ -54,6 +54,7 @@ def test_nearest_pairs_top_k_equals_all_pairs(spark):
     txn = make_txn(spark, rows)
     for k in (1, 5, 50):
         a = fraud_after_large(txn, k=k, method="nearest")
+        assert a.exceptAll(fraud_after_large(txn, k=k, method="nearest_range")).count() == 0
         b = fraud_after_large(txn, k=k, method="all_pairs")
         assert a.count() == b.count() == k
         assert a.exceptAll(b).count() == 0
