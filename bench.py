@@ -1,7 +1,7 @@
 """Benchmark: prepare the transaction table once, then run every report over it.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; the best run per query is reported).
+BENCH_REPEAT (default 3; the best run per query is reported).
 
 Mirrors the intended workflow: the preparation job (driver tables -> raw
 exports -> prepared table) is written once as Parquet under the session's
@@ -31,7 +31,7 @@ def _force(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = local_session(cpus, shuffle_partitions=cpus * 2, app="ledgerlens-bench", driver_memory="16g")
 
     times: dict[str, float] = {}
