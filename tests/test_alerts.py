@@ -1,7 +1,5 @@
 """The collapsed layered-alert plan equals the literal six-way join."""
 
-from pyspark.sql import functions as F
-
 from conftest import SF_MID
 from ledgerlens.operators.alerts import HOUR_KEYS, layered_alerts, layered_alerts_literal
 from ledgerlens.plans.catalog import transactions_from_driver_tables
@@ -29,8 +27,13 @@ def test_collapsed_plan_has_fewer_exchanges(spark):
 
 
 def test_as_of_baseline_uses_past_only(spark):
+    from pyspark.sql import functions as F
+    from ledgerlens.operators.alerts import hourly_profile, personal_baseline
     txn = transactions_from_driver_tables(spark, SF_MID)
     cut = "2020-07-01"
-    out = layered_alerts(txn, as_of=cut)
-    assert out.count() >= 0
-    assert F is not None
+    fitted = personal_baseline(hourly_profile(txn), txn, as_of=cut)
+    past = txn.where(F.col("trans_date") < F.lit(cut).cast("date"))
+    expected = personal_baseline(hourly_profile(past), past)
+    assert fitted.count() == expected.count() > 0
+    assert fitted.exceptAll(expected).count() == 0
+    assert layered_alerts(txn, as_of=cut).count() >= 0

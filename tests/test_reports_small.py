@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from conftest import make_txn
 from ledgerlens.operators.alerts import absolute_rules, hourly_profile
 from ledgerlens.plans import adhoc, behavior, segmentation
@@ -106,4 +104,3 @@ def test_month_over_month_uses_previous_existing_row(spark):
     out = segmentation.category_mom_growth(make_txn(spark, rows)).collect()
     assert [(r.trans_month, r.prev_month_spend, r.mom_growth_pct) for r in out] == [(1, None, None),
                                                                                      (3, 100.0, 50.0)]
-    assert F is not None
