@@ -75,7 +75,10 @@ def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts
     both = lrows.unionByName(rrows, allowMissingColumns=True)
     order = [F.col(key), F.col("_t"), F.col("_kind"), F.col("_tie").desc(),
              *[F.col(c) for c in right.columns if c != key]]
-    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method)
+    # both sides of the block join read the counts: materialise them once (a
+    # reliable checkpoint) instead of recomputing the running count per side
+    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method) \
+        .checkpoint(eager=True)
     lk = (counted.where(F.col("_kind") == 0)
                  .select(*left.columns, F.col("_n").alias("_s"))
                  .withColumn("_block", F.floor((F.col("_s") - 1) / k)))
