@@ -1,4 +1,9 @@
-"""Interval (band) join: equi key plus ``right.ts BETWEEN left.ts AND left.ts + horizon``."""
+"""Interval (band) joins: equi key plus ``right.ts BETWEEN left.ts AND left.ts + horizon``.
+
+``interval_join`` forms every qualifying pair (time-bucketed so a hot key is
+split by time); ``nearest_preceding_pairs`` keeps only each right row's k best
+partners without forming all pairs, which is what a top-k question needs.
+"""
 
 from __future__ import annotations
 
