@@ -60,6 +60,9 @@ def rank_by(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.rank().over(Window.orderBy(value.desc())))
 
 
-def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
-    """``ORDER BY ... LIMIT k``; planned as TakeOrderedAndProject (k rows per task, merged)."""
-    return df.orderBy(*order).limit(k)
+def top_k(df: DataFrame, k: int, order: Sequence[Column], offset: int = 0) -> DataFrame:
+    """``ORDER BY ... [OFFSET offset ROWS] FETCH NEXT k ROWS``; planned as
+    TakeOrderedAndProject (offset + k rows per task, merged). ``order`` should
+    end in a unique tail so the cut is deterministic."""
+    ordered = df.orderBy(*order)
+    return (ordered.offset(offset) if offset else ordered).limit(k)

@@ -19,7 +19,7 @@ def cohort_spend_matrix(txn: DataFrame) -> DataFrame:
     ).orderBy("cohort_month", "month_number")
 
 
-def spend_consistency(txn: DataFrame, k: int = 50, min_periods: int = 3) -> DataFrame:
+def spend_consistency(txn: DataFrame, k: int = 50, min_periods: int = 3, offset: int = 0) -> DataFrame:
     """3b: monthly legit spend stats per card, coefficient of variation and label; top k by mean."""
     monthly = (txn.where(F.col("is_fraud") == 0)
                   .groupBy("cc_num", "customer_name", "trans_year", "trans_month")
@@ -35,4 +35,5 @@ def spend_consistency(txn: DataFrame, k: int = 50, min_periods: int = 3) -> Data
         F.round("_cv", 3).cast("double").alias("spend_cv"),
         "spend_pattern",
     )
-    return top_k(out, k, [F.col("_mean_exact").desc(), F.col("cc_num"), F.col("customer_name")]).drop("_mean_exact")
+    return top_k(out, k, [F.col("_mean_exact").desc(), F.col("cc_num"), F.col("customer_name")],
+                 offset).drop("_mean_exact")
