@@ -29,13 +29,19 @@ DOB_BASE = "1940-01-01"
 # ---------------------------------------------------------------------------
 
 
-# Resolved table DataFrames per (application, directory, half): resolving the
+# Resolved table DataFrames per (session, directory, half): resolving the
 # Parquet footers and the split count is the same for every query of a session.
+# The key includes the session object, so sessions with other settings on the
+# same SparkContext (``newSession()``) get their own DataFrames.
 _TABLES: dict[tuple, tuple] = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark), spark._jsparkSession.hashCode())
+
+
 def _tables(spark: SparkSession, sf_dir: str, half: int | None = None):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), half)
+    key = (_session_key(spark), sf_dir.rstrip("/"), half)
     if key not in _TABLES:
         _TABLES[key] = _load_tables(spark, sf_dir, half)
     return _TABLES[key]
@@ -138,7 +144,7 @@ def raw_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     The (lazy, immutable) DataFrames are reused within an application, which
     spares re-analysing the mapping for every query; nothing is cached in memory.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _EXPORTS:
         train = raw_from_driver_tables(spark, sf_dir, half=0).select(*RAW_COLUMNS)
         test = raw_from_driver_tables(spark, sf_dir, half=1).select(*reversed(RAW_COLUMNS))
