@@ -47,3 +47,21 @@ def test_band_assigns_each_value_to_exactly_its_interval(spark, values, edges):
             assert lab == labels[-1]
         else:
             assert lab == labels[sum(1 for e in edges if v >= e)]
+
+
+signed = st.lists(st.tuples(st.integers(-10**12, 10**12), st.integers(-10**9, 10**9).filter(lambda d: d != 0)),
+                  min_size=1, max_size=30)
+
+
+@settings(max_examples=15, deadline=None)
+@given(signed, st.integers(0, 3))
+def test_oracle_rounding_equals_spark_decimal_rounding(spark, rows, digits):
+    import duckdb
+    from ledgerlens.oracle import pct as sql_pct
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = [r[0] for r in df.select(pct("k", "n", digits)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, k BIGINT, n BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, k, n) for i, (k, n) in enumerate(rows)])
+    want = [r[0] for r in con.execute(f"SELECT {sql_pct('k', 'n', digits)} FROM t ORDER BY i").fetchall()]
+    assert got == want
