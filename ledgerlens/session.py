@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -74,6 +73,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
-
-def env_cores(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
