@@ -30,14 +30,16 @@ from ledgerlens.session import ensure_checkpoint_dir, shuffle_partitions
 
 # Largest input (rows) ranked by the built-in single-partition window under
 # method="auto": one task sorts this many narrow rows in about a second.
+# Override per session with the runtime setting below.
 SINGLE_TASK_ROWS = 1_000_000
+SINGLE_TASK_ROWS_CONF = "spark.ledgerlens.maxSingleTaskRows"
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return num_partitions or shuffle_partitions(df.sparkSession)
 
 
-def resolve_method(df: DataFrame, method: str, max_single_task_rows: int = SINGLE_TASK_ROWS) -> tuple[DataFrame, str]:
+def resolve_method(df: DataFrame, method: str, max_single_task_rows: int | None = None) -> tuple[DataFrame, str]:
     """Pick ``"window"`` or ``"range"`` for ``method="auto"`` from a measured row count.
 
     The input is checkpointed to the session's reliable checkpoint dir first
@@ -47,6 +49,8 @@ def resolve_method(df: DataFrame, method: str, max_single_task_rows: int = SINGL
     """
     if method != "auto":
         return df, method
+    if max_single_task_rows is None:
+        max_single_task_rows = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS)))
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
     n = df.count()

@@ -109,3 +109,16 @@ def test_result_types_match_oracle(spark, duck):
                        for f in df.schema.fields}
         duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
         assert spark_types == duck_types, name
+
+
+@pytest.mark.parametrize("name", ["rfm_segments", "rolling_spend_decline", "fraud_after_large"])
+def test_registered_queries_match_with_distributed_paths_forced(spark, duck, name):
+    from ledgerlens.operators.ranking import SINGLE_TASK_ROWS_CONF
+    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
+    try:
+        sdf = E.queries()[name](spark, SF_SMALL)
+        rows = [tuple(r) for r in sdf.collect()]
+    finally:
+        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+    res = duck.execute(E.oracle_sql()[name])
+    assert _digest(rows, sdf.columns) == _digest(res.fetchall(), [d[0] for d in res.description])
