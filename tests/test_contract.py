@@ -10,6 +10,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP"}
 
 
 def _norm(v):
@@ -53,6 +55,9 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(sdf.columns) == sorted(ocols)
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    assert {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in sdf.schema.fields} == duck_types
     assert len(srows) == len(orows)
     assert _digest(srows, sdf.columns) == _digest(orows, ocols)
 
@@ -98,19 +103,6 @@ def test_distributed_ranking_path_matches_oracle(spark, duck, name):
     assert _digest([tuple(r) for r in sdf.collect()], sdf.columns) == _digest(res.fetchall(), ocols)
 
 
-_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
-              "timestamp_ntz": "TIMESTAMP"}
-
-
-def test_result_types_match_oracle(spark, duck):
-    for name, fn in E.queries().items():
-        df = fn(spark, SF_SMALL)
-        spark_types = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
-                       for f in df.schema.fields}
-        duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
-        assert spark_types == duck_types, name
-
-
 @pytest.mark.parametrize("name", ["rfm_segments", "rolling_spend_decline", "fraud_after_large"])
 def test_registered_queries_match_with_distributed_paths_forced(spark, duck, name):
     from ledgerlens.operators.ranking import SINGLE_TASK_ROWS_CONF
