@@ -16,14 +16,21 @@ def test_collapsed_equals_literal(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_collapsed_plan_has_fewer_exchanges(spark):
-    txn = transactions_from_driver_tables(spark, SF_MID)
-
-    def exchanges(df):
+def test_collapsed_plan_has_fewer_shuffles_and_scans(spark, tmp_path):
+    import re
+    from ledgerlens.sources.sinks import read_transactions, write_transactions
+    path = str(tmp_path / "t")
+    write_transactions(transactions_from_driver_tables(spark, SF_MID), path)
+    txn = read_transactions(spark, path)
+
+    def shape(df):
         df.collect()
-        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)), \
+            plan.count("FileScan")
 
-    assert exchanges(layered_alerts(txn)) < exchanges(layered_alerts_literal(txn))
+    collapsed, literal = shape(layered_alerts(txn)), shape(layered_alerts_literal(txn))
+    assert collapsed[0] < literal[0] and collapsed[1] < literal[1]
 
 
 def test_as_of_baseline_uses_past_only(spark):
