@@ -63,7 +63,7 @@ def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts
     the next one. Dropping non-partners keeps every right row's best partners
     at the end of its candidate run, so the result is unchanged.
     """
-    from ledgerlens.operators.ranking import global_running_count
+    from ledgerlens.operators.ranking import global_running_count, resolve_method
 
     h = F.lit(horizon_seconds)
     right_buckets = (right.select(F.col(key), F.floor(epoch_second(right_ts) / h).alias("_b"))
@@ -80,10 +80,12 @@ def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts
     both = lrows.unionByName(rrows, allowMissingColumns=True)
     order = [F.col(key), F.col("_t"), F.col("_kind"), F.col("_tie").desc(),
              *[F.col(c) for c in right.columns if c != key]]
-    # both sides of the block join read the counts: materialise them once (a
-    # reliable checkpoint) instead of recomputing the running count per side
-    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method) \
-        .checkpoint(eager=True)
+    both, method = resolve_method(both, method)
+    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method)
+    if method == "range":
+        # both sides of the block join read the counts: materialise them once
+        # (reliable checkpoint) rather than repeat the range pass per side
+        counted = counted.checkpoint(eager=True)
     lk = (counted.where(F.col("_kind") == 0)
                  .select(*left.columns, F.col("_n").alias("_s"))
                  .withColumn("_block", F.floor((F.col("_s") - 1) / k)))
