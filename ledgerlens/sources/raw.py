@@ -10,14 +10,15 @@ from ledgerlens.schema import RAW_COLUMNS, RAW_SCHEMA
 def read_raw(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
     """Read one raw export with the declared schema.
 
-    CSV is read with a header and the declared types (no ``inferSchema`` pass
-    over the data); Parquet columns are selected by name and cast to the
-    declared types. Extra source columns are dropped at the scan.
+    CSV is read with its header, every column as text (no ``inferSchema``
+    pass over the data), then the declared columns are selected by name and
+    cast, so exports with extra or reordered columns load unchanged. Parquet
+    columns are selected by name and cast the same way; unused columns are
+    pruned from the scan. Casts are ANSI: a malformed value fails the job
+    rather than turning into NULL.
     """
     if fmt == "csv":
         opts = {"header": "true", "mode": "FAILFAST", **options}
-        # The header may hold more columns than we declare (e.g. an index
-        # column): read all as strings by header name, then project + cast.
         df = spark.read.options(**opts).csv(path)
     elif fmt == "parquet":
         df = spark.read.options(**options).parquet(path)
