@@ -14,8 +14,8 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "csv", **options) -> Dat
     pass over the data), then the declared columns are selected by name and
     cast, so exports with extra or reordered columns load unchanged. Parquet
     columns are selected by name and cast the same way; unused columns are
-    pruned from the scan. Casts are ANSI: a malformed value fails the job
-    rather than turning into NULL.
+    pruned from the scan. Under ANSI mode (the Spark 4 default) a malformed
+    value fails the job instead of turning into NULL.
     """
     if fmt == "csv":
         opts = {"header": "true", "mode": "FAILFAST", **options}
