@@ -18,22 +18,33 @@ Differences from the batch path, by necessity of streaming:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.functions import epoch_second, flag_sum
 from ledgerlens.operators.alerts import ONLINE_PATTERN, absolute_rules
 from ledgerlens.plans.preparation import prepare_transactions
-from ledgerlens.schema import RAW_SCHEMA
+from ledgerlens.schema import RAW_COLUMNS, RAW_SCHEMA
 from ledgerlens.session import ensure_checkpoint_dir
 
 
 def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                    **options) -> DataFrame:
-    """A stream of raw export files (declared schema; CSV files need a header)."""
-    reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
+                    csv_columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """A stream of raw export files.
+
+    Parquet is read with the declared schema (columns resolved by name). A
+    streaming CSV reader maps a given schema by *position*, so CSV files are
+    read as text in their header order (``csv_columns``, default: the declared
+    layout) and the preparation casts the needed columns by name, exactly as
+    the batch reader does.
+    """
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        text_schema = T.StructType([T.StructField(c, T.StringType()) for c in (csv_columns or RAW_COLUMNS)])
+        reader = spark.readStream.schema(text_schema).format("csv").option("header", "true")
+    else:
+        reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.options(**options).load(path)
@@ -65,11 +76,12 @@ def hourly_alert_stream(raw_stream: DataFrame, watermark: str = "2 hours", **rul
 
 def start_hourly_alerts(spark: SparkSession, source_path: str, sink_path: str, name: str = "hourly_alerts",
                         fmt: str = "parquet", watermark: str = "2 hours", available_now: bool = False,
-                        processing_time: str = "1 minute") -> StreamingQuery:
+                        processing_time: str = "1 minute", csv_columns: Sequence[str] | None = None
+                        ) -> StreamingQuery:
     """Run the stream into a Parquet sink; progress and state live under the
     session's shared checkpoint dir, so a restarted job resumes exactly once."""
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/streams/{name}"
-    writer = (hourly_alert_stream(read_raw_stream(spark, source_path, fmt), watermark)
+    writer = (hourly_alert_stream(read_raw_stream(spark, source_path, fmt, csv_columns=csv_columns), watermark)
               .writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", ckpt).option("path", sink_path).queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)

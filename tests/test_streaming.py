@@ -55,3 +55,20 @@ def test_start_hourly_alerts_to_parquet_sink_and_resume(spark):
     q = start_hourly_alerts(spark, f"{src}/*", sink, name=name, available_now=True)
     q.awaitTermination(300)
     assert spark.read.parquet(sink).count() == first
+
+
+def test_csv_stream_with_extra_and_reordered_columns(spark):
+    from ledgerlens.schema import RAW_COLUMNS
+    raw = raw_from_driver_tables(spark, SF_SMALL).limit(300)
+    layout = ["", *reversed(RAW_COLUMNS), "street"]  # index column first, extra column last, others reversed
+    src = tempfile.mkdtemp(prefix="ledgerlens-stream-csv-")
+    raw.select(F.lit("0").alias(""), *[F.col(c).cast("string") for c in reversed(RAW_COLUMNS)],
+               F.lit("x").alias("street")).coalesce(1).write.option("header", "true").csv(f"{src}/a")
+    stream = prepare_transactions(read_raw_stream(spark, f"{src}/*", fmt="csv", csv_columns=layout))
+    q = (stream.writeStream.format("memory").queryName("csv_stream_test").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("csv_stream_test")
+    want = prepare_transactions(raw)
+    assert got.count() == 300
+    assert got.exceptAll(want).count() == 0
