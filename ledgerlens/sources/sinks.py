@@ -19,18 +19,25 @@ def write_transactions(df: DataFrame, path: str, partition_by: Sequence[str] = (
     several tasks and files, and merge small ones. The local sort rides on that
     shuffle; there is no global sort.
     """
-    writer_df = df
-    if partition_by:
-        writer_df = writer_df.hint("rebalance", *partition_by)
-    if cluster_by:
-        writer_df = writer_df.sortWithinPartitions(*partition_by, *cluster_by)
-    w = writer_df.write.mode(mode)
+    w = layout_for_write(df, partition_by, cluster_by).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
 
 
+def layout_for_write(df: DataFrame, partition_by: Sequence[str] = ("trans_year", "trans_month"),
+                     cluster_by: Sequence[str] = ("cc_num", "trans_ts")) -> DataFrame:
+    """Rows grouped by the partition columns (AQE-rebalanced) and sorted locally by
+    partition + cluster columns, ready for a partitioned Parquet write."""
+    out = df
+    if partition_by:
+        out = out.hint("rebalance", *partition_by)
+    if cluster_by:
+        out = out.sortWithinPartitions(*partition_by, *cluster_by)
+    return out
+
+
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Read a prepared table written by :func:`write_transactions` (columns in canonical order)."""
     from ledgerlens.schema import TRANSACTION_COLUMNS

@@ -76,3 +76,11 @@ def test_fixture_cache_is_per_session(spark):
     b = raw_exports(other, SF_SMALL)[0]
     assert a.sparkSession is spark and b.sparkSession is other
     assert raw_exports(spark, SF_SMALL)[0] is a
+
+
+def test_sink_plan_rebalances_by_month_and_sorts_locally(spark):
+    from ledgerlens.sources.sinks import layout_for_write
+    df = layout_for_write(transactions_from_driver_tables(spark, SF_SMALL))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    assert "Sort [trans_year" in plan and ", false, 0" in plan  # local (non-global) sort
