@@ -20,12 +20,12 @@ HEADER = ["", "trans_date_trans_time", "cc_num", "merchant", "category", "amt",
 def test_read_raw_csv_with_extra_columns(spark):
     d = tempfile.mkdtemp(prefix="ledgerlens-csv-")
     rows = [
-        ["0", "2019-01-01 00:00:18", "2703186189652095", "fraud_Rippin", "misc_net", "4.97", "Jennifer", "Banks",
-         "F", "561 Perry", "Moravian Falls", "NC", "28654", "36.0788", "-81.1781", "3495", "Psychologist",
-         "1988-03-09", "0b242abb", "1325376018", "36.011293", "-82.048315", "0"],
-        ["1", "2019-01-01 00:00:44", "630423337322", "fraud_Heller", "grocery_pos", "107.23", "Stephanie", "Gill",
-         "F", "43039 Riley", "Orient", "WA", "99160", "48.8878", "-118.2105", "149", "Special educational",
-         "1978-06-21", "1f76529f", "1325376044", "49.159047", "-118.186462", "1"],
+        ["0", "2019-01-01 00:00:18", "4000123412341234", "m_alpha", "misc_net", "4.97", "Ann", "Lee",
+         "F", "1 Main St", "Springfield", "NC", "28600", "36.0", "-81.0", "3495", "Teacher",
+         "1988-03-09", "t0001", "1325376018", "36.1", "-81.1", "0"],
+        ["1", "2019-01-01 00:00:44", "4000999988887777", "m_beta", "grocery_pos", "107.23", "Bo", "Kim",
+         "M", "2 Oak Ave", "Riverton", "WA", "99100", "48.0", "-118.0", "149", "Nurse",
+         "1978-06-21", "t0002", "1325376044", "48.2", "-118.1", "1"],
     ]
     with open(os.path.join(d, "part.csv"), "w") as f:
         f.write(",".join(HEADER) + "\n")
@@ -34,8 +34,8 @@ def test_read_raw_csv_with_extra_columns(spark):
     raw = read_raw(spark, d, "csv")
     assert raw.columns == RAW_COLUMNS
     txn = prepare_transactions(raw).orderBy("trans_ts").collect()
-    assert txn[0].cc_num == 2703186189652095 and str(txn[0].amt) == "4.97"
-    assert txn[0].trans_ts == dt.datetime(2019, 1, 1, 0, 0, 18) and txn[0].customer_name == "Jennifer Banks"
+    assert txn[0].cc_num == 4000123412341234 and str(txn[0].amt) == "4.97"
+    assert txn[0].trans_ts == dt.datetime(2019, 1, 1, 0, 0, 18) and txn[0].customer_name == "Ann Lee"
     assert txn[1].is_fraud == 1 and txn[1].age == 42 and 20 < txn[1].dist_km < 40
 
 
