@@ -44,3 +44,18 @@ def test_as_of_baseline_uses_past_only(spark):
     assert fitted.count() == expected.count() > 0
     assert fitted.exceptAll(expected).count() == 0
     assert layered_alerts(txn, as_of=cut).count() >= 0
+
+
+def test_hourly_distinct_count_is_two_phase(spark):
+    """The distinct merchant count shuffles by (hour keys, merchant) after a partial
+    aggregate, so a hot card-hour is spread over merchants, then by the hour keys."""
+    import re
+    from conftest import SF_SMALL
+    from ledgerlens.operators.alerts import hourly_profile
+    df = hourly_profile(transactions_from_driver_tables(spark, SF_SMALL))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert any("merchant" in e for e in exchanges)
+    assert any("merchant" not in e and "trans_hour" in e for e in exchanges)
+    assert "partial_count" in plan
