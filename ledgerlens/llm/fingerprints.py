@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest as _hash
 
 from ledgerlens.llm.common import WORD_PATTERN
@@ -43,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprint_udf(shingle: int = SHINGLE):
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def of(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in text], dtype="int64")
     return of

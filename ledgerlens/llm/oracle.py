@@ -51,4 +51,15 @@ SELECT doc_id, size, source_size, target,
 FROM line JOIN t ON line.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE = {"op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_mixing": OP8}
+OP9 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages
+), w AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS winner FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM w
+"""
+
+ORACLE = {"op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_mixing": OP8, "op9_warc": OP9}

@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import chat_format, exact_dedup, mixing, simhash
+from ledgerlens.llm import chat_format, exact_dedup, gam, mixing, pieces, pii, quality_rules, simhash, token_files, warc
 from ledgerlens.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+RANKS, SEPARATOR = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids, and say whether the text came back."""
+    model = pieces.read_model(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = pieces.decode(pieces.encode(docs, model), model)
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.scored(docs, gam.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -29,4 +55,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_format, op6_exact_dedup, op7_simhash, op8_mixing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.corpus_token_counts(spark, docs, RANKS, public_tokenizers.PATTERN, SEPARATOR)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_pii, op4_quality_gam, op5_chat_format, op6_exact_dedup, op7_simhash, op8_mixing,
+                                   op9_warc, op10_token_counts)}
