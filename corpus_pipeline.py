@@ -6,11 +6,19 @@ the shared checkpoint folder and reads it again for the next, so a lost executor
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact_dedup as _dedup, mixing as _mixing, simhash as _simhash
+from ledgerlens.llm import exact_dedup as _dedup, mixing as _mixing, pieces as _pieces, quality_rules as _rules, simhash as _simhash
 from ledgerlens.llm.common import shared_folder, table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the proven cutoffs reject go."""
+    return _rules.kept_rows(docs, table(spark, sf_dir, "labels"))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
@@ -27,10 +35,17 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _mixing.mixed_rows(docs)
 
 
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    return _pieces.encode(docs, _pieces.read_model(PIECE_MODEL))
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
     ("mixing sources to target weights", source_mixing),
+    ("SentencePiece encoding", sentencepiece_encoding),
 ]
 
 # SQL can't express the fingerprints and the encoding; tests/llm hold run() against a brute-force version.
