@@ -8,6 +8,6 @@ from ledgerlens.functions.calendar import (  # noqa: F401
 )
 from ledgerlens.functions.geo import great_circle_km  # noqa: F401
 from ledgerlens.functions.numeric import (  # noqa: F401
-    cond_sum, dec, exact_mean, flag_sum, money, pct, pct_exact, ratio, safe_div,
+    cond_sum, dec, flag_sum, money, pct, pct_exact, ratio, safe_div,
 )
 from ledgerlens.functions.rfm import rfm_action, rfm_segment, rfm_sub_segment  # noqa: F401

@@ -43,16 +43,6 @@ def ratio(num, den, digits: int) -> Column:
     return F.round(safe_div(num, den), digits).cast("double")
 
 
-def exact_mean(col) -> Column:
-    """Mean as exact decimal ``SUM / COUNT`` (non-NULL values) for later rounding.
-
-    ``avg`` on DECIMAL rounds the quotient at scale+4 first; dividing the sum
-    by the count keeps 18 digits so a following ``round`` sees the exact value.
-    """
-    col = _c(col)
-    return F.sum(col) / F.nullif(F.count(col), F.lit(0))
-
-
 def money(col, digits: int = 2) -> Column:
     """``ROUND(x, 2)`` of an exact decimal, as DOUBLE for the result set."""
     return F.round(_c(col), digits).cast("double")

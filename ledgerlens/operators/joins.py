@@ -7,7 +7,7 @@ partners without forming all pairs, which is what a top-k question needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.functions.calendar import epoch_second
 
@@ -36,35 +36,30 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 
 
 def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, k: int,
-                            horizon_seconds: int = 24 * 3600, left_tie: str | None = None,
-                            num_partitions: int | None = None, method: str = "auto") -> DataFrame:
+                            horizon_seconds: int = 24 * 3600, left_tie: str | None = None) -> DataFrame:
     """For every right row, its (at most) ``k`` best left partners: same ``key``,
     ``left_ts <= right_ts <= left_ts + horizon``, most recent ``left_ts`` first
     (then smaller ``left_tie``).
 
-    Exact for any top-k (k' <= k) query ordered by the gap ``right_ts - left_ts``
-    (then key, left time, right time, ``left_tie``): a pair in the global top k
-    is among the first k pairs of its own right row. Never forms all pairs of a
+    Exact for a top-k' query (k' <= k) whose order, among the pairs of one right row, is
+    this candidate order: latest ``left_ts`` first, then ``left_tie`` ascending. A pair in the global top k'
+    is then among the first k pairs of its own right row. Never forms all pairs of a
     key, so a hot key costs O(k) per right row and nothing is quadratic:
 
-    1. put both sides in one total order (key, time, left before right, then
-       larger tie first) and count, for every row, the left rows at or before
-       it (:func:`global_running_count`, no single-partition stage). A left
-       row's count is its sequence number ``s``; a right row's count ``c`` is
-       the sequence number of its latest possible partner;
-    2. its candidates are ``s`` in (c - k, c]: at most two blocks of k
+    1. order both sides of a key by time (left before right, then larger tie first) and
+       number the left rows; the number of the latest left row at or before a right row
+       is that row's count ``c``. The numbering is a window inside (key, time bucket) plus a prefix
+       sum over the key's buckets, so a hot key is spread over its buckets;
+    2. its candidates are the left rows numbered (c - k, c]: at most two blocks of k
        consecutive left rows, so an equi join on (key, block) meets <= 2k left
        rows per right row (a block holds k left rows, so no key is hot on the
        left side; many right rows on one block are a skewed key AQE splits);
     3. the exact key and time conditions filter the candidates.
 
-    First, left rows that cannot have any partner are dropped by a semi join
-    on (key, horizon bucket): a partner of a left row lies in its bucket or
-    the next one. Dropping non-partners keeps every right row's best partners
-    at the end of its candidate run, so the result is unchanged.
+    Nothing is sampled, collected or stored: the result is one lazy plan. Left rows without any
+    right row in their bucket or the next are dropped first by a semi join; that keeps every
+    right row's best partners at the end of its candidate run.
     """
-    from ledgerlens.operators.ranking import global_running_count, resolve_method
-
     h = F.lit(horizon_seconds)
     right_buckets = (right.select(F.col(key), F.floor(epoch_second(right_ts) / h).alias("_b"))
                           .select(F.col(key), F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"))
@@ -75,17 +70,17 @@ def nearest_preceding_pairs(left: DataFrame, right: DataFrame, key: str, left_ts
     tie_type = left.schema[left_tie].dataType if left_tie else "int"
     lrows = left.select(*[F.col(c) for c in left.columns], F.lit(0).alias("_kind"), F.col(left_ts).alias("_t"),
                         (F.col(left_tie) if left_tie else F.lit(None).cast("int")).alias("_tie"))
-    rrows = right.select(*[F.col(c) for c in right.columns], F.lit(1).alias("_kind"), F.col(right_ts).alias("_t"),
-                         F.lit(None).cast(tie_type).alias("_tie"))
-    both = lrows.unionByName(rrows, allowMissingColumns=True)
-    order = [F.col(key), F.col("_t"), F.col("_kind"), F.col("_tie").desc(),
-             *[F.col(c) for c in right.columns if c != key]]
-    both, method = resolve_method(both, method)
-    counted = global_running_count(both, order, F.col("_kind") == 0, "_n", num_partitions, method)
-    if method == "range":
-        # both sides of the block join read the counts: materialise them once
-        # (reliable checkpoint) rather than repeat the range pass per side
-        counted = counted.checkpoint(eager=True)
+    rrows = right.where(F.col(key).isNotNull()).select(*[F.col(c) for c in right.columns], F.lit(1).alias("_kind"), F.col(right_ts).alias("_t"),
+                                                       F.lit(None).cast(tie_type).alias("_tie"))
+    both = (lrows.unionByName(rrows, allowMissingColumns=True)
+                 .withColumn("_bucket", F.floor(epoch_second("_t") / h)).withColumn("_is_left", F.when(F.col("_kind") == 0, 1).otherwise(0)))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (both.groupBy(key, "_bucket").agg(F.sum("_is_left").alias("_in_bucket"))
+                   .select(key, "_bucket", F.coalesce(F.sum("_in_bucket").over(earlier), F.lit(0)).alias("_offset")))
+    # rows of one time and kind share their place but for the tie; the rest of the order is of no consequence
+    running = F.sum("_is_left").over(Window.partitionBy(key, "_bucket").orderBy("_t", "_kind", F.col("_tie").desc())
+                                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = both.withColumn("_run", running).join(offsets, [key, "_bucket"]).withColumn("_n", F.col("_offset") + F.col("_run"))
     lk = (counted.where(F.col("_kind") == 0)
                  .select(*left.columns, F.col("_n").alias("_s"))
                  .withColumn("_block", F.floor((F.col("_s") - 1) / k)))

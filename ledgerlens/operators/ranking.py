@@ -1,171 +1,112 @@
-"""Global NTILE / RANK / ROW_NUMBER without a single-partition window.
-
-``Window.orderBy(...)`` with no partition key makes Spark move every row into
-one task. That is fine for a few hundred aggregated rows but not for a table
-with one row per card at cluster scale. The distributed form here:
-
-1. range-partition the rows on the (total) order into P partitions and sort
-   each partition locally;
-2. number rows inside each partition from ``monotonically_increasing_id``
-   (partition index in the high bits, record number in the low 33 bits);
-3. count rows per partition (P numbers), turn them into exclusive prefix sums
-   with a window over those P rows, and broadcast that P-row table back.
-
-The global row number is ``offset[partition] + local + 1``. The tagged rows
-are checkpointed (reliable storage, lineage cut) before counting, so counts
-and numbers come from one materialisation even if Spark would evaluate the
-range exchange twice or re-run a task. The order should be total (callers
-append a unique tail key) for a deterministic numbering. The broadcast table
-is bounded by the partition count, not by the data.
+"""Global NTILE / RANK without a single-partition window.
+
+``Window.orderBy(...)`` with no partition key makes Spark move every row into one task. The forms here
+never do; what they gather is bounded by a parameter or by the number of partitions:
+
+* NTILE: only the last row of each tile but the last is needed. The ordered columns (nothing else)
+  are range-partitioned, numbered inside their partitions and written once to the shared scratch folder;
+  the partitions' counts (one row per partition) say which partition and position each cut row has. The
+  cut rows become literals, the scratch is deleted, and every row's tile is a comparison with them.
+* RANK: ties share a rank, so distinct ordering keys are counted first. Their ranges come from
+  approximate percentiles of one ordering column (``RANGES`` numbers, taken as literals, so any evaluation
+  agrees); offsets are prefix sums over the ranges, and a window runs inside each range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir, shuffle_partitions
+from ledgerlens.session import materialized
 
+# ranges that a global rank is cut into: bounds the literals and the offset table
+RANGES = 1024
 
-# Largest input (rows) ranked by the built-in single-partition window under
-# method="auto": one task sorts this many narrow rows in about a second.
-# Override per session with the runtime setting below.
-SINGLE_TASK_ROWS = 1_000_000
-SINGLE_TASK_ROWS_CONF = "spark.ledgerlens.maxSingleTaskRows"
 
+def _sort(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    return num_partitions or shuffle_partitions(df.sparkSession)
 
+def _not_after(order: Sequence[tuple[str, bool]], values: Sequence[Column]) -> Column:
+    """Whether a row stands at or before the row of ``values`` in ``order``: (column, descending) pairs.
 
-def resolve_method(df: DataFrame, method: str, max_single_task_rows: int | None = None) -> tuple[DataFrame, str]:
-    """Pick ``"window"`` or ``"range"`` for ``method="auto"`` from a measured row count.
-
-    The input is checkpointed to the session's reliable checkpoint dir first
-    (it is one row per entity, far smaller than the fact table), so the count
-    and the ranking read the same materialised rows and lineage is cut. The
-    single-task window is used only when the count proves the input small.
+    As in Spark's sort, nulls come first ascending and last descending.
     """
-    if method != "auto":
-        return df, method
-    if max_single_task_rows is None:
-        max_single_task_rows = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS)))
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    n = df.count()
-    return df, ("window" if n <= max_single_task_rows else "range")
+    result = F.lit(True)
+    for (name, descending), value in reversed(list(zip(order, values))):
+        col = F.col(name)
+        smaller, larger = (value, col) if descending else (col, value)
+        first = (smaller.isNull() & larger.isNotNull()) | F.coalesce(smaller < larger, F.lit(False))
+        result = first | (col.eqNullSafe(value) & result)
+    return result
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
-                      num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
-    """``ROW_NUMBER() OVER (ORDER BY order)``; ``order`` must be a total order.
+def cut_rows(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> list[dict | None]:
+    """The last row of each of the first ``n - 1`` of ``n`` tiles in ``order`` (None: the tile and those before are empty).
 
-    If ``total_name`` is given, the total row count is attached as well.
-    """
-    p = _partitions(df, num_partitions)
-    pid = F.spark_partition_id()
-    ensure_checkpoint_dir(df.sparkSession)
-    # Freeze (partition, position) as column values in the reliable checkpoint
-    # dir: range bounds come from sampling, and two evaluations of the range
-    # exchange (or a re-run after a lost executor) may draw different bounds.
-    # Counting and numbering then read the same stored rows.
-    tagged = (df.repartitionByRange(p, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_pid", pid)
-                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-                .checkpoint(eager=True))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_total"),
-    )
-    out = (tagged.join(F.broadcast(offsets), "_pid")
-                 .withColumn(name, F.col("_offset") + F.col("_local") + 1))
-    if total_name:
-        out = out.withColumnRenamed("_total", total_name)
-    return out.drop("_pid", "_local", "_offset", "_total")
-
-
-def global_running_count(df: DataFrame, order: Sequence[Column], flag: Column, name: str,
-                         num_partitions: int | None = None, method: str = "range") -> DataFrame:
-    """For every row, how many rows with ``flag`` true come at or before it in ``order``
-    (a running count over the global order, e.g. of one kind of event).
-
-    ``method="range"``: same range-partition / checkpoint / offset scheme as
-    :func:`global_row_number`; the in-partition running count is a window over
-    each (balanced) range partition, and the offsets of the preceding
-    partitions come from a broadcast table of P rows. ``"window"``: the
-    built-in running sum over one partition (small inputs only). ``"auto"``:
-    checkpoint and count the input, then pick (:func:`resolve_method`).
-    """
-    df, method = resolve_method(df, method)
-    if method == "window":
-        running = F.sum(F.when(flag, 1).otherwise(0)).over(
-            Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(name, running.cast("long"))
-    p = _partitions(df, num_partitions)
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.withColumn("_w", F.when(flag, 1).otherwise(0))
-                .repartitionByRange(p, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_local", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-                .checkpoint(eager=True))
-    sums = tagged.groupBy("_pid").agg(F.sum("_w").alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"))
-    running = F.sum("_w").over(Window.partitionBy("_pid").orderBy("_local")
-                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (tagged.withColumn("_run", running)
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(name, (F.col("_offset") + F.col("_run")).cast("long"))
-                  .drop("_w", "_pid", "_local", "_offset", "_run"))
-
-
-def ntile_from_row_number(rn: Column, total: Column, n: int) -> Column:
-    """NTILE(n) from a 1-based row number and the row count: the first ``total % n``
-    tiles hold one row more than the others."""
-    q = F.floor(total / n).cast("long")
-    r = total - q * n
-    big = r * (q + 1)
-    return (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
-             .otherwise(r + F.floor((rn - big - 1) / q) + 1)).cast("int")
-
-
-def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str,
-                 num_partitions: int | None = None, method: str = "range") -> DataFrame:
-    """``NTILE(n) OVER (ORDER BY order)``; ``order`` must be total (append a unique key).
-
-    ``method="range"`` is the distributed form; ``method="window"`` uses the
-    built-in single-partition window (only for small inputs); ``"auto"``
-    measures the input first (:func:`resolve_method`).
+    The first ``rows % n`` tiles hold one row more than the others. ``order`` must be total up to identical rows. At most ``n - 1`` rows reach the driver.
     """
-    df, method = resolve_method(df, method)
-    if method == "window":
-        return df.withColumn(name, F.ntile(n).over(Window.orderBy(*order)))
-    rn = global_row_number(df, order, "_rn", num_partitions, total_name="_n")
-    return rn.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_n"), n)).drop("_rn", "_n")
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], keys: Sequence[str], tail: Sequence[Column],
-                name: str, num_partitions: int | None = None, method: str = "range") -> DataFrame:
+    names, pid = [c for c, _ in order], F.spark_partition_id()
+    by = [_sort(*o) for o in order]
+    placed = (df.select(*names).repartitionByRange(*by).sortWithinPartitions(*by)
+                .withColumns({"_pid": pid, "_at": F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1}))
+    # stored, because range bounds are sampled: counts and positions must come from one evaluation
+    with materialized(placed) as rows:
+        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        parts = (rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+                     .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total")))
+        ends = F.array(*[F.expr(f"(_total div {n}) * {t} + least({t}, _total % {n})") for t in range(1, n)])
+        wanted = parts.select("_pid", "_before", F.posexplode(ends).alias("_tile", "_end"))
+        # one row per partition: a bounded broadcast
+        found = (rows.join(F.broadcast(wanted), "_pid").where("_before + _at = _end").select("_tile", *names)
+                     .collect())
+    at = {r["_tile"]: r.asDict() for r in found}
+    return [at.get(t) for t in range(n - 1)]
+
+
+def tile(df: DataFrame, order: Sequence[tuple[str, bool]], cuts: Sequence[dict | None]) -> Column:
+    """The 1-based tile of a row of ``df`` from the tiles' cut rows."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def after(cut: dict | None) -> Column:
+        if cut is None:
+            return F.lit(1)
+        values = [F.lit(cut[c]).cast(types[c]) for c, _ in order]
+        return F.when(_not_after(order, values), 0).otherwise(1)
+    return reduce(lambda a, b: a + b, [after(c) for c in cuts], F.lit(1)).cast("int")
+
+
+def global_ntile(df: DataFrame, n: int, order: Sequence[tuple[str, bool]], name: str) -> DataFrame:
+    """``NTILE(n) OVER (ORDER BY order)``; ``order``: (column, descending) pairs, total (append a unique key)."""
+    return df.withColumn(name, tile(df, order, cut_rows(df, order, n)))
+
+
+def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], name: str, spread: str, ranges: int = RANGES) -> DataFrame:
     """``RANK() OVER (ORDER BY order)``: 1 + number of rows strictly before.
 
-    ``keys`` are the column names ``order`` is built from (ties share them) and
-    ``tail`` makes the order total. Each row gets a global row number; a tie
-    group's rank is its smallest row number (one aggregate on the keys, joined
-    back; a huge tie group is a skewed join key that AQE splits).
+    ``spread`` is the numeric column of ``order`` whose percentiles cut the ranges; columns of ``order`` before it should
+    have few values (a priority), since each combination of them has its own ranges.
     """
-    df, method = resolve_method(df, method)
-    if method == "window":
-        return df.withColumn(name, F.rank().over(Window.orderBy(*order)))
-    numbered = global_row_number(df, [*order, *tail], "_rn", num_partitions)
-    renamed = [f"_rank_key{i}" for i in range(len(keys))]
-    first = (numbered.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)])
-                     .agg(F.min("_rn").cast("int").alias(name)))
-    cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, renamed)]
-    return numbered.join(first, cond).drop(*renamed, "_rn")
+    keys = [c for c, _ in order]
+    lead = keys[:keys.index(spread)]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # one pass over the keys; the result has at most ``ranges`` numbers
+    bounds = df.agg(F.percentile_approx(F.col(spread).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    steps = sorted(set(bounds))
+    descending = dict(order)[spread]
+    # number of bounds below the value: equal keys share a range, and ranges are in order
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in steps]).cast("array<double>"), lambda b: b < F.coalesce(F.col(spread).cast("double"), F.lit(float("-inf")))))
+    counted = counted.withColumn("_range", place)
+    by_range = [_sort(c, d) for c, d in order[:len(lead)]] + [_sort("_range", descending)]
+    before = Window.orderBy(*by_range).rowsBetween(Window.unboundedPreceding, -1)
+    # at most ``ranges`` rows per combination of the leading columns
+    offsets = (counted.groupBy(*lead, "_range").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+                      .select(*[F.col(c).alias(f"_o_{c}") for c in (*lead, "_range")], "_before"))
+    inside = Window.partitionBy(*lead, "_range").orderBy(*[_sort(*o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+    same_range = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*lead, "_range")])
+    ranks = (counted.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, same_range)
+                    .select(*[F.col(c).alias(f"_k_{c}") for c in keys], (F.col("_before") + F.col("_inside") + 1).cast("int").alias(name)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return df.join(ranks, same).drop(*[f"_k_{c}" for c in keys])

@@ -31,15 +31,16 @@ def label_rate(df: DataFrame, dims: Sequence, label: str = "is_fraud", amount: s
 
 
 def expected_vs_actual(counts: DataFrame, n: str = "txn_count", actual: str = "actual_fraud",
-                       rate_digits: int = 4) -> DataFrame:
+                       rate_digits: int = 4, base_rate=None) -> DataFrame:
     """Compare each group's label count with the portfolio-wide rate.
 
-    The portfolio rate (percent, rounded to ``rate_digits``) is the ratio of the
+    The portfolio rate (percent, rounded to ``rate_digits``) is ``base_rate`` if given, else the ratio of the
     column totals of ``counts``; ``counts`` is already aggregated to one row per
     band, so the total is a window over a handful of rows.
     """
     whole = Window.partitionBy()
-    rate = pct_exact(F.sum(actual).over(whole), F.sum(n).over(whole), rate_digits).cast("decimal(10,4)")
+    total = pct_exact(F.sum(actual).over(whole), F.sum(n).over(whole), rate_digits)
+    rate = (total if base_rate is None else F.round(dec(base_rate), rate_digits)).cast(f"decimal(10,{rate_digits})")
     expected_raw = F.col(n).cast("decimal(20,0)") * F.col("_rate") / dec("100.0")
     expected = F.round(expected_raw, 0)
     return (counts.withColumn("_rate", rate)

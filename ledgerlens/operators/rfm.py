@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.functions import rfm_action, rfm_segment, rfm_sub_segment
-from ledgerlens.operators.ranking import global_ntile
+from ledgerlens.operators.ranking import cut_rows, tile
+from ledgerlens.session import materialized
 
 
 def rfm_base(txn: DataFrame, keys: Sequence[str] = ("cc_num",), as_of=None,
@@ -33,22 +34,20 @@ def rfm_base(txn: DataFrame, keys: Sequence[str] = ("cc_num",), as_of=None,
                 .drop("_as_of"))
 
 
-def rfm_score(base: DataFrame, tiles: int = 4, tie: Sequence[str] = ("cc_num",),
-              method: str = "auto", num_partitions: int | None = None) -> DataFrame:
+def rfm_score(base: DataFrame, tiles: int = 4, tie: Sequence[str] = ("cc_num",)) -> DataFrame:
     """Quartile scores: recency (most recent = highest), frequency and monetary (ascending).
 
-    Each NTILE order ends in the ``tie`` columns so equal values split
-    deterministically across tile edges. ``method="range"`` runs the
-    distributed NTILE; ``"window"`` the single-partition built-in; ``"auto"``
-    checkpoints and counts the entities once and picks for all three scores.
+    Each NTILE order ends in the ``tie`` columns so equal values split deterministically across tile
+    edges. Building the result runs jobs: the ordered columns of ``base`` (narrow) are stored once, each
+    order's cut rows (``tiles - 1`` of them) are found there, and the stored files are removed. The
+    result itself is a projection of ``base`` that compares each row with those literals.
     """
-    from ledgerlens.operators.ranking import resolve_method
-    base, method = resolve_method(base, method)
-    tail = [F.col(c).asc() for c in tie]
-    scored = global_ntile(base, tiles, [F.col("recency_days").desc(), *tail], "r_score", num_partitions, method)
-    scored = global_ntile(scored, tiles, [F.col("frequency").asc(), *tail], "f_score", num_partitions, method)
-    scored = global_ntile(scored, tiles, [F.col("monetary").asc(), *tail], "m_score", num_partitions, method)
-    return scored
+    orders = {name: [(value, descending), *[(c, False) for c in tie]]
+              for name, value, descending in (("r_score", "recency_days", True), ("f_score", "frequency", False), ("m_score", "monetary", False))}
+    columns = list(dict.fromkeys(c for order in orders.values() for c, _ in order))
+    with materialized(base.select(*columns)) as narrow:
+        cuts = {name: cut_rows(narrow, order, tiles) for name, order in orders.items()}
+    return base.withColumns({name: tile(base, order, cuts[name]) for name, order in orders.items()})
 
 
 def with_segments(scored: DataFrame, sub_segments: bool = True) -> DataFrame:

@@ -50,12 +50,22 @@ def period_delta(df: DataFrame, entity: Sequence[str], period: Sequence, value:
 
 def rolling_trend(df: DataFrame, entity: Sequence[str], order: Sequence, value: str, window: int = 3,
                   cuts=("0.70", "0.90", "1.10"), mean: str = "rolling_3m_avg", prev: str = "prev_rolling_avg",
-                  change: str = "rolling_change", label: str = "trend_label") -> DataFrame:
+                  change: str = "rolling_change", label: str = "trend_label", last_only: bool = False,
+                  latest: DataFrame | None = None) -> DataFrame:
     """Rolling mean of the last ``window`` rows (2-digit rounded), its previous value,
-    the change and the trend label (:func:`trend_label`)."""
+    the change and the trend label (:func:`trend_label`).
+
+    ``last_only`` keeps the rows of the latest period of all: ``order`` must then be one column, and
+    ``latest`` may give that period as a one-row, one-column frame (default: the maximum over ``df``)."""
     rolled = rolling_mean(df, entity, order, value, window, mean)
     out = period_delta(rolled, entity, order, mean, prev, change, mode="diff", digits=2)
-    return out.withColumn(label, trend_label(mean, prev, cuts))
+    out = out.withColumn(label, trend_label(mean, prev, cuts))
+    if not last_only:
+        return out
+    (period,) = order
+    latest = df.agg(F.max(period)) if latest is None else latest
+    # one row: a bounded broadcast
+    return out.crossJoin(F.broadcast(latest.toDF("_latest"))).where(F.col(period) == F.col("_latest")).drop("_latest")
 
 
 def rolling_mean(df: DataFrame, partition: Sequence[str], order: Sequence, value: str, rows: int,
@@ -109,11 +119,19 @@ def cohort_matrix(txn: DataFrame, entity: str = "cc_num", date: str = "trans_dat
 def consistency(monthly: DataFrame, keys: Sequence[str], value: str, min_periods: int = 3,
                 cuts=("0.3", "0.7")) -> DataFrame:
     """Mean / sample stddev / min / max of an entity's period values, coefficient of
-    variation (of the rounded stats) and its label; entities with >= min_periods."""
+    variation (of the rounded stats) and its label; entities with >= min_periods.
+
+    The deviation comes from exact decimal sums of x and x * x (values of 2 decimals), so no
+    order of merging can change its digits."""
+    x, n = F.col(value).cast("decimal(18,2)"), F.count(value).cast("decimal(9,0)")
+    # n * sum(x^2) - sum(x)^2 in hundredths squared, exact
+    cents = (x * 100).cast("decimal(18,0)")
+    spread = n * F.sum((cents * cents).cast("decimal(28,0)")).cast("decimal(29,0)") - (F.sum(cents) * F.sum(cents)).cast("decimal(38,0)")
+    stddev = F.when(F.count(value) > 1, F.sqrt(spread.cast("double") / (n * (n - 1)).cast("double")) / 100)
     stats = (monthly.groupBy(*keys)
                     .agg(F.count(F.lit(1)).alias("active_months"),
                          F.round(F.sum(value) / F.count(value), 2).alias("_mean"),
-                         F.round(F.stddev_samp(value), 2).alias("_sd"),
+                         F.round(stddev, 2).alias("_sd"),
                          F.round(F.min(value), 2).alias("_min"),
                          F.round(F.max(value), 2).alias("_max"))
                     .where(F.col("active_months") >= min_periods))

@@ -15,32 +15,32 @@ def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int
     """A1: legit purchases over ``min_amount`` followed on the same card by a fraud
     within ``horizon_hours`` (both ends inclusive); the k closest pairs.
 
-    ``method="nearest"`` (default) keeps, per fraud row, only its k most recent
-    qualifying purchases (:func:`nearest_preceding_pairs`), which is exact for
-    this top-k and never forms all pairs of a card; its running count picks
-    the single-window or range form from a measured size (``"nearest_range"``
-    forces the range form). ``"all_pairs"`` forms every pair with the
-    time-bucketed interval join; it is the brute-force reference for tests.
+    Order: gap in hours rounded to 2 digits, exact seconds, card, fraud time, then the latest purchase
+    first and the smaller amount. Among the pairs of one fraud row that is the order in which
+    ``method="nearest"`` (default) keeps each fraud row's k most recent qualifying purchases
+    (:func:`nearest_preceding_pairs`), so the cut loses nothing and no card's pairs are all formed.
+    ``"all_pairs"`` forms every pair with the time-bucketed interval join; it is the
+    brute-force reference for tests.
     """
     large = (txn.where((F.col("is_fraud") == 0) & (F.col("amt") > min_amount))
                 .select("cc_num", F.col("trans_ts").alias("legit_txn_time"), F.col("amt").alias("legit_amt")))
     fraud = txn.where(F.col("is_fraud") == 1).select("cc_num", F.col("trans_ts").alias("fraud_txn_time"))
     if method == "all_pairs":
         pairs = interval_join(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", horizon_hours * 3600)
-    else:
-        count_method = "range" if method == "nearest_range" else "auto"
+    elif method == "nearest":
         pairs = nearest_preceding_pairs(large, fraud, "cc_num", "legit_txn_time", "fraud_txn_time", k,
-                                        horizon_hours * 3600, left_tie="legit_amt", method=count_method)
-    hours = F.round(seconds_between("legit_txn_time", "fraud_txn_time").cast("decimal(20,0)") / dec("3600.0"), 2)
+                                        horizon_hours * 3600, left_tie="legit_amt")
+    else:
+        raise ValueError("method must be 'nearest' or 'all_pairs'")
+    seconds = seconds_between("legit_txn_time", "fraud_txn_time")
     out = pairs.select(
-        "cc_num", "legit_txn_time",
-        F.col("legit_amt").cast("double").alias("legit_amt"),
-        "fraud_txn_time",
-        hours.alias("_hours"),
+        "cc_num", "legit_txn_time", "legit_amt", "fraud_txn_time",
+        F.round(seconds.cast("decimal(20,0)") / dec("3600.0"), 2).alias("_hours"), seconds.alias("_seconds"),
     )
-    ranked = top_k(out, k, [F.col("_hours").asc(), F.col("cc_num"), F.col("legit_txn_time"),
-                            F.col("fraud_txn_time"), F.col("legit_amt")])
-    return ranked.withColumn("hours_between", F.col("_hours").cast("double")).drop("_hours")
+    ranked = top_k(out, k, [F.col("_hours").asc(), F.col("_seconds").asc(), F.col("cc_num"), F.col("fraud_txn_time"),
+                            F.col("legit_txn_time").desc(), F.col("legit_amt")])
+    return ranked.select("cc_num", "legit_txn_time", F.col("legit_amt").cast("double").alias("legit_amt"), "fraud_txn_time",
+                         F.col("_hours").cast("double").alias("hours_between"))
 
 
 def fraud_rate_jumps(txn: DataFrame, k: int = 10) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.plans import adhoc, behavior, category, geography, preparation, segmentation, velocity
-from ledgerlens.sources.fixtures import raw_exports
+from ledgerlens.session import scratch_path
+from ledgerlens.sources.fixtures import raw_exports, raw_from_driver_tables
+from ledgerlens.sources.sinks import read_transactions, write_transactions
 
 # name -> report(transactions) -> DataFrame, in the order of the original scripts.
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -35,10 +37,22 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def transactions_from_driver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared table computed (lazily) from the driver tables at ``sf_dir``."""
+    """Prepared table computed (lazily) from the driver tables at ``sf_dir``, in one pass over them."""
+    return preparation.prepare_transactions(raw_from_driver_tables(spark, sf_dir))
+
+
+def prepared_from_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared table from the two raw exports, combined by column name."""
     return preparation.prepare_transactions(*raw_exports(spark, sf_dir))
 
 
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared table written to the shared folder and read back."""
+    path = scratch_path(spark, "transactions")
+    write_transactions(prepared_from_exports(spark, sf_dir), path)
+    return read_transactions(spark, path)
+
+
 def prepared_for_comparison(txn: DataFrame) -> DataFrame:
     """The prepared table as a result set: money as DOUBLE and the trig distance
     rounded to 4 digits (0.1 m). JVM and C math libraries differ in the last
@@ -55,7 +69,8 @@ def register_transactions_view(txn: DataFrame, name: str = "transactions") -> Da
 
 
 def run_report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    txn = transactions_from_driver_tables(spark, sf_dir)
     if name == "prepare_transactions":
-        return prepared_for_comparison(txn)
-    return REPORTS[name](txn)
+        return prepared_for_comparison(prepared_from_exports(spark, sf_dir))
+    if name == "stored_transactions":
+        return prepared_for_comparison(stored_transactions(spark, sf_dir))
+    return REPORTS[name](transactions_from_driver_tables(spark, sf_dir))

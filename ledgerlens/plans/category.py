@@ -20,7 +20,7 @@ def category_scorecard(txn: DataFrame) -> DataFrame:
         F.col("label_n").alias("fraud_txns"),
         pct("label_n", "n", 3).alias("fraud_rate_pct"),
         money("loss").alias("fraud_dollar_loss"),
-    ).orderBy(F.col("gross_volume").desc())
+    ).orderBy(F.col("gross_volume").desc(), "category")
 
 
 def category_loss_priority(txn: DataFrame) -> DataFrame:

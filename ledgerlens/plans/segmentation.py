@@ -12,9 +12,9 @@ from ledgerlens.operators.series import TREND_URGENT, TREND_WARNING, period_delt
 RFM_KEYS = ("cc_num", "customer_name", "gender", "age", "job")
 
 
-def rfm_segments(txn: DataFrame, method: str = "auto") -> DataFrame:
+def rfm_segments(txn: DataFrame) -> DataFrame:
     """1a: cardholders, mean spend, recency, frequency and revenue share per sub-segment."""
-    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS), tie=RFM_KEYS, method=method))
+    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS), tie=RFM_KEYS))
     grouped = (scored.groupBy("sub_segment", "recommended_action")
                      .agg(F.count(F.lit(1)).alias("cardholders"),
                           ratio(F.sum("monetary"), F.count("monetary"), 2).alias("avg_2yr_spend"),
@@ -23,7 +23,7 @@ def rfm_segments(txn: DataFrame, method: str = "auto") -> DataFrame:
                           F.sum("monetary").alias("_revenue")))
     return (share_of_total(grouped, "_revenue", "pct_of_total_revenue", 1)
             .withColumn("total_revenue", money("_revenue"))
-            .orderBy(F.col("_revenue").desc())
+            .orderBy(F.col("_revenue").desc(), "sub_segment", "recommended_action")
             .select("sub_segment", "recommended_action", "cardholders", "avg_2yr_spend",
                     "avg_recency_days", "avg_txn_count", "total_revenue", "pct_of_total_revenue"))
 
@@ -40,7 +40,7 @@ def age_band_spend(txn: DataFrame) -> DataFrame:
         money("_spend").alias("total_spend"),
         ratio("_spend", "total_txns", 2).alias("avg_txn_amt"),
         ratio("_spend", "cardholders", 2).alias("spend_per_cardholder"),
-    ).orderBy(F.col("spend_per_cardholder").desc())
+    ).orderBy(F.col("spend_per_cardholder").desc(), "age_band", "gender")
 
 
 def category_mom_growth(txn: DataFrame) -> DataFrame:
@@ -58,30 +58,25 @@ def category_mom_growth(txn: DataFrame) -> DataFrame:
     ).orderBy("trans_year", "trans_month", "category")
 
 
-def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019) -> DataFrame:
+def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019, last_only: bool = False) -> DataFrame:
     """Per card and month: legit spend, rolling mean over the last ``window`` active
-    months, its previous value, change and trend label."""
+    months, its previous value, change and trend label; ``last_only``: rows of the table's latest month only."""
     monthly = (txn.groupBy("cc_num", "customer_name", "trans_year", "trans_month")
                   .agg(F.round(F.sum(F.when(F.col("is_fraud") == 0, F.col("amt")).otherwise(0)), 2)
                        .alias("legit_spend"))
                   .withColumn("month_seq", month_index("trans_year", "trans_month", base_year)))
-    return rolling_trend(monthly, ["cc_num"], ["month_seq"], "legit_spend", window)
+    # latest month of the whole table: a two-column scan, not a second pass over the trend windows
+    latest = txn.agg(F.max(month_index("trans_year", "trans_month", base_year))) if last_only else None
+    return rolling_trend(monthly, ["cc_num"], ["month_seq"], "legit_spend", window, last_only=last_only, latest=latest)
 
 
-def rolling_spend_decline(txn: DataFrame, method: str = "auto") -> DataFrame:
+def rolling_spend_decline(txn: DataFrame) -> DataFrame:
     """1d: cards declining in the latest month, ranked (urgent first, then larger rolling mean)."""
-    trend = card_month_trend(txn)
-    # latest month of the whole table: a two-column scan, not a second pass over the trend windows
-    latest = txn.agg(F.max(month_index("trans_year", "trans_month")).alias("_last"))
-    flagged = (trend.crossJoin(F.broadcast(latest))
-                    .where((F.col("month_seq") == F.col("_last"))
-                           & F.col("trend_label").isin(TREND_URGENT, TREND_WARNING))
-                    .withColumn("_priority", F.when(F.col("trend_label") == TREND_URGENT, 1)
-                                .when(F.col("trend_label") == TREND_WARNING, 2).otherwise(3)))
-    ranked = global_rank(flagged, [F.col("_priority").asc(), F.col("rolling_3m_avg").desc()],
-                         ["_priority", "rolling_3m_avg"],
-                         [F.col("cc_num").asc(), F.col("customer_name").asc()],
-                         "retention_priority_rank", method=method)
+    flagged = (card_month_trend(txn, last_only=True)
+               .where(F.col("trend_label").isin(TREND_URGENT, TREND_WARNING))
+               .withColumn("_priority", F.when(F.col("trend_label") == TREND_URGENT, 1)
+                           .when(F.col("trend_label") == TREND_WARNING, 2).otherwise(3)))
+    ranked = global_rank(flagged, [("_priority", False), ("rolling_3m_avg", True)], "retention_priority_rank", spread="rolling_3m_avg")
     return ranked.select(
         "cc_num", "customer_name", "trans_year", "trans_month",
         F.col("legit_spend").cast("double").alias("current_month_spend"),

@@ -57,9 +57,9 @@ def amount_band_rate(txn: DataFrame) -> DataFrame:
             .orderBy("band"))
 
 
-def segment_fraud_exposure(txn: DataFrame, method: str = "auto") -> DataFrame:
+def segment_fraud_exposure(txn: DataFrame) -> DataFrame:
     """4d: per RFM segment (card-level scoring), cards hit by fraud and fraud loss."""
-    scored = with_segments(rfm_score(rfm_base(txn, ["cc_num"]), method=method), sub_segments=False)
+    scored = with_segments(rfm_score(rfm_base(txn, ["cc_num"])), sub_segments=False)
     g = segment_exposure(scored, txn)
     return g.select(
         "segment", "total_cards", "cards_hit_by_fraud",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should have; sized per deployment by the caller.
 BASE_CONF = {
@@ -49,16 +52,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir; set a scratch one only if it is unset.
+    """Return the session's checkpoint dir; set a scratch one only in a local session without one.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and is
-    used as is. Only a bare local session (tests) gets a fresh temporary folder.
+    used as is; without it a cluster session is an error, because executors would
+    write to disks that the others cannot see.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     target = configured or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
@@ -70,6 +76,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+@contextmanager
+def materialized(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` written once under the shared checkpoint dir and read again; the files go when the block ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "scratch")
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

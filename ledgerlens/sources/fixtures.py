@@ -29,48 +29,15 @@ DOB_BASE = "1940-01-01"
 # ---------------------------------------------------------------------------
 
 
-# Resolved table DataFrames per (session, directory, half): resolving the
-# Parquet footers and the split count is the same for every query of a session.
-# The key includes the session object, so sessions with other settings on the
-# same SparkContext (``newSession()``) get their own DataFrames.
-_TABLES: dict[tuple, tuple] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    return (spark.sparkContext.applicationId, id(spark), spark._jsparkSession.hashCode())
-
-
 def _tables(spark: SparkSession, sf_dir: str, half: int | None = None):
-    key = (_session_key(spark), sf_dir.rstrip("/"), half)
-    if key not in _TABLES:
-        _TABLES[key] = _load_tables(spark, sf_dir, half)
-    return _TABLES[key]
-
-
-def _load_tables(spark: SparkSession, sf_dir: str, half: int | None = None):
     def t(name, *cols):
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
 
     lineitem = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     if half is not None:
         lineitem = lineitem.where(F.pmod(F.col("l_orderkey"), F.lit(2)) == half)
-    lineitem = _spread(lineitem)
-    orders = t("orders", "o_orderkey", "o_custkey", "o_orderdate")
-    customer = t("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    nation = t("nation", "n_nationkey", "n_name")
-    supplier = t("supplier", "s_suppkey", "s_name")
-    return lineitem, orders, customer, nation, supplier
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the session has task slots.
-
-    A single-row-group file is read by one task; the per-row mapping then runs
-    serially. With many input files (any real deployment) the scan is already
-    split and this is a no-op. Checking the split count plans the scan only.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return (lineitem, t("orders", "o_orderkey", "o_custkey", "o_orderdate"), t("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+            t("nation", "n_nationkey", "n_name"), t("supplier", "s_suppkey", "s_name"))
 
 
 def _two_digits(x: Column) -> Column:
@@ -135,18 +102,8 @@ def raw_from_driver_tables(spark: SparkSession, sf_dir: str, half: int | None =
     )
 
 
-_EXPORTS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-
-
 def raw_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The mapped rows as two raw exports ("train", "test") with different column order.
-
-    The (lazy, immutable) DataFrames are reused within an application, which
-    spares re-analysing the mapping for every query; nothing is cached in memory.
-    """
-    key = (_session_key(spark), sf_dir.rstrip("/"))
-    if key not in _EXPORTS:
-        train = raw_from_driver_tables(spark, sf_dir, half=0).select(*RAW_COLUMNS)
-        test = raw_from_driver_tables(spark, sf_dir, half=1).select(*reversed(RAW_COLUMNS))
-        _EXPORTS[key] = (train, test)
-    return _EXPORTS[key]
+    """The mapped rows as two raw exports ("train", "test") with different column order. Each reads its half of
+    lineitem; a report over all rows reads them in one pass through :func:`raw_from_driver_tables`."""
+    return (raw_from_driver_tables(spark, sf_dir, half=0).select(*RAW_COLUMNS),
+            raw_from_driver_tables(spark, sf_dir, half=1).select(*reversed(RAW_COLUMNS)))

@@ -9,9 +9,8 @@ is reported once with the same numbers the batch ``hourly_profile`` gives.
 
 Differences from the batch path, by necessity of streaming:
 * rows arriving after the watermark has passed their hour are dropped;
-* distinct merchants are counted exactly with ``size(collect_set(...))``
-  (streaming aggregation refuses ``countDistinct``); the set is bounded by the
-  merchants one card visits in one category-hour.
+* streaming aggregation refuses ``countDistinct``, so each hour is first aggregated per merchant and those
+  rows are then counted: two chained keyed aggregations, so a busy card-hour's state is spread over merchants.
 * the event-time column is the wall-clock ``trans_ts`` read as UTC, so window
   boundaries equal the wall-clock hours whatever the session time zone.
 """
@@ -27,7 +26,6 @@ from ledgerlens.functions import epoch_second, flag_sum
 from ledgerlens.operators.alerts import ONLINE_PATTERN, absolute_rules
 from ledgerlens.plans.preparation import prepare_transactions
 from ledgerlens.schema import RAW_COLUMNS, RAW_SCHEMA
-from ledgerlens.session import ensure_checkpoint_dir
 
 
 def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None,
@@ -55,14 +53,19 @@ def hourly_profile_stream(prepared: DataFrame, watermark: str = "2 hours") -> Da
     keyed = prepared.where(F.col("cc_num").isNotNull() & F.col("category").isNotNull()
                            & F.col("trans_ts").isNotNull())
     events = keyed.withColumn("_event_time", F.timestamp_seconds(epoch_second("trans_ts")))
-    return (events.withWatermark("_event_time", watermark)
-                  .groupBy(F.window("_event_time", "1 hour").alias("window"), "cc_num", "trans_date", "category",
-                           F.col("trans_hour").alias("txn_hour"))
-                  .agg(F.count(F.lit(1)).alias("txns_in_hour"),
-                       F.round(F.sum("amt"), 2).alias("spend_in_hour"),
-                       F.sum("is_fraud").cast("long").alias("fraud_in_hour"),
-                       F.size(F.collect_set("merchant")).cast("long").alias("distinct_merchants"),
-                       flag_sum(~F.col("category").like(ONLINE_PATTERN)).alias("inperson_txns")))
+    keys = ["cc_num", "trans_date", "category", "txn_hour"]
+    per_merchant = (events.withWatermark("_event_time", watermark)
+                          .groupBy(F.window("_event_time", "1 hour").alias("hour"), "cc_num", "trans_date", "category",
+                                   F.col("trans_hour").alias("txn_hour"), "merchant")
+                          .agg(F.count(F.lit(1)).alias("_n"), F.sum("amt").alias("_amt"), F.sum("is_fraud").alias("_fraud"),
+                               flag_sum(~F.col("category").like(ONLINE_PATTERN)).alias("_inperson")))
+    # the hour's own time places the merchant rows in the same window again
+    return (per_merchant.groupBy(F.window(F.window_time("hour"), "1 hour").alias("window"), *keys)
+                        .agg(F.sum("_n").alias("txns_in_hour"),
+                             F.round(F.sum("_amt"), 2).alias("spend_in_hour"),
+                             F.sum("_fraud").cast("long").alias("fraud_in_hour"),
+                             F.count("merchant").alias("distinct_merchants"),
+                             F.sum("_inperson").cast("long").alias("inperson_txns")))
 
 
 def hourly_alert_stream(raw_stream: DataFrame, watermark: str = "2 hours", **rule_params) -> DataFrame:
@@ -74,15 +77,18 @@ def hourly_alert_stream(raw_stream: DataFrame, watermark: str = "2 hours", **rul
             .drop("window"))
 
 
-def start_hourly_alerts(spark: SparkSession, source_path: str, sink_path: str, name: str = "hourly_alerts",
-                        fmt: str = "parquet", watermark: str = "2 hours", available_now: bool = False,
-                        processing_time: str = "1 minute", csv_columns: Sequence[str] | None = None
-                        ) -> StreamingQuery:
-    """Run the stream into a Parquet sink; progress and state live under the
-    session's shared checkpoint dir, so a restarted job resumes exactly once."""
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/streams/{name}"
+def start_hourly_alerts(spark: SparkSession, source_path: str, sink_path: str, checkpoint_location: str,
+                        name: str = "hourly_alerts", fmt: str = "parquet", watermark: str = "2 hours",
+                        available_now: bool = False, processing_time: str = "1 minute",
+                        csv_columns: Sequence[str] | None = None) -> StreamingQuery:
+    """Run the stream into a Parquet sink.
+
+    ``checkpoint_location`` holds progress and state: a fixed folder of this job's own on storage that the
+    driver and all executors share. A later application given the same folder and sink goes on where the last one
+    stopped, each closed hour once.
+    """
     writer = (hourly_alert_stream(read_raw_stream(spark, source_path, fmt, csv_columns=csv_columns), watermark)
               .writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", ckpt).option("path", sink_path).queryName(name))
+              .option("checkpointLocation", checkpoint_location).option("path", sink_path).queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()

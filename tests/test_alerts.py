@@ -1,49 +1,109 @@
-"""The collapsed layered-alert plan equals the literal six-way join."""
+"""Layered alerts against a row-wise check, their parameters and their plan."""
 
-from conftest import SF_MID
-from ledgerlens.operators.alerts import HOUR_KEYS, layered_alerts, layered_alerts_literal
+import datetime as dt
+import random
+from collections import defaultdict
+from fractions import Fraction
+
+from conftest import SF_MID, make_txn
+from ledgerlens.operators.alerts import HOUR_KEYS, context_risk, hourly_profile, layered_alerts, personal_baseline
 from ledgerlens.plans.catalog import transactions_from_driver_tables
+from pyspark.sql import functions as F
 
-COLS = [*HOUR_KEYS, "txns_in_hour", "spend_in_hour", "fraud_in_hour", "rules_triggered", "p90_txns",
-        "p90_spend", "population_fraud_rate", "context_label", "status"]
 
+def interpolated(values, q):
+    """The continuous percentile, exact."""
+    values = sorted(values)
+    at = Fraction(str(q)) * (len(values) - 1)
+    low = int(at)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
 
-def test_collapsed_equals_literal(spark):
-    txn = transactions_from_driver_tables(spark, SF_MID)
-    a = layered_alerts(txn).select(*COLS)
-    b = layered_alerts_literal(txn).select(*COLS)
-    assert a.count() == b.count() == 52
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
+def check_row_by_row(rows, spend_factor=2, as_of=None, q=0.9, lookback_days=90, min_history_days=30, high=10, elevated=2, max_txns=8, max_spend=3000):
+    """Keys of alerted hours, asked hour by hour."""
+    hours, cards, contexts = defaultdict(list), defaultdict(list), defaultdict(list)
+    for r in rows:
+        hours[r["cc_num"], r["trans_ts"].date(), r["trans_ts"].hour, r["category"]].append(r)
+    known = [r for r in rows if as_of is None or r["trans_ts"].date() < as_of]
+    for r in known:
+        cards[r["cc_num"]].append(r["trans_ts"].date())
+        contexts[r["category"], r["trans_ts"].hour].append(r["is_fraud"])
+    found = set()
+    for key, own in hours.items():
+        card, day, hour, category = key
+        n, spend = len(own), sum(Fraction(r["amt"]) for r in own)
+        shops, online = len({r["merchant"] for r in own}), category[-4:] in ("_net",)
+        if not (n >= max_txns or spend >= max_spend or (shops >= 5 and not online and n >= 5) or (hour in (22, 23) and n >= 4)):
+            continue
+        frauds = contexts.get((category, hour))
+        if not frauds or round(Fraction(100 * sum(frauds), len(frauds)), 2) < elevated:
+            continue
+        if card not in cards or (max(cards[card]) - min(cards[card])).days < min_history_days:
+            continue
+        last = max(cards[card])
+        recent = [h for k, h in hours.items() if k[0] == card and (last - k[1]).days <= lookback_days and (as_of is None or k[1] < as_of)]
+        if n > interpolated([len(h) for h in recent], q) or spend > spend_factor * interpolated([sum(Fraction(r["amt"]) for r in h) for h in recent], q):
+            found.add(key)
+    return found
 
-def test_collapsed_plan_has_fewer_shuffles_and_scans(spark, tmp_path):
-    import re
-    from ledgerlens.sources.sinks import read_transactions, write_transactions
-    path = str(tmp_path / "t")
-    write_transactions(transactions_from_driver_tables(spark, SF_MID), path)
-    txn = read_transactions(spark, path)
 
-    def shape(df):
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)), \
-            plan.count("FileScan")
+def some_rows(seed=4):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(700):
+        card, category = rnd.choice([1, 1, 1, 2, 3]), rnd.choice(["grocery_pos", "shopping_net", "misc_net"])
+        ts = dt.datetime(2020, 1, 1) + dt.timedelta(days=rnd.randrange(200 if card < 3 else 20), hours=rnd.choice([3, 22, 23]))
+        for _ in range(rnd.choice([1, 1, 2, 4, 9])):
+            rows.append(dict(cc_num=card, trans_ts=ts + dt.timedelta(seconds=rnd.randrange(3600)), category=category, merchant=f"m{rnd.randrange(7)}",
+                             amt=f"{rnd.choice([10, 200, 700])}.{rnd.randrange(10, 99)}", is_fraud=int(rnd.random() < (0.15 if category == "misc_net" else 0.01))))
+    return rows
+
+
+def test_alerts_equal_the_row_by_row_check(spark):
+    rows = some_rows()
+    txn = make_txn(spark, rows)
+    sizes = []
+    for params in ({}, {"q": 0.5, "spend_factor": 1}, {"lookback_days": 10}, {"min_history_days": 500}, {"min_history_days": 10, "elevated": 0, "q": 0.25},
+                   {"as_of": dt.date(2020, 4, 1)}, {"high": 50, "elevated": 10}, {"max_txns": 2, "max_spend": 100}):
+        got = {tuple(r) for r in layered_alerts(txn, **params).select(*HOUR_KEYS).collect()}
+        assert got == check_row_by_row(rows, **params), params
+        sizes.append(len(got))
+    assert sizes[3] == 0 and sizes[0] and len(set(sizes)) > 4
+    labels = {r.context_label for r in layered_alerts(txn, high=1, elevated=0).select("context_label").collect()}
+    assert labels == {"HIGH RISK CONTEXT", "ELEVATED CONTEXT"}
+
+
+def test_as_of_bounds_the_context(spark):
+    rows = some_rows(6)
+    txn, cut = make_txn(spark, rows), dt.date(2020, 3, 1)
+    assert context_risk(txn, as_of=cut).exceptAll(context_risk(txn.where(F.col("trans_date") < F.lit(cut)))).count() == 0
+    assert context_risk(txn, dims=["state"]).columns[:2] == ["state", "txn_hour"]
+
+
+def test_rows_with_null_keys_count_for_history_and_context_only(spark):
+    rows = [dict(cc_num=1, trans_ts=dt.datetime(2020, 1, 1, 22), category=None)] + [
+        dict(cc_num=1, trans_ts=dt.datetime(2020, 6, 1, 22, i), category="misc_net", is_fraud=1, amt="900.00") for i in range(9)]
+    alerts = layered_alerts(make_txn(spark, rows), lookback_days=365).collect()
+    assert [(r.txns_in_hour, r.category) for r in alerts] == [(9, "misc_net")]
+    assert layered_alerts(make_txn(spark, rows[1:])).count() == 0
+
 
-    collapsed, literal = shape(layered_alerts(txn)), shape(layered_alerts_literal(txn))
-    assert collapsed[0] < literal[0] and collapsed[1] < literal[1]
+def test_hourly_profile_by_other_entity_and_dims(spark):
+    rows = [dict(cc_num=1, merchant="a", trans_ts=dt.datetime(2020, 1, 1, 5), state="X"), dict(cc_num=2, merchant="a", trans_ts=dt.datetime(2020, 1, 1, 5), state="X"),
+            dict(cc_num=2, merchant="b", trans_ts=dt.datetime(2020, 1, 1, 5), state="Y"), dict(cc_num=2, merchant=None, trans_ts=dt.datetime(2020, 1, 1, 5), state="Y")]
+    got = hourly_profile(make_txn(spark, rows), entity="merchant", dims=["state"])
+    assert sorted((r.merchant, r.state, r.txns_in_hour) for r in got.collect()) == [("a", "X", 2), ("b", "Y", 1)]
+    assert hourly_profile(make_txn(spark, rows), entity="merchant", dims=[], keep_null_keys=True).count() == 3
 
 
 def test_as_of_baseline_uses_past_only(spark):
-    from pyspark.sql import functions as F
-    from ledgerlens.operators.alerts import hourly_profile, personal_baseline
     txn = transactions_from_driver_tables(spark, SF_MID)
     cut = "2020-07-01"
-    fitted = personal_baseline(hourly_profile(txn), txn, as_of=cut)
+    fitted = personal_baseline(hourly_profile(txn), as_of=cut)
     past = txn.where(F.col("trans_date") < F.lit(cut).cast("date"))
-    expected = personal_baseline(hourly_profile(past), past)
+    expected = personal_baseline(hourly_profile(past))
     assert fitted.count() == expected.count() > 0
     assert fitted.exceptAll(expected).count() == 0
-    assert layered_alerts(txn, as_of=cut).count() >= 0
 
 
 def test_hourly_distinct_count_is_two_phase(spark):
@@ -51,7 +111,6 @@ def test_hourly_distinct_count_is_two_phase(spark):
     aggregate, so a hot card-hour is spread over merchants, then by the hour keys."""
     import re
     from conftest import SF_SMALL
-    from ledgerlens.operators.alerts import hourly_profile
     df = hourly_profile(transactions_from_driver_tables(spark, SF_SMALL))
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from ledgerlens.operators.joins import interval_join
 
 T0 = dt.datetime(2020, 3, 1)
@@ -54,12 +56,40 @@ def test_nearest_pairs_top_k_equals_all_pairs(spark):
     txn = make_txn(spark, rows)
     for k in (1, 5, 50):
         a = fraud_after_large(txn, k=k, method="nearest")
-        assert a.exceptAll(fraud_after_large(txn, k=k, method="nearest_range")).count() == 0
         b = fraud_after_large(txn, k=k, method="all_pairs")
         assert a.count() == b.count() == k
         assert a.exceptAll(b).count() == 0
 
 
+def _bursts():
+    second, milli = dt.timedelta(seconds=1), dt.timedelta(milliseconds=1)
+    legit = lambda ts, amt="600.00", card=1: dict(cc_num=card, trans_ts=ts, is_fraud=0, amt=amt)
+    fraud = lambda ts, card=1: dict(cc_num=card, trans_ts=ts, is_fraud=1, amt="5.00")
+    a_minute = [legit(T0 + i * second) for i in range(60)] + [fraud(T0 + 61 * second)]
+    under_a_second = [legit(T0 + i * 17 * milli, amt) for i in range(70) for amt in ("600.00", "700.00")] + [fraud(T0 + i * 333 * milli) for i in range(9)]
+    many_frauds = [legit(T0 + i * second) for i in range(60)] + [fraud(T0 + (60 + i) * second) for i in range(200)]
+    over_midnight = [legit(T0 - i * second, card=c) for i in range(40) for c in (1, 2)] + [fraud(T0 + i * 3600 * second, card=c) for i in range(24) for c in (1, 2)]
+    return {"a minute": a_minute, "under a second": under_a_second, "many frauds": many_frauds, "over midnight": over_midnight}
+
+
+@pytest.mark.parametrize("name", sorted(_bursts()))
+def test_nearest_pairs_of_a_busy_card_equal_all_pairs(spark, name):
+    from conftest import make_txn
+    from ledgerlens.plans.adhoc import fraud_after_large
+    txn = make_txn(spark, _bursts()[name])
+    for k in (1, 5, 50):
+        got = [tuple(r) for r in fraud_after_large(txn, k=k).collect()]
+        assert got == [tuple(r) for r in fraud_after_large(txn, k=k, method="all_pairs").collect()] and len(got) == k
+
+
+def test_nearest_pairs_is_one_lazy_plan(spark):
+    from conftest import make_txn
+    from ledgerlens.plans.adhoc import fraud_after_large
+    df = fraud_after_large(make_txn(spark, _bursts()["a minute"]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrderedAndProject" in plan
+
+
 def test_nearest_pairs_bounded_per_right_row(spark):
     from ledgerlens.operators.joins import nearest_preceding_pairs
     from pyspark.sql import functions as F

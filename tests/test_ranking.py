@@ -1,80 +1,71 @@
 """Distributed NTILE / RANK equal the built-in single-partition windows."""
 
+import datetime as dt
+import os
 import random
+import re
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window, functions as F
 
-from ledgerlens.operators.ranking import global_ntile, global_rank, global_row_number, global_running_count
+from ledgerlens.operators.ranking import cut_rows, global_ntile, global_rank
+from ledgerlens.session import ensure_checkpoint_dir
 
 
 def _data(spark, n, distinct, seed):
     rnd = random.Random(seed)
-    rows = [(i, rnd.randrange(distinct), rnd.randrange(3)) for i in range(n)]
+    rows = [(i, rnd.randrange(distinct) if rnd.random() < 0.95 else None, rnd.randrange(3)) for i in range(n)]
     return spark.createDataFrame(rows, "id long, v long, g int")
 
 
-def test_range_ntile_equals_builtin(spark):
-    for n, k in [(1, 4), (3, 4), (10, 4), (1001, 4), (997, 7)]:
-        df = _data(spark, n, 50, n)
-        order = [F.col("v").desc(), F.col("id").asc()]
-        got = global_ntile(df, k, order, "t", num_partitions=5, method="range")
-        want = df.withColumn("t", F.ntile(k).over(Window.orderBy(*order)))
-        assert got.select("id", "t").exceptAll(want.select("id", "t")).count() == 0
-        assert got.count() == n
-        sizes = [r["count"] for r in got.groupBy("t").count().collect()]
-        assert max(sizes) - min(sizes) <= 1
+def _files(spark):
+    folder = re.sub("^file:/*", "/", ensure_checkpoint_dir(spark))
+    return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names)
 
 
-def test_row_number_is_a_permutation(spark):
-    df = _data(spark, 2000, 10, 7)
-    got = global_row_number(df, [F.col("v"), F.col("id")], "rn", num_partitions=6)
-    stats = got.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
-    assert tuple(stats) == (1, 2000, 2000)
+@pytest.mark.parametrize(("n", "k", "descending"), [(0, 4, True), (1, 4, True), (3, 4, False), (10, 4, True), (1001, 4, False), (997, 7, True)])
+def test_ntile_equals_builtin(spark, n, k, descending):
+    df = _data(spark, n, 50, n)
+    got = global_ntile(df, k, [("v", descending), ("id", False)], "t")
+    order = [F.col("v").desc() if descending else F.col("v").asc(), F.col("id").asc()]
+    want = df.withColumn("t", F.ntile(k).over(Window.orderBy(*order)))
+    assert sorted(map(tuple, got.select("id", "t").collect())) == sorted(map(tuple, want.select("id", "t").collect()))
 
 
-def test_range_rank_equals_builtin_with_ties(spark):
-    df = _data(spark, 1500, 20, 3)
-    order = [F.col("g").asc(), F.col("v").desc()]
-    got = global_rank(df, order, ["g", "v"], [F.col("id")], "rk", num_partitions=5, method="range")
-    want = df.withColumn("rk", F.rank().over(Window.orderBy(*order)))
-    assert got.count() == 1500
-    assert got.select("id", "rk").exceptAll(want.select("id", "rk")).count() == 0
-
-
-def test_auto_method_picks_window_for_small_input(spark):
-    df = _data(spark, 100, 10, 1)
-    order = [F.col("v"), F.col("id")]
-    got = global_ntile(df, 4, order, "t", method="auto")
-    want = df.withColumn("t", F.ntile(4).over(Window.orderBy(*order)))
+def test_ntile_on_a_heavy_value_and_other_types(spark):
+    # one value holds most rows; keys of several types, nulls among them
+    rnd = random.Random(9)
+    rows = [(i, Decimal("1.00") if rnd.random() < 0.7 else Decimal(rnd.randrange(10**5)) / 100, rnd.choice(["a", "b", None]), dt.date(2020, 1, 1 + rnd.randrange(3))) for i in range(20000)]
+    df = spark.createDataFrame(rows, "id long, v decimal(12,2), s string, d date").repartition(7)
+    keys = [("v", False), ("s", True), ("d", False), ("id", False)]
+    got = global_ntile(df, 4, keys, "t")
+    want = df.withColumn("t", F.ntile(4).over(Window.orderBy("v", F.col("s").desc(), "d", "id")))
     assert got.select("id", "t").exceptAll(want.select("id", "t")).count() == 0
+    assert sorted(r["count"] for r in got.groupBy("t").count().collect()) == [5000] * 4
 
 
-def test_range_plan_has_no_single_partition_exchange(spark):
+def test_ntile_result_is_a_projection_and_leaves_no_files(spark):
     df = _data(spark, 500, 10, 2)
-    got = global_ntile(df, 4, [F.col("v"), F.col("id")], "t", num_partitions=4, method="range")
-    got.collect()
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    # no NTILE window; the only single-partition step is the P-row offset table
-    assert "ntile" not in plan.lower()
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    before = _files(spark)
+    got = global_ntile(df, 4, [("v", False), ("id", False)], "t")
+    assert _files(spark) == before
+    assert not re.search("Exchange|Window|Join", got._jdf.queryExecution().executedPlan().toString())
+    assert len(cut_rows(df, [("v", False), ("id", False)], 4)) == 3
 
 
-def test_row_number_exact_on_skewed_input_that_forces_resampling(spark):
-    # A heavy value makes the first range sketch imbalanced, so Spark re-samples;
-    # the numbering must still be a permutation equal to the built-in one.
-    rnd = random.Random(9)
-    rows = [(i, 0 if rnd.random() < 0.7 else rnd.randrange(1000), rnd.randrange(5)) for i in range(40000)]
-    df = spark.createDataFrame(rows, "id long, v long, g int").repartition(7)
-    order = [F.col("g"), F.col("v").desc(), F.col("id")]
-    got = global_row_number(df, order, "rn", num_partitions=8)
-    want = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
-    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
-
-
-def test_running_count_equals_builtin(spark):
-    df = _data(spark, 3000, 30, 4)
-    order = [F.col("v"), F.col("id")]
-    got = global_running_count(df, order, F.col("g") == 0, "c", num_partitions=6, method="range")
-    want = df.withColumn("c", F.sum(F.when(F.col("g") == 0, 1).otherwise(0)).over(
-        Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    assert got.select("id", "c").exceptAll(want.select("id", F.col("c").cast("long"))).count() == 0
+@pytest.mark.parametrize(("n", "distinct", "ranges"), [(0, 5, 8), (1, 5, 8), (1500, 20, 8), (1500, 100000, 16), (1500, 1, 16)])
+def test_rank_equals_builtin_with_ties_and_nulls(spark, n, distinct, ranges):
+    df = _data(spark, n, distinct, 3)
+    got = global_rank(df, [("g", False), ("v", True)], "rk", spread="v", ranges=ranges)
+    want = df.withColumn("rk", F.rank().over(Window.orderBy(F.col("g").asc(), F.col("v").desc())))
+    assert sorted(map(str, got.select("id", "rk").collect())) == sorted(map(str, want.select("id", "rk").collect()))
+
+
+def test_rank_puts_one_row_per_range_in_one_task(spark):
+    got = global_rank(_data(spark, 800, 300, 5), [("g", False), ("v", True)], "rk", spread="v", ranges=16)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 2  # the offset table, shown in the final and the initial plan
+    windows = re.findall(r"Window \[[^\n]*", plan)
+    assert any("_range" in w.split("windowspecdefinition")[1].split("ASC")[0] for w in windows)

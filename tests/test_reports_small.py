@@ -104,3 +104,27 @@ def test_month_over_month_uses_previous_existing_row(spark):
     out = segmentation.category_mom_growth(make_txn(spark, rows)).collect()
     assert [(r.trans_month, r.prev_month_spend, r.mom_growth_pct) for r in out] == [(1, None, None),
                                                                                      (3, 100.0, 50.0)]
+
+
+def test_expected_counts_at_a_given_rate(spark):
+    from ledgerlens.operators.rates import expected_vs_actual
+    counts = spark.createDataFrame([("a", 1000, 20), ("b", 3000, 30)], "band string, txn_count long, actual_fraud long")
+    own = {r.band: r.expected_if_random for r in expected_vs_actual(counts).collect()}
+    given = {r.band: (r.expected_if_random, r.fraud_deficit) for r in expected_vs_actual(counts, base_rate="2.5").collect()}
+    assert own == {"a": 13.0, "b": 38.0} and given == {"a": (25.0, 5.0), "b": (75.0, 45.0)}
+
+
+def test_rolling_trend_of_the_last_period_only(spark):
+    from ledgerlens.operators.series import rolling_trend
+    rows = [(c, m, Decimal(v)) for c, m, v in [(1, 1, "100.00"), (1, 2, "10.00"), (1, 3, "1.00"), (2, 1, "5.00"), (2, 2, "6.00"), (3, 3, "7.00")]]
+    df = spark.createDataFrame(rows, "c int, m int, v decimal(12,2)")
+    whole = rolling_trend(df, ["c"], ["m"], "v")
+    last = rolling_trend(df, ["c"], ["m"], "v", last_only=True)
+    assert last.columns == whole.columns and sorted(last.collect()) == sorted(whole.where("m = 3").collect()) and last.count() == 2
+
+
+def test_deviation_is_exact_on_close_values(spark):
+    from ledgerlens.operators.series import consistency
+    rows = [(1, Decimal(f"{10**9}.{i:02d}")) for i in (11, 12, 13)]
+    r = consistency(spark.createDataFrame(rows, "k int, v decimal(12,2)"), ["k"], "v").first()
+    assert r["_sd"] == 0.01

@@ -40,19 +40,53 @@ def test_stream_matches_batch_for_closed_hours(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+RESTART = """
+import sys
+from ledgerlens.session import local_session
+from ledgerlens.streaming import start_hourly_alerts
+source, sink, checkpoint = sys.argv[1:]
+spark = local_session(2)
+query = start_hourly_alerts(spark, source + "/*", sink, checkpoint, available_now=True)
+query.awaitTermination(300)
+"""
+
+
+def test_another_application_goes_on_where_the_first_stopped(spark, tmp_path):
+    import subprocess
+    import sys
+    raw = raw_from_driver_tables(spark, SF_SMALL)
+    src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
+
+    def run_application():
+        subprocess.run([sys.executable, "-c", RESTART, src, sink, ckpt], check=True, timeout=300, capture_output=True, cwd=".")
+        return spark.read.parquet(sink)
+
+    raw.where(F.col("trans_date_trans_time") < "2020-01-01").coalesce(1).write.parquet(f"{src}/a")
+    first = run_application().count()
+    raw.where(F.col("trans_date_trans_time") >= "2020-01-01").coalesce(1).write.parquet(f"{src}/b")
+    got = run_application()
+    batch = absolute_rules(hourly_profile(prepare_transactions(raw))).where("rules_triggered > 0")
+    assert 0 < first < got.count()
+    # nothing twice, nothing that batch lacks; only hours that the watermark has not closed are missing
+    assert got.select(*COLS).exceptAll(batch.select(*COLS)).count() == 0
+    missing = batch.select(*COLS).exceptAll(got.select(*COLS)).agg(F.min("trans_date"), F.count(F.lit(1))).first()
+    last = batch.agg(F.max("trans_date")).first()[0]
+    assert missing[1] == 0 or (last - missing[0]).days <= 1
+
+
 def test_start_hourly_alerts_to_parquet_sink_and_resume(spark):
     from ledgerlens.streaming import start_hourly_alerts
     raw = raw_from_driver_tables(spark, SF_SMALL)
     src = tempfile.mkdtemp(prefix="ledgerlens-stream-src2-")
     sink = tempfile.mkdtemp(prefix="ledgerlens-stream-sink-")
     raw.where(F.col("trans_date_trans_time") < "2020-01-01").coalesce(1).write.mode("overwrite").parquet(f"{src}/a")
-    name = f"alerts_{abs(hash(sink)) % 10**8}"
-    q = start_hourly_alerts(spark, f"{src}/*", sink, name=name, available_now=True)
+    ckpt = tempfile.mkdtemp(prefix="ledgerlens-stream-ckpt-")
+    q = start_hourly_alerts(spark, f"{src}/*", sink, ckpt, available_now=True)
     q.awaitTermination(300)
     first = spark.read.parquet(sink).count()
     assert first > 0
     # a second run over the same input resumes from its checkpoint: nothing is emitted twice
-    q = start_hourly_alerts(spark, f"{src}/*", sink, name=name, available_now=True)
+    q = start_hourly_alerts(spark, f"{src}/*", sink, ckpt, available_now=True)
     q.awaitTermination(300)
     assert spark.read.parquet(sink).count() == first
 
