@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import checkpointed, fresh, word_count
+from ledgerlens.llm.common import checkpointed, word_count
 
 # fixed values of the mix
 WEIGHTS = (3, 1, 2)
@@ -150,23 +150,23 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_rows(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for each whole time that a document is taken.
 
-    Where the mix stops inside a document (at most once a source and pass), the row holds the words taken, and
-    ``n_chars``, if there, their length. Texts cross the network once, to meet what was taken.
+    What is left of the words taken is one more row with the document's first words, and their length as
+    ``n_chars`` if there is such a column; only a document in which its source's target ends has such a rest.
+    Rows equal in doc_id, source and text are taken together, and the least of them by its other columns stands for
+    them (the columns must be orderable). Texts cross the network once, to meet what was taken.
     """
     sized = checkpointed(docs.select(*_identity(docs)))
-    names = ["doc_id", "size", "source", "h"]
-    took = _taken(sized, block, seed).groupBy(*[F.col(c).alias(f"took_{c}") for c in names]).agg(F.sort_array(F.collect_list("taken")).alias("took"))
-    own = {c: fresh(docs, f"mix_{c}") for c in (*names, "copy")}
-    rows = docs.select("*", *[c.alias(own[n]) for n, c in zip(names, _identity(docs))])
-    # identical rows are numbered, each gets one of the amounts taken of them
-    rows = rows.withColumn(own["copy"], F.row_number().over(Window.partitionBy(*[own[c] for c in names]).orderBy(F.lit(1))))
-    on = [F.col(own[c]).eqNullSafe(F.col(f"took_{c}")) for c in names]
-    taken = F.element_at("took", F.col(own["copy"]))
-    size = F.greatest(F.col(own["size"]), F.lit(1))
-    # a size of 0 takes 0 words and leaves no row
-    whole, part = F.floor(taken / size).cast("int"), taken % size
-    piece = fresh(docs, "mix_piece")
-    cut = F.when(part > 0, F.array(first_words(F.col("text"), part))).otherwise(F.array().cast("array<string>"))
-    out = rows.join(took, on).where(taken > 0).withColumn(piece, F.explode(F.concat(F.array_repeat(F.col("text"), whole), cut)))
-    put = {"text": F.col(piece), "n_chars": F.when(F.col(piece) != F.col("text"), F.length(piece)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col(piece)}
-    return out.select(*[(put.get(c, F.col(f"`{c}`"))).alias(c) for c in docs.columns])
+    # nulls are left out of the JSON, so no value equals a null one; one key, so that texts are dealt out once
+    key = lambda cols: F.to_json(F.struct(*cols))
+    took = (_taken(sized, block, seed).where("taken > 0").groupBy(key(["doc_id", "size", "source", "h"]).alias("took_key"))
+            .agg(F.sum("taken").alias("took"), F.max("size").alias("took_size")))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(key(_identity(docs)).alias("key"), whole.alias("row")).groupBy("key").agg(F.min("row").alias("row"))
+    out = rows.join(took, F.col("key") == F.col("took_key")).withColumns({"times": F.expr("took div took_size"), "rest": F.expr("took % took_size")})
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times") + F.when(F.col("rest") > 0, 1).otherwise(0))))
+    at = {c: F.col("row")[f"c{i}"] for i, c in enumerate(docs.columns)}
+    cut = F.col("nth") > F.col("times")
+    at["text"] = F.when(cut, first_words(at["text"], F.col("rest"))).otherwise(at["text"])
+    if "n_chars" in at:
+        at["n_chars"] = F.when(cut, F.length(at["text"])).otherwise(at["n_chars"])
+    return out.select(*[at[c].alias(c) for c in docs.columns])

@@ -15,9 +15,9 @@ small-star on the links, each cut by a checkpoint.
 
 Defined cases: a null or empty text has no word and fingerprint 0, which links like
 any other; rows with a null doc_id belong to a component but never name it, unless no
-member has an id (then the component is null); repeated rows share a fingerprint;
-an empty table gives an empty result; other columns are ignored by
-:func:`components` and carried by :func:`representatives`.
+member has an id (then its id is null); repeated rows share a fingerprint; an empty
+table gives an empty result; other columns are ignored by :func:`components` and
+carried by :func:`representatives`, which needs them orderable.
 
 Scale: fingerprints are computed once and checkpointed (two longs a row). A hot
 fingerprint is one row after pre-aggregation, and its documents meet the result by
@@ -30,9 +30,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.common import attach, checkpointed, fresh
+from ledgerlens.llm.common import attach, checkpointed
 from ledgerlens.llm.fingerprints import SHINGLE, fingerprint_udf
 
 MAX_BITS = 3
@@ -113,31 +113,39 @@ def star_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs(doc_id, text) -> one row per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    marked = checkpointed(docs.select("doc_id", fingerprint_udf(shingle)("text").alias("fp")))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+def _named(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """docs -> per row: doc_id, h (hash of the text), fp, best.
+
+    ``best`` is the component's first row, (no id, doc_id, h), or null for a row that is alone.
+    """
+    marked = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_udf(shingle)("text").alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    classes = marked.groupBy("fp").agg(first.alias("best"), F.count(F.lit(1)).alias("n"))
     # one row per fingerprint that has a link: its root
     stars = star_roots(links(classes.select("fp"), max_bits))
     roots = checkpointed(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()))
     joined = classes.join(roots, F.col("fp") == F.col("node"))
-    named = joined.groupBy("root").agg(F.min("least_id").alias("component"))
-    linked = joined.select("fp", "root", "n").join(named, "root").select("fp", "component", "n")
-    alone = classes.where("n > 1").join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("least_id").alias("component"), "n")
-    groups = checkpointed(linked.unionByName(alone))
-    own = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return attach(marked, groups, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), own.alias("component_id"))
+    linked = joined.drop("best").join(joined.groupBy("root").agg(F.min("best").alias("best")), "root").select("fp", "best", "n")
+    alone = classes.where("n > 1").join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", "best", "n")
+    return attach(marked, checkpointed(linked.unionByName(alone)), "fp", "n")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row that names it, once, with all columns as they came.
+def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs(doc_id, text) -> one row per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
+    own = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best")["doc_id"])
+    return _named(docs, shingle, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), own.alias("component_id"))
 
-    A component whose rows have no doc_id has no name and keeps all its rows.
-    """
-    named = components(docs, shingle, max_bits)
-    gone = named.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    # rows repeated under one doc_id: the first by its text stays
-    nth = fresh(docs, "nth")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    return left.withColumn(nth, F.row_number().over(order)).where(F.col(nth).isin(1) | F.col("doc_id").isNull()).drop(nth)
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component its first row (least doc_id, rows without one last, then the
+    least text hash), once, with all columns as they came. Texts cross the network once."""
+    def key(h: Column) -> Column:
+        # nulls are left out of the JSON, so no id equals a null one
+        return F.to_json(F.struct("doc_id", h.alias("h")))
+
+    same = (F.col("doc_id").isNull() == F.col("best")["no_id"]) & F.col("doc_id").eqNullSafe(F.col("best")["doc_id"]) & (F.col("h") == F.col("best")["h"])
+    gone = _named(docs, shingle, max_bits).where(F.col("best").isNotNull() & ~same).select(key(F.col("h")).alias("gone")).distinct()
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    left = docs.select(key(F.xxhash64("text")).alias("key"), row.alias("row")).join(gone, F.col("key") == F.col("gone"), "left_anti")
+    # rows repeated with one doc_id and text: the least by its other columns stays
+    return left.groupBy("key").agg(F.min("row").alias("row")).select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
