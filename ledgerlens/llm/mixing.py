@@ -140,11 +140,12 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to its n-th word."""
+    """The text up to its n-th word; all of it but space at its end if it has no more."""
     space = r"[\x20\x09-\x0D]+"
     ahead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    rest = F.element_at(F.split(text, space, (n + ahead + 1).cast("int")), -1)
-    return F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(rest)), space + "$", "")
+    parts = F.split(text, space, (n + ahead + 1).cast("int"))
+    rest = F.when(F.size(parts) > n + ahead, F.length(F.element_at(parts, -1))).otherwise(0)
+    return F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - rest), space + "$", "")
 
 
 def mixed_rows(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:

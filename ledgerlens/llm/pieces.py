@@ -180,7 +180,8 @@ class Trie:
     def _step_unigram(self, word: str, end: int) -> None:
         scores, ids, best = self.v.scores, self.v.ids, self.best
         top, length = -np.inf, 1
-        for n in range(1, min(end, self.v.longest) + 1):
+        # of equal scores the longest last piece wins, as in the library
+        for n in range(min(end, self.v.longest), 0, -1):
             score = scores.get(word[end - n:end], self.v.unknown_score if n == 1 else None)
             if score is not None:
                 score += best[end - n - 1] if end > n else 0.0

@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from ledgerlens.llm import pii
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+            "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m.group())]
+
+
+def base(text):
+    return [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS]
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111111", "a@b.c@d.e", "a@b", "a@b..c x@y.zz.", "+1 (523) 555-1055.", "+12345678", "+1----------2",
+                                  "1.2.3.4.5.6.7.8", "1.2.3", "256.1.1.1", "001.02.3.4", "1.2.3.4.", "é@b.c", "🎉a@b.c", "٣٣٣.1.2.3.4", "++1 555 555 5555", "", "@", "+", "5", "1 " * 30])
+def test_base_kinds_equal_the_patterns(text):
+    assert base(text) == brute(text)
+
+
+def test_base_kinds_equal_the_patterns_on_random_texts():
+    rng = random.Random(1)
+    for alphabet in ("1234567890..++@@ --()ab.cDE\n", "0123456789 -", "0129.", "ab@.-_%", "+0123456789() .-x"):
+        for _ in range(4000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50)))
+            assert base(text) == brute(text), text
+
+
+@pytest.mark.parametrize(("text", "spans"), [
+    ("see https://bob:pw@host.com/x", [("email", 16, 27), ("login", 4, 27)]),
+    ("IBAN DE89 3704 0044 0532 0130 00 OK THEN", [("iban", 5, 32)]),
+    ("DE89370400440532013000", [("iban", 0, 22)]),
+    ("DE88370400440532013000 XDE89370400440532013000", []),
+    ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', [("secret", 9, 49)]),
+    ("the token of trust, password: correcthorsebatterystaple", []),
+    ("account no: 123456789, konto 12", [("account", 12, 21)]),
+    ("see https://example.com/a@b and ftp://host", []),
+])
+def test_added_kinds(text, spans):
+    assert pii.find_spans(text) == spans
+
+
+def test_time_grows_with_the_length():
+    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "@" * 300_000, "+" * 300_000, "+1 " * 100_000, "a.b@" * 75_000, "AB12 " * 60_000, "token=" * 50_000, "x:y@" * 70_000, "://" * 100_000):
+        pii.find_spans(text)
+
+
+def test_masked():
+    text = "mail a@b.cc or 4111111111111111"
+    assert pii.masked(text, pii.find_spans(text)) == "mail <email> or <card>"
+
+
+def test_dataframe_nulls_repeats_extra_columns_empty(docs):
+    rows = [(1, None), (2, ""), (3, "a@b.c 1.2.3.4 é +49 30 1234567"), (3, "a@b.c 1.2.3.4 é +49 30 1234567"), (4, "x" * 200_000 + " a@b.c")]
+    got = pii.personal_data(docs(rows, spans=1, r="q")).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(
+        (i, *(sum(k == s[0] for s in brute(t or "")) for k in pii.BASE_KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(t or "")).encode()).hexdigest()) for i, t in rows)
+    assert pii.personal_data(docs(rows).where("false")).count() == 0
