@@ -57,7 +57,8 @@ def write_once(uri: str):
     """Open ``uri`` for writing inside a task; the caller names files by attempt, so no two attempts share one."""
     fs, path = file_system(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    # by default a name that ends in .zst would be compressed once more
+    return fs.open_output_stream(path, compression=None)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:

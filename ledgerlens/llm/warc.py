@@ -146,7 +146,7 @@ def write_records(records: Iterator[bytes], folder: str) -> Iterator[tuple[str,
 def read_records(path: str) -> Iterator[bytes]:
     """The records of one archive, in order; a buffer at a time."""
     fs, at = file_system(path)
-    with fs.open_input_stream(at) as stream:
+    with fs.open_input_stream(at, compression=None) as stream:
         data = stream.read(8)
         book = None
         if len(data) == 8 and struct.unpack("<I", data[:4])[0] == DICT_FRAME:
