@@ -126,7 +126,7 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, np.n
 def train(x: np.ndarray, y: np.ndarray) -> Model:
     """Learn from features and labels (0 or 1)."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model(intercept=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     m = Model(intercept=float(np.log(share / (1 - share))))
     quantiles = lambda j, k: np.unique(np.quantile(x[:, j], np.linspace(0, 1, k + 1)[1:-1]))

@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose measure lies above a cutoff. The cutoffs are not set by hand: per
-stratum (language) and rule, a cutoff may be used only if a labelled holdout proves that it falsely rejects
-few good documents. With n good holdout documents in the stratum, k of them above the cutoff, the exact
-binomial p-value of "the rule rejects a share of ``alpha / rules`` or more of good documents" is
-P(Bin(n, alpha / rules) <= k). Cutoffs of a rule are tested from the mildest to the strictest and testing
-stops at the first that fails (fixed-sequence testing); strata and rules share the error by Bonferroni:
-each sequence is tested at ``delta / (strata * rules)``. So with probability 1 - delta, in every
-stratum all rules together reject at most a share alpha of good documents.
-
-Among the proven cutoffs of a rule, the other half of the labels picks one: the most bad documents
-rejected, good ones rejected counting ``GOOD_COST`` times; of equals the mildest. A stratum with too few
-labels proves nothing there, and the rule abstains.
+Each rule rejects a document whose measure lies above a cutoff. The cutoffs are not set by hand. The labels
+are split by hash into two halves:
+
+* The first half proposes, per stratum (language) and rule, the cutoff with the most gain: bad documents
+  rejected, good ones rejected counting ``GOOD_COST`` times (shares; of equals the mildest). Rules without
+  gain in a stratum are no candidates there.
+* The holdout proves. With n good holdout documents in the stratum, k of them above a cutoff, the exact
+  binomial p-value of "the rule rejects a share of ``alpha / candidates`` or more of good documents" is
+  P(Bin(n, alpha / candidates) <= k). A rule's cutoffs are tested from the mildest to the proposed one and testing
+  stops at the first that fails (fixed-sequence testing); strata and candidates share the error by
+  Bonferroni: each sequence is tested at ``delta / (strata * candidates)``. The strictest proven cutoff is used.
+
+The candidates do not depend on the holdout, so with probability 1 - delta, in every stratum all rules
+together reject at most a share alpha of good documents. A stratum with too few labels proves nothing, and its
+rules abstain.
 
 Only sums per (stratum, half, label, rule, cutoff) reach the driver: their number is fixed by the parameters.
 
@@ -86,20 +89,23 @@ def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     rows = seen.join(truth, "doc_id").groupBy("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good")) \
         .agg(F.count(F.lit(1)).alias("n"), *sums).collect()
     found = {(r["stratum"], r["holdout"], r["good"]): r for r in rows}
-    sequences = (len(LANGUAGES) + 1) * len(CUTOFFS)
-    out = {}
-    for name in (*LANGUAGES, "other"):
+    strata, out = (*LANGUAGES, "other"), {}
+    for name in strata:
         proof, good, bad = found.get((name, True, True)), found.get((name, False, True)), found.get((name, False, False))
         if not proof or not bad:
             continue
-        for rule, cuts in CUTOFFS.items():
-            best = 0.0
-            for i, cut in enumerate(cuts):
-                if binomial_cdf(proof[f"{rule}_{i}"], proof["n"], alpha / len(CUTOFFS)) > delta / sequences:
+
+        def gain(rule: str, i: int) -> float:
+            return bad[f"{rule}_{i}"] / bad["n"] - GOOD_COST * (good[f"{rule}_{i}"] / good["n"] if good else 0)
+
+        gains = {rule: [gain(rule, i) for i in range(len(cuts))] for rule, cuts in CUTOFFS.items()}
+        candidates = {rule: g.index(max(g)) for rule, g in gains.items() if max(g) > 0}
+        for rule, proposed in candidates.items():
+            for i in range(proposed + 1):
+                if binomial_cdf(proof[f"{rule}_{i}"], proof["n"], alpha / len(candidates)) > delta / (len(strata) * len(candidates)):
                     break
-                gain = bad[f"{rule}_{i}"] / bad["n"] - GOOD_COST * (good[f"{rule}_{i}"] / good["n"] if good else 0)
-                if gain > best:
-                    best, out[name, rule] = gain, cut
+                if gains[rule][i] > 0:
+                    out[name, rule] = CUTOFFS[rule][i]
     return out
 
 

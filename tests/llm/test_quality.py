@@ -61,7 +61,7 @@ def corpus(n=3000, seed=7, langs=("en", "fr")):
 
 def test_cutoffs_hold_their_risk_and_catch_bad_documents(docs, labels):
     rows, marks = corpus()
-    got = {r.doc_id: r for r in Q.verdicts(docs(rows), labels(marks[:2600]), alpha=0.2).collect()}
+    got = {r.doc_id: r for r in Q.verdicts(docs(rows), labels(marks[:2600])).collect()}
     truth = dict(marks)
     for lang in ("en", "fr"):
         good = [got[i].kept for i, _, x, _ in rows if x == lang and truth[i]]
@@ -78,10 +78,14 @@ def test_each_chosen_cutoff_is_proven_and_all_milder_ones_too(docs, labels):
     df = docs(rows).select("doc_id", "lang", Q.stats_of("text").alias("s"))
     cutoffs = Q.learn_cutoffs(df, labels(marks), alpha=0.2)
     assert ("en", "symbols") in cutoffs and not any(s == "other" for s, _ in cutoffs)
+    # only the rules that tell the two kinds apart are candidates
+    assert {r for _, r in cutoffs} <= {"symbols", "word_chars"}
     hold = [t for i, t, lang, _ in rows if lang == "en" and marks[i][1] and zlib.crc32(str(i).encode()) % 2 == 0]
     ratios = [plain_stats(t)[2] / plain_stats(t)[0] for t in hold]
     for cut in (c for c in Q.CUTOFFS["symbols"] if c >= cutoffs["en", "symbols"]):
-        assert Q.binomial_cdf(sum(r > cut for r in ratios), len(ratios), 0.2 / len(Q.CUTOFFS)) <= Q.DELTA / 5 / len(Q.CUTOFFS)
+        assert Q.binomial_cdf(sum(r > cut for r in ratios), len(ratios), 0.2) <= Q.DELTA / 5
+    # a smaller risk needs more labels than there are
+    assert Q.learn_cutoffs(df, labels(marks), alpha=0.001) == {}
 
 
 def test_few_labels_prove_nothing(docs, labels):
@@ -110,7 +114,8 @@ def test_tables_add_up_to_the_trees():
     m = gam.train(x[:3000], y[:3000])
     assert m.pairs[0] == (1, 2)
     right = (m.score(x[3000:]) > 0.5) == y[3000:]
-    assert right.mean() > 0.9
+    # no rule can be right about more than 87 % of these labels
+    assert right.mean() > 0.82
     assert [len(t) for t in m.tables] == [len(c) + 1 for c in m.cuts]
     # one row scored by hand
     z = m.intercept + sum(t[np.searchsorted(c, x[0, j])] for j, (t, c) in enumerate(zip(m.tables, m.cuts)))
