@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.llm.common import small_batches
 from ledgerlens.llm.text_stats import STATS, stats_of, text_stats
 
 SAMPLE_ROWS = 20_000
@@ -171,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # the sample has at most sample_rows rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", stats_of("text").alias("s")).select("quality", "s.*")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", stats_of("text").alias("s")).select("quality", "s.*")
     got = np.array([tuple(r) for r in rows.collect()], dtype=float).reshape(-1, len(STATS) + 1)
     # repeated documents aside, the rows come in any order: sort them, so that reruns learn the same
     got = got[np.lexsort(got.T)]
@@ -185,5 +186,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         counts = np.array([text_stats(t) for t in text], dtype=float).reshape(-1, len(STATS))
         return pd.Series(model.score(features(counts)))
 
-    rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score("text").alias("score"))
+    rows = small_batches(docs).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

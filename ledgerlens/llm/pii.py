@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ledgerlens.llm.common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban", "secret", "account")
 
@@ -169,7 +171,7 @@ def _report(text: pd.Series) -> pd.DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> per row the counts, digest and spans."""
-    return docs.select("doc_id", _report("text").alias("r")).select("doc_id", "r.*")
+    return small_batches(docs).select("doc_id", _report("text").alias("r")).select("doc_id", "r.*")
 
 
 def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str:

@@ -32,7 +32,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.common import attach, checkpointed
+from ledgerlens.llm.common import attach, checkpointed, small_batches
 from ledgerlens.llm.fingerprints import SHINGLE, fingerprint_udf
 
 MAX_BITS = 3
@@ -118,7 +118,7 @@ def _named(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
 
     ``best`` is the component's first row, (no id, doc_id, h), or null for a row that is alone.
     """
-    marked = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint_udf(shingle)("text").alias("fp")))
+    marked = checkpointed(small_batches(docs).select("doc_id", F.xxhash64("text").alias("h"), fingerprint_udf(shingle)("text").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
     classes = marked.groupBy("fp").agg(first.alias("best"), F.count(F.lit(1)).alias("n"))
     # one row per fingerprint that has a link: its root

@@ -35,7 +35,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import attach, checkpointed, file_system, shared_folder, write_once
+from ledgerlens.llm.common import attach, checkpointed, file_system, shared_folder, small_batches, write_once
 
 # fixed values: the skippable frame's number, the least payload that revisits may share
 DICT_FRAME = 0x184D2A5D
@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             yield pd.DataFrame([done], columns=["path", "records", "bytes"])
 
     rows = classified(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    rows.mapInPandas(run, "path string, records long, bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    small_batches(rows).mapInPandas(run, "path string, records long, bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
