@@ -31,7 +31,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.common import checkpointed, fresh
+from ledgerlens.llm.common import checkpointed, fresh, small_batches
 from ledgerlens.llm.text_stats import stats_of
 
 # fixed values of the contract
@@ -119,7 +119,7 @@ def passes(s: Column, lang: Column, cutoffs: dict[tuple[str, str], float]) -> Co
 
 def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """docs(doc_id, text, lang) -> per row the counts, base_failed and kept. Counts are taken once and checkpointed (narrow)."""
-    marked = checkpointed(docs.select("doc_id", "lang", stats_of("text").alias("s")))
+    marked = checkpointed(small_batches(docs).select("doc_id", "lang", stats_of("text").alias("s")))
     cutoffs = learn_cutoffs(marked, labels, alpha, delta)
     s = F.col("s")
     failed = base_failed(s)
@@ -132,6 +132,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
 
     The counts are taken twice, for the cutoffs and for the verdicts, so that no text is shuffled or stored.
     """
-    s = fresh(docs, "s")
-    cutoffs = learn_cutoffs(docs.select("doc_id", "lang", stats_of("text").alias("s")), labels, alpha, delta)
+    s = fresh(small_batches(docs), "s")
+    # stored, because Spark would count once for the rows that the base rules leave and again for their measures
+    cutoffs = learn_cutoffs(checkpointed(docs.select("doc_id", "lang", stats_of("text").alias("s"))), labels, alpha, delta)
     return docs.withColumn(s, stats_of("text")).where(~base_failed(F.col(s)) & passes(F.col(s), F.col("lang"), cutoffs)).drop(s)
