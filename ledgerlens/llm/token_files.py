@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerlens.llm.common import checkpointed, file_system, shared_folder, write_once
+from ledgerlens.llm.common import checkpointed, file_system, shared_folder, small_batches, write_once
 
 BLOCK = 1 << 20
 GROUP = 4096
@@ -84,31 +84,31 @@ def write_token_files(docs: DataFrame, ranks_path: str, pattern: str, separator:
             if out is not None:
                 out.close()
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     made = rows.mapInPandas(run, "path string, ordinal long, doc_id string")
     made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
 def block_table(files: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """files(path) -> (path, block, offset, length): byte ranges. Sizes are asked for where the tasks run."""
+    """files(path, file) -> (path, file, block, offset, length): byte ranges. Sizes are asked for where the tasks run."""
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for path in batch["path"]:
+            for path, number in batch.itertuples(index=False):
                 fs, at = file_system(path)
                 info = fs.get_file_info(at)
                 if info.type != pafs.FileType.File:
                     raise FileNotFoundError(path)
                 if info.size % width:
                     raise ValueError(f"{path}: {info.size} bytes are no whole number of {width}-byte tokens")
-                found.append((path, info.size))
-            yield pd.DataFrame(found, columns=["path", "size"])
+                found.append((path, number, info.size))
+            yield pd.DataFrame(found, columns=["path", "file", "size"])
 
     step = block * width
-    sized = files.select("path").distinct().mapInPandas(sizes, "path string, size long").where("size > 0")
+    sized = files.select("path", "file").mapInPandas(sizes, "path string, file long, size long").where("size > 0")
     return (sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}"))))
-                 .select("path", "block", (F.col("block") * step).alias("offset"), F.least(F.lit(step), F.col("size") - F.col("block") * step).cast("long").alias("length")))
+                 .select("path", "file", "block", (F.col("block") * step).alias("offset"), F.least(F.lit(step), F.col("size") - F.col("block") * step).cast("long").alias("length")))
 
 
 def scan_block(tokens: np.ndarray, separator: int) -> tuple[np.ndarray, int, int]:
@@ -127,7 +127,7 @@ def token_counts(files: DataFrame, separator: int, width: int = 2, block: int =
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kind = token_type(width)
         for batch in batches:
-            for path, number, offset, length in batch.itertuples(index=False):
+            for path, file, number, offset, length in batch.itertuples(index=False):
                 fs, at = file_system(path)
                 with fs.open_input_file(at) as f:
                     tokens = np.frombuffer(f.read_at(length, offset), dtype=kind)
@@ -136,26 +136,29 @@ def token_counts(files: DataFrame, separator: int, width: int = 2, block: int =
                 inner, head, tail = scan_block(tokens, separator)
                 seps = 0 if head == len(tokens) else len(inner) + 1
                 # place 0: the piece before the first separator; then the inner documents; last the open piece
-                yield pd.DataFrame({"path": path, "block": number, "seps": seps, "place": [0, seps] if seps else [0], "n_tokens": [head, tail] if seps else [head],
+                yield pd.DataFrame({"file": file, "block": number, "seps": seps, "place": [0, seps] if seps else [0], "n_tokens": [head, tail] if seps else [head],
                                     "ends": [seps > 0, False] if seps else [False], "inner": False})
                 for i in range(0, len(inner), ROWS):
                     part = inner[i:i + ROWS]
-                    yield pd.DataFrame({"path": path, "block": number, "seps": seps, "place": np.arange(i + 1, i + 1 + len(part)), "n_tokens": part, "ends": True, "inner": True})
+                    yield pd.DataFrame({"file": file, "block": number, "seps": seps, "place": np.arange(i + 1, i + 1 + len(part)), "n_tokens": part, "ends": True, "inner": True})
 
+    # files go by number, their paths come back at the end
+    numbered = checkpointed(files.select("path").distinct().withColumn("file", F.monotonically_increasing_id()))
     # the scan of each block is stored (narrow), so the prefix scan and the numbering read one result
-    found = checkpointed(block_table(files, width, block).repartition("path", "block").mapInPandas(
-        counts, "path string, block long, seps long, place long, n_tokens long, ends boolean, inner boolean"))
-    blocks = found.where("place = 0 AND NOT inner").select("path", "block", F.expr(f"block div {GROUP}").alias("grp"), "seps")
-    ahead = Window.partitionBy("path").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = blocks.groupBy("path", "grp").agg(F.sum("seps").alias("s")).select("path", "grp", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("path", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (blocks.withColumn("own", F.coalesce(F.sum("seps").over(inside), F.lit(0))).join(groups, ["path", "grp"])
-                    .select("path", "block", (F.col("base") + F.col("own")).alias("start")))
-    placed = found.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("place")).cast("long").alias("ordinal"), "n_tokens", "ends", "inner")
-    pieces = placed.where("NOT inner").groupBy("path", "ordinal").agg(F.sum("n_tokens").alias("n_tokens"), F.max("ends").alias("closed"))
+    found = checkpointed(block_table(numbered, width, block).repartition("file", "block").mapInPandas(
+        counts, "file long, block long, seps long, place long, n_tokens long, ends boolean, inner boolean"))
+    blocks = found.where("place = 0 AND NOT inner").select("file", "block", F.expr(f"block div {GROUP}").alias("grp"), "seps")
+    ahead = Window.partitionBy("file").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = blocks.groupBy("file", "grp").agg(F.sum("seps").alias("s")).select("file", "grp", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (blocks.withColumn("own", F.coalesce(F.sum("seps").over(inside), F.lit(0))).join(groups, ["file", "grp"])
+                    .select("file", "block", (F.col("base") + F.col("own")).alias("start")))
+    placed = found.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("place")).cast("long").alias("ordinal"), "n_tokens", "ends", "inner")
+    pieces = placed.where("NOT inner").groupBy("file", "ordinal").agg(F.sum("n_tokens").alias("n_tokens"), F.max("ends").alias("closed"))
     # what follows a file's last separator is a document only if it has tokens
     pieces = pieces.where("closed OR n_tokens > 0")
-    return placed.where("inner").select("path", "ordinal", "n_tokens", F.lit(True).alias("closed")).unionByName(pieces.select("path", "ordinal", "n_tokens", "closed"))
+    every = placed.where("inner").select("file", "ordinal", "n_tokens", F.lit(True).alias("closed")).unionByName(pieces.select("file", "ordinal", "n_tokens", "closed"))
+    return every.join(numbered, "file").select("path", "ordinal", "n_tokens", "closed")
 
 
 def corpus_token_counts(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
