@@ -25,7 +25,7 @@ empty text, ids that the model lacks are skipped, null and control ids too; repe
 empty result; other columns are carried along and a column already named like the output is replaced.
 
 Scale: no shuffle. A batch's texts are taken in slices of at most ``SLICE`` code points (a longer text is a slice of
-its own), the trie holds one word's path at a time, and the table of compatible pairs is dropped when it is full.
+its own), the trie holds one word's path at a time, and the tables of compatible pairs and of lately encoded words are bounded.
 """
 
 from __future__ import annotations
@@ -44,9 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from ledgerlens.llm.common import small_batches
+
 MARK = "▁"
-SLICE = 1 << 23
-MOST_PAIRS = 1 << 20
+SLICE = 1 << 22
+MOST_PAIRS = 1 << 19
+# encoded words that a worker keeps from earlier slices, in two generations of half as many each
+MOST_WORDS = 200_000
 # id lists decoded at once
 ROWS = 256
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -63,13 +67,15 @@ class Vocabulary:
     unknown: int
     bpe: bool
     pairs: dict[int, bool] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids), default=1)
         self.pieces = {i: p for p, i in self.ids.items()}
         self.byte_ids = {b: i for i, b in self.bytes_of.items()}
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
-        # usable pieces as a trie read from their ends; a node: (id of the piece that begins here or -1, children)
+        # usable pieces as a trie read from their ends: code point -> [id of the piece that begins there or -1, next]
         self.ends: dict[str, list] = {}
         for p, i in self.ids.items():
             if not self.bpe or self.merge(p) == [p]:
@@ -77,9 +83,14 @@ class Vocabulary:
                 for c in reversed(p):
                     node = node[1].setdefault(c, [-1, {}])
                 node[0] = i
-        # what each id stands for, in UTF-8, marks turned into spaces
-        self.spoken = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.items()} | {i: bytes([b]) for i, b in self.bytes_of.items()}
-        self.spoken |= dict.fromkeys(self.skipped, b"") | {self.unknown: " \u2047 ".encode()}
+        # what each id stands for, in UTF-8 with marks turned into spaces: one run of bytes, cut by ``starts``; the
+        # last entry stands for ids that the model lacks
+        spoken = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.items()} | {i: bytes([b]) for i, b in self.bytes_of.items()}
+        spoken |= dict.fromkeys(self.skipped, b"") | {self.unknown: " \u2047 ".encode()}
+        parts = [spoken.get(i, b"") for i in range(max(spoken, default=-1) + 1)] + [b""]
+        self.blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.lengths = np.array(list(map(len, parts)))
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     @classmethod
     def from_model(cls, model: bytes) -> Vocabulary:
@@ -145,37 +156,45 @@ class Trie:
             common += 1
         del self.last[common:], self.piece[common:], self.best[common:]
         self.word = word
-        step = self._step_bpe if self.v.bpe else self._step_unigram
-        for end in range(common + 1, len(word) + 1):
-            step(word, end)
+        if self.v.bpe:
+            self._extend_bpe(word, common)
+        else:
+            for end in range(common + 1, len(word) + 1):
+                self._step_unigram(word, end)
         return self._read()
 
-    def _step_bpe(self, word: str, end: int) -> None:
-        last, piece, pairs = self.last, self.piece, self.v.pairs
-        begin = end - 1
-        found = self.v.ends.get(word[begin])
-        arcs = [(begin, found[0] if found is not None and found[0] >= 0 else -1 - ord(word[begin]))]
-        while found is not None and begin:
-            begin -= 1
-            found = found[1].get(word[begin])
-            if found is not None and found[0] >= 0:
-                arcs.append((begin, found[0]))
-        for begin, p in reversed(arcs):
-            if begin:
-                q = piece[begin - 1]
+    def _extend_bpe(self, word: str, common: int) -> None:
+        last, piece, pairs, ends = self.last, self.piece, self.v.pairs, self.v.ends
+        for end in range(common + 1, len(word) + 1):
+            # pieces that end here, by where they begin; the longest is tried first
+            begin, node, begins, ids = end, ends, [], []
+            while begin:
+                begin -= 1
+                found = node.get(word[begin])
+                if found is None:
+                    break
+                p, node = found
+                if p >= 0:
+                    begins.append(begin)
+                    ids.append(p)
+            if not begins or begins[0] != end - 1:
+                begins.insert(0, end - 1)
+                ids.insert(0, -1 - ord(word[end - 1]))
+            while True:
+                begin, p = begins.pop(), ids.pop()
+                if not begin:
+                    break
                 # ids lie in a range of less than 2^22
-                pair = (q << 22) + p
+                pair = (piece[begin - 1] << 22) + p
                 ok = pairs.get(pair)
                 if ok is None:
                     if len(pairs) >= MOST_PAIRS:
                         pairs.clear()
                     ok = pairs[pair] = self.v.keeps(word[begin - last[begin - 1]:begin], word[begin:end])
-                if not ok:
-                    continue
+                if ok:
+                    break
             last.append(end - begin)
             piece.append(p)
-            return
-        raise AssertionError(f"no encoding of {word[:end]!r}")
 
     def _step_unigram(self, word: str, end: int) -> None:
         scores, ids, best = self.v.scores, self.v.ids, self.best
@@ -206,21 +225,43 @@ class Trie:
 
 
 def encode_texts(v: Vocabulary, texts: Sequence[str | None]) -> list[bytes]:
-    """Ids of each text as int32 in memory order; the distinct marked words of all texts are encoded once, in trie order."""
+    """Ids of each text as int32 in memory order; the distinct marked words of all texts are encoded once, in trie order.
+
+    Words that were encoded lately are looked up.
+    """
     cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     trie, ids = Trie(v), {}
     for word in sorted(set().union(*cut)):
-        ids[word] = array("i", trie.walk(word)).tobytes()
+        found = v.known.get(word)
+        if found is None:
+            found = v.older.get(word)
+            if found is None:
+                found = array("i", trie.walk(word)).tobytes()
+            if len(v.known) >= MOST_WORDS // 2:
+                v.older, v.known = v.known, {}
+            # a long word is its own rarity
+            if len(word) <= 64:
+                v.known[word] = found
+        ids[word] = found
     return [b"".join(map(ids.__getitem__, words)) for words in cut]
 
 
+def decode_lists(v: Vocabulary, lists: pa.ListArray) -> list[str]:
+    """The text of each list of ids: the bytes of all pieces are gathered at once."""
+    ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    none = len(v.lengths) - 1
+    ids = np.where((ids >= 0) & (ids < none), ids, none)
+    sizes = v.lengths[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    # byte k of the output is byte k - (begin of its piece there) of the piece
+    data = v.blob[np.arange(ends[-1]) + np.repeat(v.starts[ids] - ends[:-1], sizes)].tobytes()
+    cuts = ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])].tolist()
+    texts = (data[a:b].decode(errors="replace") for a, b in zip(cuts, cuts[1:]))
+    return [t[1:] if t.startswith(" ") else t for t in texts]
+
+
 def decode_ids(v: Vocabulary, ids: Sequence[int | None]) -> str:
-    try:
-        out = b"".join(map(v.spoken.__getitem__, ids))
-    except KeyError:
-        out = b"".join(v.spoken.get(i, b"") for i in ids)
-    text = out.decode(errors="replace")
-    return text[1:] if text.startswith(" ") else text
+    return decode_lists(v, pa.array([ids], pa.list_(pa.int32())))[0]
 
 
 @lru_cache(maxsize=2)
@@ -260,7 +301,7 @@ def _mapped(df: DataFrame, column: str, output: str, kind, make) -> DataFrame:
                 own = batch.slice(begin, len(values))
                 yield pa.RecordBatch.from_arrays([*own.columns[:len(names)], values], names=[*names, output])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text", output: str = "token_ids") -> DataFrame:
@@ -279,5 +320,5 @@ def decode(df: DataFrame, model: bytes, ids: str = "token_ids", output: str = "d
     def make(lists: pa.Array):
         v = _loaded(model)
         for a in range(0, len(lists), ROWS):
-            yield a, pa.array([decode_ids(v, x or ()) for x in lists[a:a + ROWS].to_pylist()], pa.string())
+            yield a, pa.array(decode_lists(v, lists[a:a + ROWS]), pa.string())
     return _mapped(df, ids, output, StringType(), make)

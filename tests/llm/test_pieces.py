@@ -80,14 +80,23 @@ def test_unigram_viterbi_equals_library_and_enumeration():
 def test_trie_reuses_common_prefixes(model):
     v = P.Vocabulary.from_model(model)
     trie, steps = P.Trie(v), []
-    step = trie._step_bpe
-    trie._step_bpe = lambda w, e: (steps.append(w[:e]), step(w, e))
+    extend = trie._extend_bpe
+    trie._extend_bpe = lambda w, common: (steps.extend(w[:i] for i in range(common + 1, len(w) + 1)), extend(w, common))
     words = sorted(["▁inter", "▁internal", "▁international", "▁interval", "▁x"])
     for w in words:
         trie.walk(w)
     assert len(steps) == len(set(steps)) == len({w[:i] for w in words for i in range(1, len(w) + 1)})
 
 
+def test_words_of_earlier_slices_are_kept_in_bounds(model, monkeypatch):
+    monkeypatch.setattr(P, "MOST_WORDS", 8)
+    monkeypatch.setattr(P, "MOST_PAIRS", 5)
+    v, sp = P.Vocabulary.from_model(model), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for texts in (["one two three"], ["three four five six seven eight nine"], ["one nine", "x" * 100], ["two three four"]):
+        assert ids_of(v, texts) == sp.encode(texts)
+        assert len(v.known) <= 4 and len(v.older) <= 4 and len(v.pairs) <= 5 and not any(len(w) > 64 for w in v.known)
+
+
 def test_dataframe_round_trip_nulls_repeats_extra_columns(docs, model, monkeypatch):
     rows = [(1, None), (2, ""), (3, "two  words\n"), (3, "two  words\n"), (4, "w" * 100_000), (5, "é🎉 " * 3000)]
     df = docs(rows, token_ids="old", decoded=1, Batch=2)
