@@ -13,7 +13,8 @@ Base kinds, leftmost and non-overlapping per kind, a failing match is dropped:
 * phone  ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 Added kinds: login (user and password in a URL), iban (check number 97), secret (a value of 16 or more
-code points with letters and digits given to a cue such as ``token``), account (6 to 18 digits after a cue).
+code points with letters and digits given to a cue such as ``token``, with at most 8 spaces or tabs on each side of
+the ``=`` or ``:``), account (6 to 18 digits after a cue). Their spans are whole: no length ends a login, secret or account number early.
 
 Spans are in code points, end exclusive, ordered by kind as listed, then start.
 
@@ -48,10 +49,11 @@ _NUMBER = re.compile(r"[0-9]++")
 _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_USERINFO = re.compile(r"[^\s/?#@:]{1,256}+:[^\s/?#@]{1,256}+@[A-Za-z0-9.-]++")
+_USERINFO = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@[A-Za-z0-9.-]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?)")
-_SECRET = re.compile(r"[\x20\t]{0,8}[=:][\x20\t]{0,8}([\"'`]?)([A-Za-z0-9+/_=.~-]{16,4096})")
-_ACCOUNT = re.compile(r"(?:[\x20\t]{1,4}(?:no\.?|nr\.?|number|num))?[\x20\t]{0,4}[:#=]?[\x20\t]{0,4}([0-9][0-9\x20-]{4,30}[0-9])(?![0-9])", re.IGNORECASE)
+_GIVEN = re.compile(r"[\x20\t]{0,8}[=:][\x20\t]{0,8}[\"'`]?")
+_SECRET = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}+")
+_ACCOUNT = re.compile(r"(?:[\x20\t]{1,4}(?:no\.?|nr\.?|number|num))?[\x20\t]{0,4}[:#=]?[\x20\t]{0,4}([0-9](?:[\x20-]*+[0-9])++)", re.IGNORECASE)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -134,17 +136,18 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     add("phone", at, m.end())
         elif anchor == "scheme":
             start = at
-            while start > max(done["login"], at - 32) and text[start - 1] in _SCHEME:
+            while start > done["login"] and text[start - 1] in _SCHEME:
                 start -= 1
             if start < at and (m := _USERINFO.match(text, last + 1)):
                 add("login", start, m.end())
                 done["login"] = m.end()
         elif anchor == "secret":
-            if last >= done["secret"] and (m := _SECRET.match(text, last + 1)):
-                value = m.group(2)
+            # a value that begins inside the last one is its end, and fails the check if that did
+            if (g := _GIVEN.match(text, last + 1)) and g.end() >= done["secret"] and (m := _SECRET.match(text, g.end())):
+                done["secret"] = m.end()
+                value = m.group()
                 if any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-                    add("secret", *m.span(2))
-                    done["secret"] = m.end(2)
+                    add("secret", *m.span())
         elif last >= done["account"] and (m := _ACCOUNT.match(text, last + 1)):
             if 6 <= sum(map(str.isdigit, m.group(1))) <= 18:
                 add("account", *m.span(1))

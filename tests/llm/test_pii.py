@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -62,6 +63,32 @@ def test_time_grows_with_the_length():
         pii.find_spans(text)
 
 
+def test_added_spans_are_whole_at_any_length():
+    value, user, password, scheme = "a1" * 3000, "u" * 400, "p" * 400, "s" * 40
+    assert pii.find_spans(f"token={value} x") == [("secret", 6, 6006)]
+    assert pii.masked(f"token={value} x", pii.find_spans(f"token={value} x")) == "token=<secret> x"
+    url = f"{scheme}://{user}:{password}@h.com"
+    assert ("login", 0, len(url)) in pii.find_spans(url)
+    # 18 digits far apart are one number, 20 digits none
+    number = "  ".join("123456789012345678")
+    assert pii.find_spans(f"account: {number}.") == [("account", 9, 9 + len(number))]
+    assert [s for s in pii.find_spans("account: " + "   ".join("12345678901234567890")) if s[0] == "account"] == []
+
+
+@pytest.mark.parametrize("between", [": ", "= ", "='", " = "])
+@pytest.mark.parametrize("first", ["a" * 20, "a1" * 10])
+def test_a_cue_at_the_end_of_a_value_has_its_own(first, between):
+    text = f"token={first}.token{between}b2b2b2b2b2b2b2b2b2"
+    assert pii.find_spans(text)[-1] == ("secret", len(text) - 18, len(text))
+
+
+def test_time_of_long_added_spans():
+    begin = time.process_time()
+    for text in ("token=" * 200_000, "token=a1" * 200_000, "token =" * 200_000, "s://" + "u" * 500_000 + ":" + "p" * 500_000, "s://u:" * 200_000, "s" * 1_000_000 + "://", "account " * 100_000 + "1 " * 500_000):
+        pii.find_spans(text)
+    assert time.process_time() - begin < 30
+
+
 def test_masked():
     text = "mail a@b.cc or 4111111111111111"
     assert pii.masked(text, pii.find_spans(text)) == "mail <email> or <card>"
