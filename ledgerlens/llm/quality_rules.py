@@ -8,18 +8,20 @@ are split by hash into two halves:
   gain in a stratum are no candidates there.
 * The holdout proves. With n good holdout documents in the stratum, k of them above a cutoff, the exact
   binomial p-value of "the rule rejects a share of ``alpha / candidates`` or more of good documents" is
-  P(Bin(n, alpha / candidates) <= k). A rule's cutoffs are tested from the mildest to the proposed one and testing
+  P(Bin(n, alpha / candidates) <= k). The strata are the languages found with at least :func:`least_labels` good
+  holdout documents, fewer of which cannot prove any cutoff; their number does not depend on the measures. A rule's cutoffs are tested from the mildest to the proposed one and testing
   stops at the first that fails (fixed-sequence testing); strata and candidates share the error by
   Bonferroni: each sequence is tested at ``delta / (strata * candidates)``. The strictest proven cutoff is used.
 
 The candidates do not depend on the holdout, so with probability 1 - delta, in every stratum all rules
-together reject at most a share alpha of good documents. A stratum with too few labels proves nothing, and its
-rules abstain.
+together reject at most a share alpha of good documents. A language with too few labels of its own proves nothing, and its
+rules abstain; no cutoff learned on one language is applied to another.
 
-Only sums per (stratum, half, label, rule, cutoff) reach the driver: their number is fixed by the parameters.
+Only sums per (stratum, half, label, rule, cutoff) reach the driver, at most four rows for each language with enough
+labels.
 
-Defined cases: a null or empty text has no words and fails the base rules; languages outside
-``LANGUAGES``, null included, form one stratum "other"; labels with null doc_id or quality are ignored and of
+Defined cases: a null or empty text has no words and fails the base rules; documents without a language are a
+stratum of their own (None); labels with null doc_id or quality are ignored and of
 repeated labels of one document the lowest counts; repeated document rows each get the same verdict; with
 no labels only the base rules reject; an empty table gives an empty result; other columns are carried by
 :func:`kept_rows` and ignored by :func:`verdicts`.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.common import checkpointed, fresh, small_batches
 from ledgerlens.llm.text_stats import stats_of
@@ -38,8 +40,6 @@ from ledgerlens.llm.text_stats import stats_of
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 
-# Strata; documents of other languages share one more. The number of strata bounds what the driver gathers.
-LANGUAGES = ("en", "de", "fr", "es")
 ALPHA, DELTA = 0.05, 0.05
 GOOD_COST = 50
 # rule: measure, cutoffs from the mildest to the strictest
@@ -62,10 +62,6 @@ def measures(s: Column) -> dict[str, Column]:
             "run": F.when(s["n_words"] > 0, (s["longest_run"] - 1) / s["n_words"]).otherwise(F.lit(0.0))}
 
 
-def stratum(lang: Column) -> Column:
-    return F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit("other"))
-
-
 def base_failed(s: Column) -> Column:
     return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEAT_PERCENT * s["n_words"])
 
@@ -79,17 +75,24 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
 
-def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """marked(doc_id, lang, s) and labels(doc_id, quality) -> {(stratum, rule): proven and chosen cutoff}."""
+def least_labels(alpha: float, delta: float) -> int:
+    """Good holdout documents below which no cutoff can be proven, even in a single stratum by a single rule."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
+def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
+    """marked(doc_id, lang, s) and labels(doc_id, quality) -> {(language, rule): proven and chosen cutoff}."""
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # documents whose base rules fail are rejected anyway; the learned rules answer for the others
-    seen = marked.where(~base_failed(F.col("s"))).select("doc_id", stratum(F.col("lang")).alias("stratum"), *[c.alias(r) for r, c in measures(F.col("s")).items()])
+    seen = marked.where(~base_failed(F.col("s"))).select("doc_id", F.col("lang").alias("stratum"), *[c.alias(r) for r, c in measures(F.col("s")).items()])
     holdout = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     sums = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)]
-    rows = seen.join(truth, "doc_id").groupBy("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good")) \
-        .agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    groups = seen.join(truth, "doc_id").groupBy("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good")) \
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+    proofs = F.max(F.when(F.col("holdout") & F.col("good"), F.col("n"))).over(Window.partitionBy("stratum"))
+    rows = groups.withColumn("proofs", proofs).where(F.col("proofs") >= least_labels(alpha, delta)).collect()
     found = {(r["stratum"], r["holdout"], r["good"]): r for r in rows}
-    strata, out = (*LANGUAGES, "other"), {}
+    strata, out = {r["stratum"] for r in rows}, {}
     for name in strata:
         proof, good, bad = found.get((name, True, True)), found.get((name, False, True)), found.get((name, False, False))
         if not proof or not bad:
@@ -109,11 +112,16 @@ def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     return out
 
 
-def passes(s: Column, lang: Column, cutoffs: dict[tuple[str, str], float]) -> Column:
+def passes(s: Column, lang: Column, cutoffs: dict[tuple[str | None, str], float]) -> Column:
     """Whether the learned rules accept a document."""
-    at, ok = measures(s), F.lit(True)
-    for (name, rule), cut in sorted(cutoffs.items()):
-        ok = ok & ~((stratum(lang) == name) & (at[rule] > cut))
+    ok = F.lit(True)
+    for rule, measure in measures(s).items():
+        own = {name: cut for (name, r), cut in cutoffs.items() if r == rule}
+        if None in own:
+            ok = ok & ~(lang.isNull() & (measure > own.pop(None)))
+        if own:
+            cut = F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair]), lang)
+            ok = ok & ~F.coalesce(measure > cut, F.lit(False))
     return ok
 
 

@@ -88,6 +88,31 @@ def test_each_chosen_cutoff_is_proven_and_all_milder_ones_too(docs, labels):
     assert Q.learn_cutoffs(df, labels(marks), alpha=0.001) == {}
 
 
+def test_each_language_has_cutoffs_of_its_own_labels_or_none(docs, labels):
+    rng = random.Random(3)
+
+    def text(length):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(length)) for _ in range(60))
+
+    # bad Italian texts have long words; so do clean Chinese ones and those without a language, which have few labels or none
+    rows = [(i, text(22 if i % 4 == 0 else 5), "it", "s") for i in range(1200)]
+    rows += [(2000 + i, text(22), lang, "s") for i, lang in enumerate(["zh", None] * 20)]
+    marks = [(i, int(i % 4 != 0)) for i in range(1200)] + [(2000, 1), (2001, 1)]
+    marked = docs(rows).select("doc_id", "lang", Q.stats_of("text").alias("s"))
+    assert {name for name, _ in Q.learn_cutoffs(marked, labels(marks))} == {"it"}
+    got = {r.doc_id: r.kept for r in Q.verdicts(docs(rows), labels(marks)).collect()}
+    assert all(got[i] == (i >= 2000 or i % 4 != 0) for i, *_ in rows)
+    assert {r.doc_id for r in Q.kept_rows(docs(rows), labels(marks)).collect()} == {i for i, k in got.items() if k}
+
+
+def test_no_language_is_a_stratum_of_its_own(docs, labels):
+    rows, marks = corpus(1200, langs=(None,))
+    df = docs(rows)
+    assert {name for name, _ in Q.learn_cutoffs(df.select("doc_id", "lang", Q.stats_of("text").alias("s")), labels(marks))} == {None}
+    got = {r.doc_id: r.kept for r in Q.verdicts(df, labels(marks)).collect()}
+    assert sum(got[i] for i, q in marks if not q) <= 15 and sum(got[i] for i, q in marks if q) >= 882
+
+
 def test_few_labels_prove_nothing(docs, labels):
     rows, marks = corpus(100)
     assert all(r.kept != r.base_failed for r in Q.verdicts(docs(rows), labels(marks)).collect())
