@@ -11,7 +11,8 @@ Training takes a bounded sample: the ``SAMPLE_ROWS`` labelled rows least by hash
 few features a row). Labels, language, source and doc_id are no features.
 
 Defined cases: a null or empty text has all counts 0 and gets a score as any other; labels without doc_id or quality are
-ignored, repeated labels of a document count once, the lowest; repeated document rows get equal scores; without labels
+ignored, repeated labels of a document count once, the lowest, and of repeated document rows the one with the least counts is
+learned; rows with equal texts get equal scores; without labels
 of both classes every score is the share of good labels (0.5 without any); an empty table gives an empty result; other
 columns are ignored.
 
@@ -171,10 +172,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # the sample has at most sample_rows rows
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", stats_of("text").alias("s")).select("quality", "s.*")
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", stats_of("text").alias("s"))
+    # one row per doc_id, combined map-side: the sample has at most sample_rows rows, however often a document is repeated
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "s")).alias("r")).select("r.quality", "r.s.*")
     got = np.array([tuple(r) for r in rows.collect()], dtype=float).reshape(-1, len(STATS) + 1)
-    # repeated documents aside, the rows come in any order: sort them, so that reruns learn the same
+    # the rows come in any order: sort them, so that reruns learn the same
     got = got[np.lexsort(got.T)]
     return train(features(got[:, 1:]), (got[:, 0] > 0).astype(float))
 

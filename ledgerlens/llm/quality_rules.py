@@ -22,7 +22,8 @@ labels.
 
 Defined cases: a null or empty text has no words and fails the base rules; documents without a language are a
 stratum of their own (None); labels with null doc_id or quality are ignored and of
-repeated labels of one document the lowest counts; repeated document rows each get the same verdict; with
+repeated labels of one document the lowest counts; repeated document rows get a verdict each, but of the
+rows with one doc_id that pass the base rules only that with the least counts (then language) is learned from; with
 no labels only the base rules reject; an empty table gives an empty result; other columns are carried by
 :func:`kept_rows` and ignored by :func:`verdicts`.
 """
@@ -84,7 +85,9 @@ def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     """marked(doc_id, lang, s) and labels(doc_id, quality) -> {(language, rule): proven and chosen cutoff}."""
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # documents whose base rules fail are rejected anyway; the learned rules answer for the others
-    seen = marked.where(~base_failed(F.col("s"))).select("doc_id", F.col("lang").alias("stratum"), *[c.alias(r) for r, c in measures(F.col("s")).items()])
+    # a label is one trial however often its document is repeated: one row per doc_id, combined map-side
+    one = marked.where("doc_id IS NOT NULL").where(~base_failed(F.col("s"))).groupBy("doc_id").agg(F.min(F.struct("s", "lang")).alias("r"))
+    seen = one.select("doc_id", F.col("r.lang").alias("stratum"), *[c.alias(r) for r, c in measures(F.col("r.s")).items()])
     holdout = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     sums = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)]
     groups = seen.join(truth, "doc_id").groupBy("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good")) \

@@ -113,6 +113,22 @@ def test_no_language_is_a_stratum_of_its_own(docs, labels):
     assert sum(got[i] for i, q in marks if not q) <= 15 and sum(got[i] for i, q in marks if q) >= 882
 
 
+def test_repeated_rows_of_a_labelled_document_are_one_trial(docs, labels):
+    rows, marks = corpus(40, langs=("en",))
+    # document 1004 is in the holdout half
+    assert zlib.crc32(b"1004") % 2 == 0
+    rows += [(1004, rows[1][1], "en", "s")] * 600
+    marked = docs(rows).select("doc_id", "lang", Q.stats_of("text").alias("s"))
+    assert Q.learn_cutoffs(marked, labels(marks + [(1004, 1)])) == {}
+
+
+def test_repeated_rows_do_not_change_the_model(docs, labels):
+    rows, marks = corpus(300)
+    often = next(i for i, _ in marks if zlib.crc32(str(i).encode()) % 5)
+    a, b = gam.learn(docs(rows), labels(marks)), gam.learn(docs(rows + [rows[often], (often, rows[often][1] + " zz", "en", "s")] * 300), labels(marks))
+    assert a.intercept == b.intercept and all(np.array_equal(s, t) for s, t in zip(a.cuts + a.tables + a.pair_tables, b.cuts + b.tables + b.pair_tables))
+
+
 def test_few_labels_prove_nothing(docs, labels):
     rows, marks = corpus(100)
     assert all(r.kept != r.base_failed for r in Q.verdicts(docs(rows), labels(marks)).collect())
