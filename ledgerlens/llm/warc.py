@@ -2,8 +2,9 @@
 
 An archive (``.warc.zst``) is a leading skippable frame that holds the dictionary, then one Zstandard frame per
 record, each compressed on its own with that dictionary, so any record can be read alone once the dictionary is.
-The dictionary is trained from the first records that a task archives (bounded by ``SAMPLE_BYTES``); where they are too
-few to train on, the archive has no dictionary frame and plain record frames.
+The dictionary is trained from the first records that a task archives (those up to the one that reaches ``SAMPLE_BYTES``),
+cut into samples of at most ``SEGMENT_BYTES``, so that a single long record is enough; where they give fewer than
+``LEAST_SAMPLES`` samples, or zstd finds nothing to train on, the archive has no dictionary frame and plain record frames.
 
 Records: the payload is the page's html in UTF-8. Of records with equal payloads of at least ``LEAST_SHARED`` bytes the one
 with the largest page_id is a ``response``, the others are ``revisit`` records that refer to it and carry no
@@ -43,6 +44,8 @@ LEAST_SHARED = 1000
 
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
+SEGMENT_BYTES = 16 << 10
+LEAST_SAMPLES = 8
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 _ID = "urn:x-page:"
@@ -90,9 +93,10 @@ def parse(data: bytes) -> dict:
             "payload_digest": digest, "record_type": kind, "refers_to": number("WARC-Refers-To") if "WARC-Refers-To" in fields else None}
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from archived records, or none where they are too few."""
-    if len(samples) < 8:
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary from archived records, or none where they are too few and short."""
+    samples = [r[i:i + SEGMENT_BYTES] for r in records for i in range(0, len(r), SEGMENT_BYTES)]
+    if len(samples) < LEAST_SAMPLES:
         return None
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples)

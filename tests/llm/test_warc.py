@@ -59,6 +59,17 @@ def test_few_records_need_no_dictionary(spark):
     assert sorted(map(tuple, W.read_archives(manifest).collect()), key=str) == brute(ROWS[:2])
 
 
+def test_long_first_records_still_give_a_dictionary(tmp_path):
+    lines = lambda k, n: b"".join(b"<p class=a>passage %s</p>\n" % hashlib.sha256(b"%d %d" % (k, i)).hexdigest().encode() for i in range(n))
+    for name, sizes in (("one", [60_000]), ("eight", [10_000] * 8)):
+        records = [W.record(k, "u", lines(k, n), "d", None) for k, n in enumerate(sizes + [20] * 50)]
+        assert sum(map(len, records[:7])) >= W.SAMPLE_BYTES
+        (path, n, _), = W.write_records(iter(records), f"file://{tmp_path}/{name}")
+        data = open(path[7:], "rb").read()
+        assert struct.unpack("<I", data[:4])[0] == W.DICT_FRAME
+        assert n == len(records) and list(W.read_records(path)) == records
+
+
 def test_archives_turn_over_when_full(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(W, "ARCHIVE_BYTES", 2000)
     monkeypatch.setattr(W, "SAMPLE_BYTES", 30_000)
