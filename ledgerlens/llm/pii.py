@@ -12,9 +12,10 @@ Base kinds, leftmost and non-overlapping per kind, a failing match is dropped:
 * card   digits with at most one space or hyphen between two, 13 to 19 digits, Luhn
 * phone  ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
-Added kinds: login (user and password in a URL), iban (check number 97), secret (a value of 16 or more
-code points with letters and digits given to a cue such as ``token``, with at most 8 spaces or tabs on each side of
-the ``=`` or ``:``), account (6 to 18 digits after a cue). Their spans are whole: no length ends a login, secret or account number early.
+Added kinds: login (user and password in a URL), iban (check number 97), secret (a value with letters and digits
+given to a cue such as ``token``, with at most 8 spaces or tabs on each side of the ``=`` or ``:``: 16 or more code points, or
+8 or more after a password cue), account (6 to 18 digits after a cue). Cues are found in any case and may be
+quoted keys. A password ends at white space, a quote or, where none opened it, at one of ``,;&<>``. Their spans are whole: no length ends a login, secret or account number early.
 
 Spans are in code points, end exclusive, ordered by kind as listed, then start.
 
@@ -39,7 +40,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban", "secret", "account")
 
 # fixed values: cues
-SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth_key")
+SECRET_CUES = ("token", "secret", *(f"{a}{joint}key" for a in ("api", "access", "private", "auth", "secret") for joint in ("_", "-", "")))
+PASSWORD_CUES = ("password", "passwd")
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "cuenta", "compte")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,9 +53,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@[A-Za-z0-9.-]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?)")
-_GIVEN = re.compile(r"[\x20\t]{0,8}[=:][\x20\t]{0,8}[\"'`]?")
+_GIVEN = re.compile(r"[\"'`]?[\x20\t]{0,8}[=:][\x20\t]{0,8}([\"'`]?)")
 _SECRET = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}+")
-_ACCOUNT = re.compile(r"(?:[\x20\t]{1,4}(?:no\.?|nr\.?|number|num))?[\x20\t]{0,4}[:#=]?[\x20\t]{0,4}([0-9](?:[\x20-]*+[0-9])++)", re.IGNORECASE)
+_PASSWORD = re.compile(r"[^\s\"'`,;&<>]{8,}+")
+_QUOTED_PASSWORD = re.compile(r"[^\s\"'`]{8,}+")
+_ACCOUNT = re.compile(r"(?:[\x20\t_-]{0,4}(?:no\.?|nr\.?|number|num|id))?[\"'`]?[\x20\t]{0,4}[:#=]?[\x20\t]{0,4}[\"'`]?([0-9](?:[\x20-]*+[0-9])++)", re.IGNORECASE)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -62,15 +66,22 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(c, ("digit", 1))
     for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         a.add_word(word, (kind, len(word)))
-    for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account")):
+    for cues, kind in ((SECRET_CUES, "secret"), (PASSWORD_CUES, "password"), (ACCOUNT_CUES, "account")):
         for cue in cues:
-            for form in (cue, cue.capitalize(), cue.upper()):
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
 ANCHORS = _automaton()
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, each code point in its place."""
+    low = text.lower()
+    # a few letters have lower-case forms of two code points
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def luhn(digits: str) -> bool:
@@ -90,12 +101,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind as in ``KINDS`` and start."""
     text = text or ""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    done = dict.fromkeys(KINDS, 0)
+    done = dict.fromkeys((*KINDS, "token", "password"), 0)
 
     def add(kind: str, start: int, end: int) -> None:
         found[kind].append((start, end))
 
-    for last, (anchor, width) in ANCHORS.iter(text):
+    for last, (anchor, width) in ANCHORS.iter(lowered(text)):
         at = last - width + 1
         if anchor == "digit":
             if at >= done["card"]:
@@ -141,13 +152,17 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if start < at and (m := _USERINFO.match(text, last + 1)):
                 add("login", start, m.end())
                 done["login"] = m.end()
-        elif anchor == "secret":
-            # a value that begins inside the last one is its end, and fails the check if that did
-            if (g := _GIVEN.match(text, last + 1)) and g.end() >= done["secret"] and (m := _SECRET.match(text, g.end())):
-                done["secret"] = m.end()
+        elif anchor in ("secret", "password"):
+            if not (g := _GIVEN.match(text, last + 1)):
+                continue
+            form, read = (_SECRET, "token") if anchor == "secret" else (_QUOTED_PASSWORD if g.group(1) else _PASSWORD, "password")
+            # a value that begins inside the last one read is its end, and fails the check if that did
+            if g.end() >= max(done["secret"], done[read]) and (m := form.match(text, g.end())):
+                done[read] = m.end()
                 value = m.group()
                 if any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
                     add("secret", *m.span())
+                    done["secret"] = m.end()
         elif last >= done["account"] and (m := _ACCOUNT.match(text, last + 1)):
             if 6 <= sum(map(str.isdigit, m.group(1))) <= 18:
                 add("account", *m.span(1))

@@ -82,9 +82,24 @@ def test_a_cue_at_the_end_of_a_value_has_its_own(first, between):
     assert pii.find_spans(text)[-1] == ("secret", len(text) - 18, len(text))
 
 
+@pytest.mark.parametrize(("text", "value"), [
+    ('{"token": "a1b2c3d4e5f6a7b8c9d0"}', "a1b2c3d4e5f6a7b8c9d0"), ("apiKey=a1b2c3d4e5f6a7b8c9d0", "a1b2c3d4e5f6a7b8c9d0"), ("API_Key: a1b2c3d4e5f6a7b8c9d0", "a1b2c3d4e5f6a7b8c9d0"),
+    ("'accessKey' : 'a1b2c3d4e5f6a7b8c9d0'", "a1b2c3d4e5f6a7b8c9d0"), ("İİ ApiKey=a1b2c3d4e5f6a7b8c9d0", "a1b2c3d4e5f6a7b8c9d0"), ("passWord: hunter22!x", "hunter22!x"),
+    ('"password": "h,nter2&;@x", "a"', "h,nter2&;@x"), ("password=hunter22&user=bob", "hunter22"), ("token=aaaaaaaaaaaaaaaaaaaaPassword=b1b1b1b1#x", None),
+    ("account_number: 123456789", "123456789"), ('"accountNumber": "123456789"', "123456789"), ("Account-ID 123456789", "123456789"), ("KONTO nr. 123456789", "123456789"),
+    ("password: abc12", ""), ("password: correcthorsebattery", ""), ("token: a1b2c3d4", "")])
+def test_written_forms_of_cues(text, value):
+    spans = [s for s in pii.find_spans(text) if s[0] in ("secret", "account")]
+    if value is None:
+        # a value that a token cue and a password cue inside it read is reported once
+        assert len(spans) == 1 and "b1b1b1b1" in text[spans[0][1]:spans[0][2]]
+    else:
+        assert [text[a:b] for _, a, b in spans] == [value] * bool(value)
+
+
 def test_time_of_long_added_spans():
     begin = time.process_time()
-    for text in ("token=" * 200_000, "token=a1" * 200_000, "token =" * 200_000, "s://" + "u" * 500_000 + ":" + "p" * 500_000, "s://u:" * 200_000, "s" * 1_000_000 + "://", "account " * 100_000 + "1 " * 500_000):
+    for text in ("token=" * 200_000, "token=a1" * 200_000, "token =" * 200_000, "password=" * 200_000, "password=token=" * 100_000, "password=a1" * 100_000, '"password":' * 100_000, "s://" + "u" * 500_000 + ":" + "p" * 500_000, "s://u:" * 200_000, "s" * 1_000_000 + "://", "account " * 100_000 + "1 " * 500_000):
         pii.find_spans(text)
     assert time.process_time() - begin < 30
 
