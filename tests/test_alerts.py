@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 from fractions import Fraction
 
-from conftest import SF_MID, make_txn
+from txn_rows import SF_MID, make_txn
 from ledgerlens.operators.alerts import HOUR_KEYS, context_risk, hourly_profile, layered_alerts, personal_baseline
 from ledgerlens.plans.catalog import transactions_from_driver_tables
 from pyspark.sql import functions as F
@@ -110,7 +110,7 @@ def test_hourly_distinct_count_is_two_phase(spark):
     """The distinct merchant count shuffles by (hour keys, merchant) after a partial
     aggregate, so a hot card-hour is spread over merchants, then by the hour keys."""
     import re
-    from conftest import SF_SMALL
+    from txn_rows import SF_SMALL
     df = hourly_profile(transactions_from_driver_tables(spark, SF_SMALL))
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import SF_SMALL
+from txn_rows import SF_SMALL
 from ledgerlens.__main__ import main
 from ledgerlens.sources.fixtures import raw_exports
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from txn_rows import SF_SMALL
 from ledgerlens.oracle import oracle_sql
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]

@@ -43,7 +43,7 @@ def test_bucket_edges_counted_once(spark):
 
 
 def test_nearest_pairs_top_k_equals_all_pairs(spark):
-    from conftest import make_txn
+    from txn_rows import make_txn
     from ledgerlens.plans.adhoc import fraud_after_large
     rnd = random.Random(11)
     rows = []
@@ -74,7 +74,7 @@ def _bursts():
 
 @pytest.mark.parametrize("name", sorted(_bursts()))
 def test_nearest_pairs_of_a_busy_card_equal_all_pairs(spark, name):
-    from conftest import make_txn
+    from txn_rows import make_txn
     from ledgerlens.plans.adhoc import fraud_after_large
     txn = make_txn(spark, _bursts()[name])
     for k in (1, 5, 50):
@@ -83,7 +83,7 @@ def test_nearest_pairs_of_a_busy_card_equal_all_pairs(spark, name):
 
 
 def test_nearest_pairs_is_one_lazy_plan(spark):
-    from conftest import make_txn
+    from txn_rows import make_txn
     from ledgerlens.plans.adhoc import fraud_after_large
     df = fraud_after_large(make_txn(spark, _bursts()["a minute"]))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -20,7 +20,8 @@ def _data(spark, n, distinct, seed):
 
 
 def _files(spark):
-    folder = re.sub("^file:/*", "/", ensure_checkpoint_dir(spark))
+    # the library's own scratch files; the session's cleaner removes other checkpoints at any time
+    folder = re.sub("^file:/*", "/", ensure_checkpoint_dir(spark)) + "/ledgerlens"
     return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names)
 
 

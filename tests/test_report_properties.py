@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from txn_rows import SF_MID
 from ledgerlens.plans import behavior, geography, segmentation, velocity
 from ledgerlens.plans.catalog import transactions_from_driver_tables
 

@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from conftest import make_txn
+from txn_rows import make_txn
 from ledgerlens.operators.alerts import absolute_rules, hourly_profile
 from ledgerlens.plans import adhoc, behavior, segmentation
 from ledgerlens.plans.preparation import prepare_transactions, sanity_profile

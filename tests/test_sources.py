@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from txn_rows import SF_SMALL
 from ledgerlens.plans.catalog import transactions_from_driver_tables
 from ledgerlens.plans.preparation import prepare_transactions
 from ledgerlens.schema import RAW_COLUMNS, TRANSACTION_COLUMNS

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from txn_rows import SF_SMALL
 from ledgerlens.operators.alerts import absolute_rules, hourly_profile
 from ledgerlens.plans.preparation import prepare_transactions
 from ledgerlens.sources.fixtures import raw_from_driver_tables
