@@ -62,4 +62,45 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT
 FROM w
 """
 
-ORACLE = {"op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_mixing": OP8, "op9_warc": OP9}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false))::INT AS good, bool_or(coalesce(toxic = 1, false))::INT AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT part, fails, n, good, toxic, filter_order, step, fails[strpos('ABCDE', filter_order[step])] AS fail_here,
+         len(list_filter(fails, lambda v: v)) = 1 AS only_one, coalesce(bool_or(fails[strpos('ABCDE', filter_order[step])]) OVER w, false) AS gone
+  FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) steps
+  WINDOW w AS (PARTITION BY part, fails, filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fail_here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fail_here AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fail_here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail_here AND only_one), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fail_here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fail_here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, filter_order, step
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM r
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE = {"op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_mixing": OP8, "op9_warc": OP9, "op11_filter_audit": OP11, "op13_vector_search": OP13}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import chat_format, exact_dedup, gam, mixing, pieces, pii, quality_rules, simhash, token_files, warc
+from ledgerlens.llm import (chat_format, exact_dedup, filter_audit, gam, mixing, periodic_runs, pieces, pii, quality_rules, simhash, token_files, vector_search,
+                            warc)
 from ledgerlens.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -64,5 +67,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.corpus_token_counts(spark, docs, RANKS, public_tokenizers.PATTERN, SEPARATOR)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def planted_period(doc_id: int | None, words: list[str]) -> list[str]:
+    """The contract's planted repeats: the words of every tenth document (by crc32 of its id) from place a on repeat with period p."""
+    h, n = (zlib.crc32(str(doc_id).encode()), len(words)) if doc_id is not None else (1, 0)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    block = words[a:a + p]
+    return words[:a] + (block * (-(-(n - a) // p)))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the words of every text after the planted repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs, edit=planted_period)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.withColumns({"best": best, "lines": lines})
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.shorter")).alias("length"),
+                        F.col("best.period").alias("period"), F.expr("(-1000 * best.shorter) div best.period").alias("exponent_milli"),
+                        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_pii, op4_quality_gam, op5_chat_format, op6_exact_dedup, op7_simhash, op8_mixing,
-                                   op9_warc, op10_token_counts)}
+                                   op9_warc, op10_token_counts, op11_filter_audit, op12_periodic_runs, op13_vector_search)}

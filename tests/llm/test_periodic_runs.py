@@ -1,0 +1,114 @@
+"""Runs equal those found by comparing the text with itself at every distance."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from ledgerlens.llm import periodic_runs as pr
+from ledgerlens.llm.common import WORD
+from ledgerlens.llm.queries import op12_periodic_runs, planted_period
+
+
+def brute(words, least=12):
+    found = {}
+    for p in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            # words i .. j + p repeat with period p and cannot be extended
+            if j > i and j + p - i >= max(least, 2 * p):
+                found.setdefault((i, j + p - i), p)
+            i = max(j, i + 1)
+    return sorted([(s, n, p) for (s, n), p in found.items()], key=lambda r: (r[0], r[2]))
+
+
+def _texts(rnd):
+    for _ in range(rnd.randrange(1, 5)):
+        n, letters = rnd.randrange(0, 90), "abcdefgh"[:rnd.choice([1, 2, 2, 3, 5, 8])]
+        words = [rnd.choice(letters) for _ in range(n)]
+        if n and rnd.random() < 0.6:
+            a = rnd.randrange(n)
+            p = 1 + rnd.randrange(max(1, (n - a) // 2 + 1))
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        yield words
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 7, 12, 13])
+def test_equal_brute_force(least):
+    rnd, total = random.Random(least), 0
+    for _ in range(250):
+        texts = list(_texts(rnd))
+        got = pr.runs_of(texts, least)
+        assert got == [brute(w, least) for w in texts]
+        total += sum(map(len, got))
+    assert total > 300
+
+
+def test_known_words():
+    fib = ["a", "ab"]
+    while len(fib[-1]) < 200:
+        fib.append(fib[-1] + fib[-2])
+    words = list(fib[-1])
+    assert pr.runs_of([words], 12) == [brute(words)]
+    assert pr.runs_of([["x"] * 11, ["x"] * 12, []]) == [[], [(0, 12, 1)], []]
+    # two runs that overlap, and one period at two places
+    both = list("abcabcabcabc") + list("cccccccccccc") + list("abcabcabcabc")
+    assert pr.runs_of([both], 12) == [brute(both)]
+
+
+@pytest.mark.parametrize("words", [["ha"] * 30000, ["a", "b", "c"] * 20000, [w for i in range(5000) for w in (f"x{i}", *["a"] * 8)],
+                                   [w for i in range(3000) for w in (f"x{i}", "the", "same", "line", "of", "six", "words", f"y{i}")]])
+def test_long_texts_take_no_pairs_of_all_places(words):
+    import time
+    began = time.perf_counter()
+    (runs,) = pr.runs_of([words], 12)
+    assert len(runs) == (1 if words[0] in ("ha", "a") else 0)
+    assert time.perf_counter() - began < 20
+
+
+def test_frame_keeps_other_columns(spark):
+    text = "s " + "go on " * 8 + "end"
+    df = spark.createDataFrame([(1, text, 5, "r", "z"), (1, text, 5, "r", "z"), (None, None, None, None, None), (2, "", 1, "", ""), (3, "\x0ba\x1f b", 1, "", "")],
+                               "doc_id long, text string, `a.b` int, runs string, c0 string")
+    got = pr.periodic_runs(df)
+    assert got.columns == ["doc_id", "a.b", "c0", "n_words", "runs", "collapsed"]
+    rows = sorted([(r[0] or 0, r["a.b"], r["c0"], r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in got.collect()], key=str)
+    one = (1, 5, "z", 18, [(1, 16, 2)], "s go on end")
+    assert rows == sorted([one, one, (0, None, None, 0, [], ""), (2, 1, "", 0, [], ""), (3, 1, "", 2, [], "a\x1f b")], key=str)
+    assert pr.periodic_runs(df.limit(0)).count() == 0
+
+
+def _sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_query_equals_brute_force(spark, docs, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(("a", "b", "c", "dd")) for _ in range(rnd.randrange(0, 70))), "en", "s") for i in range(120)]
+    rows += [(None, "z " * 20, "en", "s"), (500, None, None, None), (501, "", "en", "s"), (7, rows[7][1], "en", "s"), (502, "p q " * 3000, "en", "s")]
+    docs(rows, **{"a.b": 1}).write.parquet(str(tmp_path / "documents.parquet"))
+    want, planted = [], 0
+    for i, text, *_ in rows:
+        words = WORD.findall(text or "")
+        n = len(words)
+        if i is not None and n:
+            h = zlib.crc32(str(i).encode())
+            if h % 10 == 0:
+                a = (h // 10) % n
+                p = 1 + (n - a) // (3 + (h // 10) % 8)
+                words = [words[j] if j < a else words[a + (j - a) % p] for j in range(n)]
+                planted += 1
+        assert planted_period(i, WORD.findall(text or "")) == words
+        runs = brute(words) if n < 1000 else pr.runs_of([words])[0]
+        dropped = {j for s, m, p in runs for j in range(s + p, s + m)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        want.append((i, len(runs), *best, best[0] if best[0] is None else 1000 * best[1] // best[2], _sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)),
+                     _sha(" ".join(w for j, w in enumerate(words) if j not in dropped))))
+    got = op12_periodic_runs(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert {t for _, t in got.dtypes} == {"bigint", "string"}
+    assert planted and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
