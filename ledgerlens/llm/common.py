@@ -80,14 +80,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1
 
     The ``hot`` largest groups by ``size`` are broadcast (at most ``hot`` rows). Every other group has at most
     1/hot of all rows, so the shuffle join that serves them has no hot key; rows already served travel through
-    it under keys of their own, spread evenly. Columns of ``groups`` other than ``key`` are added, null
+    it under a key of their own each (partition and place), so equal rows are spread too. ``rows`` should come from a scan or a
+    checkpoint, whose order a repeated task meets again. Columns of ``groups`` other than ``key`` are added, null
     where there is no group. Null keys join nothing.
     """
     values = [c for c in groups.columns if c != key]
     top = groups.orderBy(F.desc(size), key).limit(hot).select(F.col(key).alias("hot_key"), F.struct(*values).alias("hot_value"))
     cold = groups.select(F.col(key).cast("string").alias("cold_key"), F.struct(*values).alias("cold_value"))
     # no key's text begins with '#'
-    own = F.concat(F.lit("#"), F.hash(*rows.columns).cast("string"))
+    own = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
     probe = F.when(F.col("hot_value").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(own)
     out = rows.join(F.broadcast(top), F.col(key) == F.col("hot_key"), "left").withColumn("probe", probe)
     out = out.join(cold, F.col("probe") == F.col("cold_key"), "left").withColumn("value", F.coalesce("hot_value", "cold_value"))
