@@ -14,7 +14,8 @@ after a file's last separator form a last document without an end, reported with
 has no documents; a file whose size is no multiple of the token width raises an error; an
 empty table writes no files; repeated rows are written as often as they come; other columns are ignored.
 
-Scale: blocks are read by byte range, so one huge file is spread over all tasks. Complete documents leave their block
+Scale: blocks are read by byte range, in a number of tasks that is told from the summed file sizes (block descriptors are a few bytes each, so
+their own size says nothing), and one huge file is spread over all of them; so is asking for the sizes. Complete documents leave their block
 at once; only border pieces (two a block) are shuffled. The prefix scan has two levels, ``GROUP`` blocks
 each, so no window holds a whole large file's blocks.
 """
@@ -36,6 +37,9 @@ from ledgerlens.llm.common import checkpointed, file_system, shared_folder, smal
 BLOCK = 1 << 20
 GROUP = 4096
 FILE_TOKENS = 1 << 28
+# bytes that a task scans, files whose sizes a task asks for
+TASK_BYTES = 1 << 27
+TASK_FILES = 1000
 # documents reported per frame that a task hands on
 ROWS = 1 << 16
 
@@ -90,8 +94,13 @@ def write_token_files(docs: DataFrame, ranks_path: str, pattern: str, separator:
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def block_table(files: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """files(path, file) -> (path, file, block, offset, length): byte ranges. Sizes are asked for where the tasks run."""
+def _spread(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """``rows`` dealt evenly to at least ``least`` tasks, as many as there are cores, and at most ``most``: a fixed number, which is not coalesced."""
+    return rows.repartition(max(1, min(most, max(least, rows.sparkSession.sparkContext.defaultParallelism))))
+
+
+def file_sizes(files: DataFrame, width: int = 2) -> DataFrame:
+    """Checkpointed files(path, file) -> (path, file, size) of those that are not empty. Sizes are asked for where the tasks run."""
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
@@ -105,10 +114,17 @@ def block_table(files: DataFrame, width: int = 2, block: int = BLOCK) -> DataFra
                 found.append((path, number, info.size))
             yield pd.DataFrame(found, columns=["path", "file", "size"])
 
+    n = files.count()
+    return _spread(files.select("path", "file"), -(-n // TASK_FILES), n).mapInPandas(sizes, "path string, file long, size long").where("size > 0")
+
+
+def block_table(sized: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """Checkpointed sized(path, file, size) -> (path, file, block, offset, length): byte ranges, dealt evenly to the tasks that scan them."""
     step = block * width
-    sized = files.select("path", "file").mapInPandas(sizes, "path string, file long, size long").where("size > 0")
-    return (sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}"))))
+    total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.expr(f"(size - 1) div {step} + 1")), F.lit(0))).first()
+    rows = (sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}"))))
                  .select("path", "file", "block", (F.col("block") * step).alias("offset"), F.least(F.lit(step), F.col("size") - F.col("block") * step).cast("long").alias("length")))
+    return _spread(rows, -(-total // TASK_BYTES), n)
 
 
 def scan_block(tokens: np.ndarray, separator: int) -> tuple[np.ndarray, int, int]:
@@ -145,7 +161,7 @@ def token_counts(files: DataFrame, separator: int, width: int = 2, block: int =
     # files go by number, their paths come back at the end
     numbered = checkpointed(files.select("path").distinct().withColumn("file", F.monotonically_increasing_id()))
     # the scan of each block is stored (narrow), so the prefix scan and the numbering read one result
-    found = checkpointed(block_table(numbered, width, block).repartition("file", "block").mapInPandas(
+    found = checkpointed(block_table(checkpointed(file_sizes(numbered, width)), width, block).mapInPandas(
         counts, "file long, block long, seps long, place long, n_tokens long, ends boolean, inner boolean"))
     blocks = found.where("place = 0 AND NOT inner").select("file", "block", F.expr(f"block div {GROUP}").alias("grp"), "seps")
     ahead = Window.partitionBy("file").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)

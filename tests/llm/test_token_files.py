@@ -40,6 +40,19 @@ def test_counts_equal_a_plain_scan_across_block_borders(spark, tmp_path, monkeyp
         assert sorted((r.ordinal, r.n_tokens, r.closed) for r in got if r.path == paths[name]) == brute(tokens, sep), name
 
 
+def test_blocks_and_sizes_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    paths = [(write(tmp_path, f"f{i}", [1, 9] * 50), i) for i in range(40)]
+    files = spark.createDataFrame(paths, "path string, file long").coalesce(1)
+    monkeypatch.setattr(T, "TASK_FILES", 2)
+    sized = T.checkpointed(T.file_sizes(files))
+    assert sized.rdd.getNumPartitions() == 20
+    # 1,000 blocks of 8 bytes: as many tasks as their bytes ask for, however small the descriptors are
+    monkeypatch.setattr(T, "TASK_BYTES", 200)
+    blocks = T.block_table(sized, block=4).persist()
+    held = blocks.rdd.glom().map(len).collect()
+    assert len(held) == 40 and sum(held) == 1000 and min(held) >= 20 and max(held) <= 30
+
+
 def test_a_torn_file_is_an_error(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"abc")
     with pytest.raises(Exception, match="no whole number"):
