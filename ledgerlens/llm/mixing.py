@@ -3,8 +3,8 @@
 1. Sizes: words per document, summed per source. Sources in code-point order
    (null last) weigh 3, 1, 2, repeating, and share 150 % of all words; a target
    stops at twice its source's words and the excess is reshared by weight.
-2. Line: a source's documents are shuffled (by md5 of seed and doc_id) and laid
-   end to end; the line is cut into blocks of ``block`` words, the last one shorter.
+2. Line: a source's rows are shuffled (by md5 of seed, doc_id, source, md5 of the text and the copy's number among rows equal
+   in these) and laid end to end; the line is cut into blocks of ``block`` words, the last one shorter.
 3. Schedule: slot n gets the golden-ratio point frac(n * phi) as an integer of 31
    bits; the point falls into one source's interval of the cumulative targets. Any
    stretch of the schedule so holds each source near its share.
@@ -15,14 +15,15 @@
    overlap once for each use of the block.
 
 Everything is DataFrame code in the JVM. Defined cases: a null text has size 0; a
-null source is a source of its own, last in order; rows order by (md5, doc_id, size,
-hash of the text), so only identical rows are interchangeable; null doc_ids shuffle
-like any other; no words at all give targets 0; an empty table gives an empty
+null source is a source of its own, last in order; rows equal in doc_id, source and text are
+interchangeable and each has a place of its own; null doc_ids shuffle
+by their texts; no words at all give targets 0; an empty table gives an empty
 result; other columns are ignored by :func:`mix` and carried by :func:`mixed_rows`.
 
 Scale: the prefix sums over a source (and the slot ranks) are taken in two levels,
 inside hash ranges and over their sums, so a source with a third of all rows is
-spread over ``CELLS`` tasks. Slots meet sources by an equi join on a grid of points,
+spread over ``CELLS`` tasks, whatever repeats in it: null or repeated doc_ids differ by their texts, identical rows by
+their numbers, which are counted per input task and summed over the tasks. Slots meet sources by an equi join on a grid of points,
 never by a range join. Only the table of sources (one row per source, pre-aggregated
 map-side) runs through windows as a whole.
 """
@@ -110,33 +111,47 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return slots.select("slot", "source", "rank", F.expr("rank % blocks").alias("block_no"), words.cast("long").alias("words"))
 
 
+def _shuffled(sized: DataFrame, seed: int) -> DataFrame:
+    """Adds key, the place of a row in its source's line, different for each row, and cell, a range of keys."""
+    ident = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "h"))
+    rows = sized.withColumn("ident", ident)
+    twice = checkpointed(rows.groupBy("ident").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ident"))
+    # copies are numbered inside the task that read them, after those of the tasks before
+    copies = _prefix(rows.join(twice, "ident", "left_semi").withColumn("task", F.shiftright("at", 33)), "ident", "task", [F.col("at")], F.lit(1), "copy").drop("task")
+    rows = rows.join(twice, "ident", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(copies)
+    return (rows.withColumn("key", F.md5(F.concat_ws(":", "ident", F.col("copy").cast("string")))).drop("ident", "copy", "at")
+                .withColumn("cell", F.expr(f"cast(conv(substr(key, 1, 4), 16, 10) as bigint) * {CELLS} div 65536")))
+
+
 def _taken(sized: DataFrame, block: int, seed: int) -> DataFrame:
-    """Checkpointed (doc_id, size, source, h) -> the same rows with source_size, target, taken."""
+    """Checkpointed (doc_id, size, source, h, at) -> the same rows but for ``at`` with source_size, target, taken."""
     targets = checkpointed(source_targets(sized))
     slots = schedule(targets, block)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    line = sized.where("size > 0").withColumn("key", key).withColumn("cell", F.expr(f"cast(conv(substr(key, 1, 4), 16, 10) as bigint) * {CELLS} div 65536"))
-    line = _prefix(line, "source", "cell", [F.col(c) for c in ("key", "doc_id", "size", "h")], F.col("size"), "begin").withColumn("end", F.col("begin") + F.col("size"))
+    line = _prefix(_shuffled(sized.where("size > 0"), seed), "source", "cell", [F.col("key")], F.col("size"), "begin").withColumn("end", F.col("begin") + F.col("size"))
     # one row per document and block that it overlaps; (source, begin) names a document's place
     parts = line.select("doc_id", "size", "source", "h", "begin", "end", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(end - 1) div {block}"))).alias("part"))
     uses = slots.select(F.col("source").alias("s"), "block_no", "words")
     low, high = F.greatest(F.col("begin") - F.col("part") * block, F.lit(0)), F.least(F.col("end") - F.col("part") * block, F.coalesce("words", F.lit(0)))
     joined = parts.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("block_no")), "left")
     took = joined.groupBy("doc_id", "size", "source", "h", "begin").agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken")).drop("begin")
-    rows = took.unionByName(sized.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    rows = took.unionByName(sized.where("size = 0").drop("at").withColumn("taken", F.lit(0).cast("long")))
     # one row per source: Spark broadcasts it by size, or else splits a hot source's rows
     per = targets.select(F.col("source").alias("s"), "source_size", "target")
     return rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def _identity(docs: DataFrame) -> list[Column]:
-    return [F.col("doc_id"), word_count(F.col("text")).alias("size"), F.col("source"), F.xxhash64("text").alias("h")]
+    return [F.col("doc_id"), word_count(F.col("text")).alias("size"), F.col("source"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("h")]
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """Narrow rows, stored with the number that the task which read them gave to each."""
+    return checkpointed(docs.select(*_identity(docs), F.monotonically_increasing_id().alias("at")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """docs(doc_id, text, source) -> per row: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    sized = checkpointed(docs.select(*_identity(docs)))
-    return _taken(sized, block, seed).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(_sized(docs), block, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -156,10 +171,9 @@ def mixed_rows(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     Rows equal in doc_id, source and text are taken together, and the least of them by its other columns stands for
     them (the columns must be orderable). Texts cross the network once, to meet what was taken.
     """
-    sized = checkpointed(docs.select(*_identity(docs)))
     # nulls are left out of the JSON, so no value equals a null one; one key, so that texts are dealt out once
     key = lambda cols: F.to_json(F.struct(*cols))
-    took = (_taken(sized, block, seed).where("taken > 0").groupBy(key(["doc_id", "size", "source", "h"]).alias("took_key"))
+    took = (_taken(_sized(docs), block, seed).where("taken > 0").groupBy(key(["doc_id", "size", "source", "h"]).alias("took_key"))
             .agg(F.sum("taken").alias("took"), F.max("size").alias("took_size")))
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     rows = docs.select(key(_identity(docs)).alias("key"), whole.alias("row")).groupBy("key").agg(F.min("row").alias("row"))

@@ -26,11 +26,14 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+# Rows equal in doc_id, source and text are numbered, so that each has a place of its own.
 # The words a document takes follow from its place in its source's shuffled line: the mix takes the line's
 # first quota words, going round once more at its end. This needs neither blocks nor a schedule.
 OP8 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('0:' || doc_id::VARCHAR) AS k FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce('s' || source, 'n') || ':' || md5(coalesce(text, ''))) || ':'
+             || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)::VARCHAR) AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source
 ), fill AS (
@@ -44,7 +47,7 @@ WITH RECURSIVE d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN filled THEN (2 * source_size)::DOUBLE ELSE weight * ((total - sum(CASE WHEN filled THEN 2 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ()) END AS target FROM last
 ), line AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d
 )
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, round(target) - b)) + greatest(0, least(size, round(target) - source_size - b)))::BIGINT AS taken

@@ -35,11 +35,15 @@ def brute(rows):
     for _, t, _, s in rows:
         sizes[s] += size(t)
     target = plain_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
-    out = []
+    out, seen, md5 = [], Counter(), lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = defaultdict(list)
+    for i, t, _, s in rows:
+        ident = md5(":".join(("0", "null" if i is None else str(i), "n" if s is None else f"s{s}", md5(t or ""))))
+        lines[s].append((md5(f"{ident}:{seen[ident]}"), size(t), i))
+        seen[ident] += 1
     for s in sizes:
-        line = sorted(((hashlib.md5(f"0:{i}".encode() if i is not None else b"0").hexdigest(), i or 0, size(t), i) for i, t, _, x in rows if x == s))
         quota, begin = int(target[s] + 0.5), 0
-        for _, _, n, i in line:
+        for _, n, i in sorted(lines[s], key=lambda x: x[0]):
             took = sum(max(0, min(n, quota - p * sizes[s] - begin)) for p in (0, 1))
             out.append((i, n, sizes[s], round(target[s], 6), took))
             begin += n
@@ -97,6 +101,17 @@ def test_mixed_rows_hold_the_taken_words(docs):
     assert sum(r.text != text[r.doc_id] for r in out) <= 2 * 8
 
 
+def test_null_repeated_and_identical_rows_are_spread(docs):
+    # a third of the rows has no id, a third one id, a third is one row
+    rows = [(None, f"a{i} b", "en", "s") for i in range(2000)] + [(7, f"c{i} d", "en", "s") for i in range(2000)] + [(9, "e f", "en", "s")] * 2000
+    line = M._shuffled(M._sized(docs(rows)), 0)
+    # 6,000 rows over 4,096 cells
+    assert line.groupBy("source", "cell").count().agg(F.max("count")).first()[0] < 16
+    assert line.select("key").distinct().count() == line.count() == 6000
+    got = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in M.mix(docs(rows), block=64).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_first_words(spark):
     row = spark.range(1).select(*[M.first_words(F.lit(t), F.lit(n)) for t, n in (("a b c", 2), ("  a\n\tb c ", 1), ("  a\n\tb c ", 2), ("one", 1), ("one two ", 5))]).first()
     assert tuple(row) == ("a b", "  a", "  a\n\tb", "one", "one two")
