@@ -25,7 +25,7 @@ empty text, ids that the model lacks are skipped, null and control ids too; repe
 empty result; other columns are carried along and a column already named like the output is replaced.
 
 Scale: no shuffle. A batch's texts are taken in slices of at most ``SLICE`` code points (a longer text is a slice of
-its own), the trie holds one word's path at a time, and the tables of compatible pairs and of lately encoded words are bounded.
+its own), id lists in slices of ``IDS`` ids, the trie holds one word's path at a time, and the tables of compatible pairs and of lately encoded words are bounded.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ SLICE = 1 << 22
 MOST_PAIRS = 1 << 19
 # encoded words that a worker keeps from earlier slices, in two generations of half as many each
 MOST_WORDS = 200_000
-# id lists decoded at once
-ROWS = 256
+# ids decoded at once (a longer list is decoded alone)
+IDS = 1 << 18
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -274,41 +274,42 @@ def read_model(path: str) -> bytes:
     return sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto()
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``SLICE`` code points, one text at least."""
+def _slices(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sizes that sum to at most ``most``, one at least in each."""
     begin = total = 0
-    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
-        if total and total + n > SLICE:
+    for i, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        if total and total + n > most:
             yield begin, i
             begin, total = i, 0
         total += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _mapped(df: DataFrame, column: str, output: str, kind, make) -> DataFrame:
     """Add ``output`` computed by ``make(array)`` from slices of ``column``; other columns pass through."""
     kept = [f for f in df.schema.fields if f.name.lower() != output.lower()]
     schema = StructType([*kept, StructField(output, kind)])
-    names = [f.name for f in kept]
-    # the input travels under a name that an output column of the same name can't take
-    source = df.select(*[f"`{n}`" for n in names], df[column].alias("__in__"))
+    # inside, columns go by position: their own names may hold dots or clash with any other
+    places = [f"c{i}" for i in range(len(kept) + 1)]
+    inner = StructType([*(StructField(p, f.dataType) for p, f in zip(places, schema.fields))])
+    source = df.select(*[df[f"`{f.name}`"].alias(p) for p, f in zip(places, kept)], df[f"`{column}`"].alias(places[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in make(batch.column(len(names))):
-                begin, values = part
+            for begin, values in make(batch.column(len(kept))):
                 own = batch.slice(begin, len(values))
-                yield pa.RecordBatch.from_arrays([*own.columns[:len(names)], values], names=[*names, output])
+                yield pa.RecordBatch.from_arrays([*own.columns[:len(kept)], values], names=places)
 
-    return small_batches(source).mapInArrow(run, schema)
+    out = small_batches(source).mapInArrow(run, inner)
+    return out.select(*[out[p].alias(f.name) for p, f in zip(places, schema.fields)])
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text", output: str = "token_ids") -> DataFrame:
     """Add the array of ids of ``text``."""
     def make(texts: pa.Array):
         v = _loaded(model)
-        for a, b in _slices(texts):
+        for a, b in _slices(pc.utf8_length(texts), SLICE):
             found = encode_texts(v, texts[a:b].to_pylist())
             offsets = np.cumsum([0, *map(len, found)]) // 4
             yield a, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
@@ -319,6 +320,6 @@ def decode(df: DataFrame, model: bytes, ids: str = "token_ids", output: str = "d
     """Add the text of the array ``ids``."""
     def make(lists: pa.Array):
         v = _loaded(model)
-        for a in range(0, len(lists), ROWS):
-            yield a, pa.array(decode_lists(v, lists[a:a + ROWS]), pa.string())
+        for a, b in _slices(pc.list_value_length(lists), IDS):
+            yield a, pa.array(decode_lists(v, lists[a:b]), pa.string())
     return _mapped(df, ids, output, StringType(), make)

@@ -113,8 +113,17 @@ def test_dataframe_round_trip_nulls_repeats_extra_columns(docs, model, monkeypat
 def test_slices_cover_every_row(monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(P, "SLICE", 10)
-    assert list(P._slices(pa.array(["a" * 4, "b" * 4, None, "c" * 40, "", "d"]))) == [(0, 3), (3, 4), (4, 6)]
-    assert list(P._slices(pa.array([], pa.string()))) == []
+    assert list(P._slices(pa.array([4, 4, None, 40, 0, 1]), P.SLICE)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(P._slices(pa.array([], pa.int32()), P.SLICE)) == []
+
+
+def test_names_with_dots_and_clashes(spark, model, monkeypatch):
+    monkeypatch.setattr(P, "IDS", 3)
+    df = spark.createDataFrame([(1, "one two three", 5, "x", 2.0, "c"), (2, None, 6, "y", None, None)],
+                               "doc_id long, `the.text` string, `a.b` int, __in__ string, Decoded double, c0 string")
+    got = P.decode(P.encode(df, model, text="the.text"), model)
+    assert got.columns == ["doc_id", "the.text", "a.b", "__in__", "c0", "token_ids", "decoded"]
+    assert [(r[0], r[2], r[3], r[4], r["decoded"]) for r in sorted(got.collect(), key=lambda r: r[0])] == [(1, 5, "x", "c", "one two three"), (2, 6, "y", None, "")]
 
 
 def test_models_that_would_not_be_exact_are_refused():
