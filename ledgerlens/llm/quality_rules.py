@@ -3,22 +3,23 @@
 Each rule rejects a document whose measure lies above a cutoff. The cutoffs are not set by hand. The labels
 are split by hash into two halves:
 
-* The first half proposes, per stratum (language) and rule, the cutoff with the most gain: bad documents
-  rejected, good ones rejected counting ``GOOD_COST`` times (shares; of equals the mildest). Rules without
-  gain in a stratum are no candidates there.
-* The holdout proves. With n good holdout documents in the stratum, k of them above a cutoff, the exact
-  binomial p-value of "the rule rejects a share of ``alpha / candidates`` or more of good documents" is
-  P(Bin(n, alpha / candidates) <= k). The strata are the languages found with at least :func:`least_labels` good
-  holdout documents, fewer of which cannot prove any cutoff; their number does not depend on the measures. A rule's cutoffs are tested from the mildest to the proposed one and testing
-  stops at the first that fails (fixed-sequence testing); strata and candidates share the error by
-  Bonferroni: each sequence is tested at ``delta / (strata * candidates)``. The strictest proven cutoff is used.
-
-The candidates do not depend on the holdout, so with probability 1 - delta, in every stratum all rules
+* The first half proposes one path per stratum (language): a sequence of rule sets, each rejecting all that the one
+  before rejects. A rule's gain at a cutoff is the share of bad documents rejected less ``GOOD_COST`` times the share of good
+  ones. The rules with gain come in the order of their best gain, each tightened cutoff by cutoff from its mildest one with gain to its
+  best (of equals the mildest). Rules without gain in a stratum are not on its path.
+* The holdout proves. With n good holdout documents in the stratum, k of them rejected by the union of the rules at a
+  step, the exact binomial p-value of "the rules together reject a share of ``alpha`` or more of good documents" is
+  P(Bin(n, alpha) <= k). The steps are tested in order and testing stops at the first that fails (fixed-sequence
+  testing, so further steps cost no error); strata share the error by Bonferroni: each path is tested at
+  ``delta / strata``. The last proven step is used. The strata are the languages found with at least :func:`least_labels` good
+  holdout documents, fewer of which cannot prove any step; their number does not depend on the measures.
+
+The paths do not depend on the holdout, so with probability 1 - delta, in every stratum all rules
 together reject at most a share alpha of good documents. A language with too few labels of its own proves nothing, and its
 rules abstain; no cutoff learned on one language is applied to another.
 
-Only sums per (stratum, half, label, rule, cutoff) reach the driver, at most four rows for each language with enough
-labels.
+Only sums per (stratum, half, label, rule, cutoff) and per (stratum, step) reach the driver, at most four and 84 rows for each language with
+enough labels.
 
 Defined cases: a null or empty text has no words and fails the base rules; documents without a language are a
 stratum of their own (None); labels with null doc_id or quality are ignored and of
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ledgerlens.llm.common import checkpointed, fresh, small_batches
 from ledgerlens.llm.text_stats import stats_of
@@ -77,7 +78,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 def least_labels(alpha: float, delta: float) -> int:
-    """Good holdout documents below which no cutoff can be proven, even in a single stratum by a single rule."""
+    """Good holdout documents below which no step can be proven, even in a single stratum."""
     return math.ceil(math.log(delta) / math.log1p(-alpha))
 
 
@@ -95,26 +96,43 @@ def learn_cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     proofs = F.max(F.when(F.col("holdout") & F.col("good"), F.col("n"))).over(Window.partitionBy("stratum"))
     rows = groups.withColumn("proofs", proofs).where(F.col("proofs") >= least_labels(alpha, delta)).collect()
     found = {(r["stratum"], r["holdout"], r["good"]): r for r in rows}
-    strata, out = {r["stratum"] for r in rows}, {}
-    for name in strata:
-        proof, good, bad = found.get((name, True, True)), found.get((name, False, True)), found.get((name, False, False))
-        if not proof or not bad:
-            continue
-
-        def gain(rule: str, i: int) -> float:
-            return bad[f"{rule}_{i}"] / bad["n"] - GOOD_COST * (good[f"{rule}_{i}"] / good["n"] if good else 0)
-
-        gains = {rule: [gain(rule, i) for i in range(len(cuts))] for rule, cuts in CUTOFFS.items()}
-        candidates = {rule: g.index(max(g)) for rule, g in gains.items() if max(g) > 0}
-        for rule, proposed in candidates.items():
-            for i in range(proposed + 1):
-                if binomial_cdf(proof[f"{rule}_{i}"], proof["n"], alpha / len(candidates)) > delta / (len(strata) * len(candidates)):
-                    break
-                if gains[rule][i] > 0:
-                    out[name, rule] = CUTOFFS[rule][i]
+    strata = {r["stratum"] for r in rows}
+    paths = {name: _path(found.get((name, False, True)), found[name, False, False]) for name in strata if (name, False, False) in found}
+    first = _first_rejected(seen.join(truth, "doc_id").where(holdout & (F.col("quality") > 0)), paths)
+    out = {}
+    for name, path in paths.items():
+        n, rejected = found[name, True, True]["n"], 0
+        for step, (rule, cut) in enumerate(path):
+            rejected += first.get((name, step), 0)
+            if binomial_cdf(rejected, n, alpha) > delta / len(strata):
+                break
+            out[name, rule] = cut
     return out
 
 
+def _path(good: Row | None, bad: Row) -> list[tuple[str, float]]:
+    """The steps (rule, cutoff) that the first half proposes, from its sums over good and bad documents."""
+    def gain(rule: str, i: int) -> float:
+        return bad[f"{rule}_{i}"] / bad["n"] - GOOD_COST * (good[f"{rule}_{i}"] / good["n"] if good else 0)
+
+    gains = {rule: [gain(rule, i) for i in range(len(cuts))] for rule, cuts in CUTOFFS.items()}
+    order = sorted((rule for rule, g in gains.items() if max(g) > 0), key=lambda r: (-max(gains[r]), r))
+    return [(rule, CUTOFFS[rule][i]) for rule in order for i in range(gains[rule].index(max(gains[rule])) + 1) if gains[rule][i] > 0]
+
+
+def _first_rejected(good: DataFrame, paths: dict[str | None, list[tuple[str, float]]]) -> dict[tuple[str | None, int], int]:
+    """good(doc_id, stratum, measures) -> {(stratum, step): documents that this step is the first to reject}."""
+    steps = [(name, rule, cut, i) for name, path in paths.items() for i, (rule, cut) in enumerate(path)]
+    if not steps:
+        return {}
+    # at most 84 rows per language with enough labels: a bounded broadcast
+    at = good.sparkSession.createDataFrame(steps, "of string, name string, cut double, step int")
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("value")) for r in CUTOFFS])).alias("m")
+    hit = good.select("doc_id", "stratum", each).join(F.broadcast(at), F.col("stratum").eqNullSafe(F.col("of")) & (F.col("m.rule") == F.col("name")) & (F.col("m.value") > F.col("cut")))
+    counts = hit.groupBy("doc_id", "stratum").agg(F.min("step").alias("step")).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
+    return {(r["stratum"], r["step"]): r["n"] for r in counts.collect()}
+
+
 def passes(s: Column, lang: Column, cutoffs: dict[tuple[str | None, str], float]) -> Column:
     """Whether the learned rules accept a document."""
     ok = F.lit(True)
@@ -141,9 +159,10 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
 def kept_rows(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns as they came.
 
-    The counts are taken twice, for the cutoffs and for the verdicts, so that no text is shuffled or stored.
+    The rows are stored once with their counts, for the cutoffs and for the verdicts: writing a text is many times
+    cheaper than counting it again, and no text is shuffled.
     """
     s = fresh(small_batches(docs), "s")
-    # stored, because Spark would count once for the rows that the base rules leave and again for their measures
-    cutoffs = learn_cutoffs(checkpointed(docs.select("doc_id", "lang", stats_of("text").alias("s"))), labels, alpha, delta)
-    return docs.withColumn(s, stats_of("text")).where(~base_failed(F.col(s)) & passes(F.col(s), F.col("lang"), cutoffs)).drop(s)
+    marked = checkpointed(docs.withColumn(s, stats_of("text")))
+    cutoffs = learn_cutoffs(marked.select("doc_id", "lang", F.col(s).alias("s")), labels, alpha, delta)
+    return marked.where(~base_failed(F.col(s)) & passes(F.col(s), F.col("lang"), cutoffs)).drop(s)

@@ -164,6 +164,49 @@ def test_tables_add_up_to_the_trees():
     assert m.score(x[:1])[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def plain_boosting(x, y):
+    """The same model by loops over rows and all cuts, without histograms: the sum of tables for every row."""
+    def gain(rows):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    def split(rows):
+        best, sides = 1e-12, None
+        for c in sorted({place[i] for i in rows})[:-1]:
+            a, b = [i for i in rows if place[i] <= c], [i for i in rows if place[i] > c]
+            if min(len(a), len(b)) >= gam.LEAST_LEAF and (now := gain(a) + gain(b) - gain(rows)) > best + 1e-12:
+                best, sides = now, (a, b)
+        return best, sides
+
+    z = [np.log(y.mean() / (1 - y.mean()))] * len(y)
+    for _ in range(gam.ROUNDS):
+        for j in range(x.shape[1]):
+            cuts = np.unique(np.quantile(x[:, j], np.linspace(0, 1, gam.BINS + 1)[1:-1]))
+            place = [sum(c < v for c in cuts) for v in x[:, j]]
+            p = [1 / (1 + np.exp(-v)) for v in z]
+            g, h = [t - q for t, q in zip(y, p)], [q * (1 - q) for q in p]
+            leaves = [list(range(len(y)))]
+            _, sides = split(leaves[0])
+            if sides:
+                found = [split(s) for s in sides]
+                second = 0 if found[0][0] >= found[1][0] else 1
+                leaves = [sides[1 - second], *(found[second][1] or [sides[second]])]
+            for leaf in leaves:
+                step = gam.RATE * sum(g[i] for i in leaf) / (sum(h[i] for i in leaf) + 1)
+                for i in leaf:
+                    z[i] += step
+    return np.array(z)
+
+
+def test_tables_equal_a_plain_boosting_loop(monkeypatch):
+    for name, value in (("ROUNDS", 6), ("PAIR_ROUNDS", 0), ("BINS", 8), ("LEAST_LEAF", 5)):
+        monkeypatch.setattr(gam, name, value)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(150, 3)).round(1)
+        y = (rng.random(150) < 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 1] ** 2 - 1))).astype(float)
+        assert gam.train(x, y).score(x) == pytest.approx(1 / (1 + np.exp(-plain_boosting(x, y))), abs=1e-9)
+
+
 def test_one_class_or_no_rows_give_a_constant():
     x = np.zeros((5, len(gam.FEATURES)))
     assert gam.train(x, np.ones(5)).score(x) == pytest.approx([0.999] * 5, abs=1e-3)
