@@ -12,7 +12,8 @@ Base kinds, leftmost and non-overlapping per kind, a failing match is dropped:
 * card   digits with at most one space or hyphen between two, 13 to 19 digits, Luhn
 * phone  ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
-Added kinds: login (user and password in a URL), iban (check number 97), secret (a value with letters and digits
+Added kinds: login (user and password in a URL), iban (check number 97), secret (a private key block; a key with a
+published prefix such as ``AKIA`` or ``ghp_``; the token after ``Bearer``; a value with letters and digits
 given to a cue such as ``token``, with at most 8 spaces or tabs on each side of the ``=`` or ``:``: 16 or more code points, or
 8 or more after a password cue), account (6 to 18 digits after a cue). Cues are found in any case and may be
 quoted keys. A password ends at white space, a quote or, where none opened it, at one of ``,;&<>``. Their spans are whole: no length ends a login, secret or account number early.
@@ -41,7 +42,9 @@ KINDS = (*BASE_KINDS, "login", "iban", "secret", "account")
 
 # fixed values: cues
 SECRET_CUES = ("token", "secret", *(f"{a}{joint}key" for a in ("api", "access", "private", "auth", "secret") for joint in ("_", "-", "")))
-PASSWORD_CUES = ("password", "passwd")
+PASSWORD_CUES = ("password", "passwd", "pwd")
+# cues in lower case: the written form is checked by _PREFIXED
+PREFIX_CUES = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "sk_live_", "rk_live_")
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "cuenta", "compte")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,6 +58,9 @@ _USERINFO = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@[A-Za-z0-9.-]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?)")
 _GIVEN = re.compile(r"[\"'`]?[\x20\t]{0,8}[=:][\x20\t]{0,8}([\"'`]?)")
 _SECRET = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}+")
+_PREFIXED = re.compile(r"(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[bpas]-[A-Za-z0-9-]{10,}+|[sr]k_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])")
+_BEARER = re.compile(r"[\x20\t]{1,8}([A-Za-z0-9+/_=.~-]{16,}+)")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:\s*+[A-Za-z-]++:[^\n]*+\n)*+(?:\s*+[A-Za-z0-9+/=]++)*+(?:\s*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?")
 _PASSWORD = re.compile(r"[^\s\"'`,;&<>]{8,}+")
 _QUOTED_PASSWORD = re.compile(r"[^\s\"'`]{8,}+")
 _ACCOUNT = re.compile(r"(?:[\x20\t_-]{0,4}(?:no\.?|nr\.?|number|num|id))?[\"'`]?[\x20\t]{0,4}[:#=]?[\x20\t]{0,4}[\"'`]?([0-9](?:[\x20-]*+[0-9])++)", re.IGNORECASE)
@@ -66,7 +72,9 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(c, ("digit", 1))
     for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         a.add_word(word, (kind, len(word)))
-    for cues, kind in ((SECRET_CUES, "secret"), (PASSWORD_CUES, "password"), (ACCOUNT_CUES, "account")):
+    a.add_word("bearer", ("bearer", 6))
+    a.add_word("-----begin", ("block", 10))
+    for cues, kind in ((SECRET_CUES, "secret"), (PASSWORD_CUES, "password"), (ACCOUNT_CUES, "account"), (PREFIX_CUES, "prefix")):
         for cue in cues:
             a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
@@ -163,6 +171,13 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
                     add("secret", *m.span())
                     done["secret"] = m.end()
+        elif anchor in ("prefix", "bearer", "block"):
+            form, begin = {"prefix": (_PREFIXED, at), "bearer": (_BEARER, last + 1), "block": (_KEY_BLOCK, at)}[anchor]
+            if at >= done["secret"] and not text[at - 1:at].isalnum() and (m := form.match(text, begin)):
+                value, (start, end) = m.group(form.groups), m.span(form.groups)
+                if anchor != "bearer" or (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
+                    add("secret", start, end)
+                done["secret"] = end
         elif last >= done["account"] and (m := _ACCOUNT.match(text, last + 1)):
             if 6 <= sum(map(str.isdigit, m.group(1))) <= 18:
                 add("account", *m.span(1))
@@ -177,14 +192,14 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 _COUNTS = [f"n_{k}" for k in BASE_KINDS]
 
 
-@F.pandas_udf(StructType([*(StructField(c, LongType()) for c in _COUNTS), StructField("base_sha256", StringType()), StructField("spans", StringType())]))
+@F.pandas_udf(StructType([*(StructField(c, LongType()) for c in _COUNTS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_spans", LongType())]))
 def _report(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
         spans = find_spans(t)
         base = [s for s in spans if s[0] in BASE_KINDS]
-        rows.append((*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-    return pd.DataFrame(rows, columns=[*_COUNTS, "base_sha256", "spans"]).astype(dict.fromkeys(_COUNTS, "int64"))
+        rows.append((*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)))
+    return pd.DataFrame(rows, columns=[*_COUNTS, "base_sha256", "spans", "n_spans"]).astype(dict.fromkeys([*_COUNTS, "n_spans"], "int64"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
