@@ -17,7 +17,7 @@ doc_id and text are one group, and every one of them is reported as ``kept`` in
 :func:`membership` when it carries the largest doc_id, while
 :func:`deduplicated` keeps exactly one row (the greatest by its other columns);
 an empty table gives an empty result; other columns, whatever their names, are
-carried by :func:`deduplicated` and ignored by :func:`membership`.
+carried by :func:`deduplicated` (they must be orderable, so not maps) and ignored by :func:`membership`.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -44,7 +45,7 @@ def test_queries_equal_their_sql(spark, name):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_simhash_query_equals_brute_force(spark):
@@ -77,9 +78,20 @@ def test_pipeline_equals_brute_force(spark):
     words = Counter()
     for r in got:
         words[r.doc_id] += size(r.text)
-        assert r.token_ids == sp.encode(r.text)
+        assert r.token_ids == sp.encode(r.text) and r.round_trip
     assert +words == Counter({i: t for i, t in took.items() if t})
-    assert got and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "token_ids"}
+    assert got and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "token_ids", "round_trip"}
+
+
+def test_last_stage_says_which_texts_come_back(spark):
+    rows = [(1, "a plain text", 1, "x"), (2, "a mark ▁ inside", 2, "y"), (3, None, 3, None), (4, "", 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __in__ string").withColumn("decoded", F.lit(5))
+    got = corpus_pipeline.sentencepiece_round_trip(spark, docs, SF)
+    assert got.columns == ["doc_id", "text", "a.b", "__in__", "decoded", "token_ids", "round_trip"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.PIECE_MODEL)
+    for r in got.collect():
+        assert tuple(r[:4]) == rows[r.doc_id - 1] and r.decoded == 5 and r.token_ids == sp.encode(r.text or "")
+        assert r.round_trip == (r.doc_id != 2) == (sp.decode(r.token_ids) == (r.text or ""))
 
 
 def test_stages_keep_the_columns(spark):
