@@ -1,40 +1,46 @@
 """Global NTILE / RANK without a single-partition window.
 
 ``Window.orderBy(...)`` with no partition key makes Spark move every row into one task. The forms here
-never do; what they gather is bounded by a parameter or by the number of partitions:
-
-* NTILE: only the last row of each tile but the last is needed. The ordered columns (nothing else)
-  are range-partitioned, numbered inside their partitions and written once to the shared scratch folder;
-  the partitions' counts (one row per partition) say which partition and position each cut row has. The
-  cut rows become literals, the scratch is deleted, and every row's tile is a comparison with them.
-* RANK: ties share a rank, so distinct ordering keys are counted first. Their ranges come from
-  approximate percentiles of one ordering column (``RANGES`` numbers, taken as literals, so any evaluation
-  agrees); offsets are prefix sums over the ranges, and a window runs inside each range.
+never do; what they gather is bounded by a parameter or by the number of partitions.
+
+* NTILE needs the last row of each tile but the last (the cuts). One aggregate over the table takes a uniform sample
+  of at most about ``SAMPLE`` rows; the sample's quantiles, six standard errors to either side, bracket each cut. The next
+  aggregate counts exactly how many rows stand before, at the borders of and inside each bracket and samples inside it only, so a bracket
+  shrinks some sixteenfold a pass, until it holds no more rows than a sample, which then is complete. All orders and
+  cuts share each pass. Brackets are proven by the counts and never by the sample: one that missed its cut is replaced
+  by the side that the counts name. Nothing is sorted by Spark and nothing is written. A value that holds most rows does no
+  harm, because rows are compared by the whole order.
+* RANK: ties share a rank, so distinct ordering keys are counted first and stored once, range-partitioned. Rows per
+  partition (one number each) give the offsets, which are joined as a bounded table; a window runs inside each partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from math import ceil, floor, sqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ledgerlens.session import materialized
+from ledgerlens.session import stored
 
-# ranges that a global rank is cut into: bounds the literals and the offset table
-RANGES = 1024
+# rows that a pass brings to the driver per bracket, give or take the sample's spread; 100 at least, or brackets would not shrink
+SAMPLE = 10_000
+
+Order = Sequence[tuple[str, bool]]
 
 
 def _sort(name: str, descending: bool) -> Column:
     return F.col(name).desc() if descending else F.col(name).asc()
 
 
-def _not_after(order: Sequence[tuple[str, bool]], values: Sequence[Column]) -> Column:
-    """Whether a row stands at or before the row of ``values`` in ``order``: (column, descending) pairs.
+def _stands(order: Order, values: Sequence[Column], equal: bool) -> Column:
+    """Whether a row stands before the row of ``values`` in ``order``, or (``equal``) at its place.
 
-    As in Spark's sort, nulls come first ascending and last descending.
+    ``order``: (column, descending) pairs. As in Spark's sort, nulls come first ascending and last descending.
     """
-    result = F.lit(True)
+    result = F.lit(equal)
     for (name, descending), value in reversed(list(zip(order, values))):
         col = F.col(name)
         smaller, larger = (value, col) if descending else (col, value)
@@ -43,70 +49,132 @@ def _not_after(order: Sequence[tuple[str, bool]], values: Sequence[Column]) -> C
     return result
 
 
-def cut_rows(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> list[dict | None]:
-    """The last row of each of the first ``n - 1`` of ``n`` tiles in ``order`` (None: the tile and those before are empty).
-
-    The first ``rows % n`` tiles hold one row more than the others. ``order`` must be total up to identical rows. At most ``n - 1`` rows reach the driver.
+def _sorted(rows: Sequence[Row], order: Order) -> list[Row]:
+    """Rows on the driver in ``order``, as Spark sorts them (NaN is the greatest number)."""
+    out = list(rows)
+    for name, descending in reversed(order):
+        out.sort(key=lambda r: (r[name] is not None, r[name] != r[name], r[name]), reverse=descending) if any(r[name] is None or r[name] != r[name] for r in out) \
+            else out.sort(key=lambda r: r[name], reverse=descending)
+    return out
+
+
+@dataclass
+class _Cut:
+    """A wanted row, and the open bracket (low, high) of keys that it is looked for in, borders included (None: no border)."""
+    order: Order
+    position: int                  # 1-based
+    total: int
+    rows: int                      # expected between the borders
+    low: Row | None = None
+    high: Row | None = None
+    found: Row | None = None
+
+    def view(self) -> tuple:
+        """Cuts with equal brackets share their counts and sample; without borders the order does not matter."""
+        return (None, None, None) if self.low is None and self.high is None else (tuple(self.order), self.low, self.high)
+
+    def take(self, before: int, at_low: int, inside: int, at_high: int, sample: Sequence[Row], complete: bool) -> None:
+        """Use a pass's exact counts (before the bracket, at its borders, inside) and its sample of the inside: find the row, or narrow the bracket."""
+        past_low, past_inside = before + at_low, before + at_low + inside
+        if self.position <= before:
+            self.low, self.high, self.rows = None, self.low, before
+        elif self.position <= past_low:
+            self.found = self.low
+        elif self.position > past_inside + at_high:
+            self.low, self.high, self.rows = self.high, None, self.total - past_inside - at_high
+        elif self.position > past_inside:
+            self.found = self.high
+        elif complete:
+            self.found = _sorted(sample, self.order)[self.position - past_low - 1]
+        else:
+            ranked, m = _sorted(sample, self.order), len(sample)
+            at, slack = (self.position - past_low) / inside * m, 3 * sqrt(m) + 1
+            low, high = floor(at - slack), ceil(at + slack)
+            if low >= 0:
+                self.low = ranked[low]
+            if high < m:
+                self.high = ranked[high]
+            self.rows = max(1, ceil(inside * (min(high, m) - max(low, 0)) / max(m, 1)))
+
+
+def cut_rows(df: DataFrame, orders: Mapping[str, Order], n: int, rows: int | None = None, sample: int = SAMPLE) -> dict[str, list[dict | None]]:
+    """For each order the last row of each of the first ``n - 1`` of ``n`` tiles (None: the tile and those before are empty).
+
+    The first ``rows % n`` tiles hold one row more than the others. An order must be total up to identical rows. ``df`` is read
+    once per pass, so it should be stored; ``rows`` is its number of rows, if known.
     """
-    names, pid = [c for c, _ in order], F.spark_partition_id()
-    by = [_sort(*o) for o in order]
-    placed = (df.select(*names).repartitionByRange(*by).sortWithinPartitions(*by)
-                .withColumns({"_pid": pid, "_at": F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1}))
-    # stored, because range bounds are sampled: counts and positions must come from one evaluation
-    with materialized(placed) as rows:
-        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        parts = (rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-                     .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total")))
-        ends = F.array(*[F.expr(f"(_total div {n}) * {t} + least({t}, _total % {n})") for t in range(1, n)])
-        wanted = parts.select("_pid", "_before", F.posexplode(ends).alias("_tile", "_end"))
-        # one row per partition: a bounded broadcast
-        found = (rows.join(F.broadcast(wanted), "_pid").where("_before + _at = _end").select("_tile", *names)
-                     .collect())
-    at = {r["_tile"]: r.asDict() for r in found}
-    return [at.get(t) for t in range(n - 1)]
-
-
-def tile(df: DataFrame, order: Sequence[tuple[str, bool]], cuts: Sequence[dict | None]) -> Column:
+    names = list(dict.fromkeys(c for order in orders.values() for c, _ in order))
+    narrow = df.select(*names)
+    types = {f.name: f.dataType for f in narrow.schema.fields}
+    total = narrow.count() if rows is None else rows
+    cuts = {name: [_Cut(order, total // n * t + min(t, total % n), total, total) for t in range(1, n)] for name, order in orders.items()}
+    every = [c for own in cuts.values() for c in own]
+    while open_ := [c for c in every if c.position > 0 and c.found is None]:
+        views: dict[tuple, list[_Cut]] = {}
+        for c in open_:
+            views.setdefault(c.view(), []).append(c)
+        aggregates, shares = [], []
+        for i, own in enumerate(views.values()):
+            def against(border: Row | None, equal: bool, without: bool, order: Order = own[0].order) -> Column:
+                return F.lit(without) if border is None else _stands(order, [F.lit(border[c]).cast(types[c]) for c, _ in order], equal)
+
+            low, high = own[0].low, own[0].high
+            past_low, up_to_high = ~against(low, True, False), against(high, False, True)
+            inside = past_low & up_to_high
+            shares.append(min(1.0, sample / max(1, own[0].rows)))
+            drawn = inside if shares[-1] == 1 else inside & (F.col("_u") < shares[-1])
+            counts = {"before": against(low, False, False), "at_low": against(low, True, False) & ~against(low, False, False), "inside": inside,
+                      "at_high": against(high, True, False) & ~against(high, False, False)}
+            aggregates += [*(F.count_if(c).alias(f"{name}{i}") for name, c in counts.items()), F.collect_list(F.when(drawn, F.struct(*names))).alias(f"sample{i}")]
+        found = narrow.withColumn("_u", F.rand()).agg(*aggregates).first()
+        for i, own in enumerate(views.values()):
+            for c in own:
+                c.take(*[found[f"{name}{i}"] for name in ("before", "at_low", "inside", "at_high", "sample")], complete=shares[i] == 1)
+    return {name: [None if c.found is None else c.found.asDict() for c in own] for name, own in cuts.items()}
+
+
+def tile(df: DataFrame, order: Order, cuts: Sequence[dict | None]) -> Column:
     """The 1-based tile of a row of ``df`` from the tiles' cut rows."""
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def after(cut: dict | None) -> Column:
         if cut is None:
             return F.lit(1)
-        values = [F.lit(cut[c]).cast(types[c]) for c, _ in order]
-        return F.when(_not_after(order, values), 0).otherwise(1)
+        return F.when(_stands(order, [F.lit(cut[c]).cast(types[c]) for c, _ in order], True), 0).otherwise(1)
     return reduce(lambda a, b: a + b, [after(c) for c in cuts], F.lit(1)).cast("int")
 
 
-def global_ntile(df: DataFrame, n: int, order: Sequence[tuple[str, bool]], name: str) -> DataFrame:
+def with_tiles(df: DataFrame, n: int, orders: Mapping[str, Order], sample: int = SAMPLE) -> DataFrame:
+    """``NTILE(n) OVER (ORDER BY order) AS name`` for each name and order; an order is total (append a unique key).
+
+    ``df`` is evaluated once and stored in the checkpoint folder; passes and result read it there.
+    """
+    kept, rows = stored(df)
+    cuts = cut_rows(kept, orders, n, rows, sample)
+    return kept.withColumns({name: tile(kept, order, cuts[name]) for name, order in orders.items()})
+
+
+def global_ntile(df: DataFrame, n: int, order: Order, name: str) -> DataFrame:
     """``NTILE(n) OVER (ORDER BY order)``; ``order``: (column, descending) pairs, total (append a unique key)."""
-    return df.withColumn(name, tile(df, order, cut_rows(df, order, n)))
+    return with_tiles(df, n, {name: order})
 
 
-def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], name: str, spread: str, ranges: int = RANGES) -> DataFrame:
+def global_rank(df: DataFrame, order: Order, name: str) -> DataFrame:
     """``RANK() OVER (ORDER BY order)``: 1 + number of rows strictly before.
 
-    ``spread`` is the numeric column of ``order`` whose percentiles cut the ranges; columns of ``order`` before it should
-    have few values (a priority), since each combination of them has its own ranges.
+    ``df`` is evaluated once and stored, and so are its distinct ordering keys with their counts and range partitions
+    (range bounds are sampled, so a second evaluation could deal them otherwise).
     """
-    keys = [c for c, _ in order]
-    lead = keys[:keys.index(spread)]
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # one pass over the keys; the result has at most ``ranges`` numbers
-    bounds = df.agg(F.percentile_approx(F.col(spread).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    steps = sorted(set(bounds))
-    descending = dict(order)[spread]
-    # number of bounds below the value: equal keys share a range, and ranges are in order
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in steps]).cast("array<double>"), lambda b: b < F.coalesce(F.col(spread).cast("double"), F.lit(float("-inf")))))
-    counted = counted.withColumn("_range", place)
-    by_range = [_sort(c, d) for c, d in order[:len(lead)]] + [_sort("_range", descending)]
-    before = Window.orderBy(*by_range).rowsBetween(Window.unboundedPreceding, -1)
-    # at most ``ranges`` rows per combination of the leading columns
-    offsets = (counted.groupBy(*lead, "_range").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-                      .select(*[F.col(c).alias(f"_o_{c}") for c in (*lead, "_range")], "_before"))
-    inside = Window.partitionBy(*lead, "_range").orderBy(*[_sort(*o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
-    same_range = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*lead, "_range")])
-    ranks = (counted.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, same_range)
-                    .select(*[F.col(c).alias(f"_k_{c}") for c in keys], (F.col("_before") + F.col("_inside") + 1).cast("int").alias(name)))
+    keys, by = [c for c, _ in order], [_sort(*o) for o in order]
+    kept, _ = stored(df)
+    counted = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed, _ = stored(counted.repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()))
+    # one row per partition
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_pid").agg(F.sum("_n").alias("_sum"))
+                     .select(F.col("_pid").alias("_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy("_pid").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(offsets), F.col("_pid") == F.col("_part"))
+                   .select(*[F.col(c).alias(f"_k_{c}") for c in keys], (F.col("_before") + F.col("_inside") + 1).cast("int").alias(name)))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
-    return df.join(ranks, same).drop(*[f"_k_{c}" for c in keys])
+    return kept.join(ranks, same).drop(*[f"_k_{c}" for c in keys])

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.functions import rfm_action, rfm_segment, rfm_sub_segment
-from ledgerlens.operators.ranking import cut_rows, tile
-from ledgerlens.session import materialized
+from ledgerlens.operators.ranking import with_tiles
 
 
 def rfm_base(txn: DataFrame, keys: Sequence[str] = ("cc_num",), as_of=None,
@@ -38,16 +37,13 @@ def rfm_score(base: DataFrame, tiles: int = 4, tie: Sequence[str] = ("cc_num",))
     """Quartile scores: recency (most recent = highest), frequency and monetary (ascending).
 
     Each NTILE order ends in the ``tie`` columns so equal values split deterministically across tile
-    edges. Building the result runs jobs: the ordered columns of ``base`` (narrow) are stored once, each
-    order's cut rows (``tiles - 1`` of them) are found there, and the stored files are removed. The
-    result itself is a projection of ``base`` that compares each row with those literals.
+    edges. Building the result runs jobs: ``base`` is evaluated once and stored, and the cut rows of all
+    three orders (``tiles - 1`` each) are found there in shared passes. The
+    result itself is a projection of the stored base that compares each row with those literals.
     """
     orders = {name: [(value, descending), *[(c, False) for c in tie]]
               for name, value, descending in (("r_score", "recency_days", True), ("f_score", "frequency", False), ("m_score", "monetary", False))}
-    columns = list(dict.fromkeys(c for order in orders.values() for c, _ in order))
-    with materialized(base.select(*columns)) as narrow:
-        cuts = {name: cut_rows(narrow, order, tiles) for name, order in orders.items()}
-    return base.withColumns({name: tile(base, order, cuts[name]) for name, order in orders.items()})
+    return with_tiles(base, tiles, orders)
 
 
 def with_segments(scored: DataFrame, sub_segments: bool = True) -> DataFrame:

@@ -76,7 +76,7 @@ def rolling_spend_decline(txn: DataFrame) -> DataFrame:
                .where(F.col("trend_label").isin(TREND_URGENT, TREND_WARNING))
                .withColumn("_priority", F.when(F.col("trend_label") == TREND_URGENT, 1)
                            .when(F.col("trend_label") == TREND_WARNING, 2).otherwise(3)))
-    ranked = global_rank(flagged, [("_priority", False), ("rolling_3m_avg", True)], "retention_priority_rank", spread="rolling_3m_avg")
+    ranked = global_rank(flagged, [("_priority", False), ("rolling_3m_avg", True)], "retention_priority_rank")
     return ranked.select(
         "cc_num", "customer_name", "trans_year", "trans_month",
         F.col("legit_spend").cast("double").alias("current_month_spend"),

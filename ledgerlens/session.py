@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # Settings every session should have; sized per deployment by the caller.
 BASE_CONF = {
@@ -76,6 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` evaluated once into the shared checkpoint folder (its files go when nothing refers to them), and its number of rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
+    return kept, seen.get["rows"]
+
+
 @contextmanager
 def materialized(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` written once under the shared checkpoint dir and read again; the files go when the block ends."""
