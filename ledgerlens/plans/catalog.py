@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.plans import adhoc, behavior, category, geography, preparation, segmentation, velocity
+from ledgerlens.plans import adhoc, behavior, category, geography, operations, preparation, segmentation, velocity
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.fixtures import raw_exports, raw_from_driver_tables
 from ledgerlens.sources.sinks import read_transactions, write_transactions
@@ -35,6 +35,12 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "elevated_states": adhoc.elevated_states,
 }
 
+# further queries over the prepared table, and over the tables of a folder
+EXTRAS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "card_baselines": operations.card_baselines,
+    "large_fraud_pairs": operations.large_fraud_pairs,
+}
+
 
 def transactions_from_driver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared table computed (lazily) from the driver tables at ``sf_dir``, in one pass over them."""
@@ -73,4 +79,8 @@ def run_report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return prepared_for_comparison(prepared_from_exports(spark, sf_dir))
     if name == "stored_transactions":
         return prepared_for_comparison(stored_transactions(spark, sf_dir))
-    return REPORTS[name](transactions_from_driver_tables(spark, sf_dir))
+    if name == "replaced_transactions":
+        return prepared_for_comparison(operations.replaced_transactions(spark, sf_dir))
+    if name == "csv_load":
+        return operations.csv_load(spark, sf_dir)
+    return (REPORTS | EXTRAS)[name](transactions_from_driver_tables(spark, sf_dir))

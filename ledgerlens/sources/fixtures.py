@@ -55,7 +55,9 @@ def raw_from_driver_tables(spark: SparkSession, sf_dir: str, half: int | None =
     lineitem, orders, customer, nation, supplier = _tables(spark, sf_dir, half)
     ok = F.col("o_orderkey")
     card = F.col("o_custkey") - F.pmod(F.col("o_custkey"), F.lit(10))
-    base = (lineitem.join(orders, F.col("l_orderkey") == ok)
+    # The shuffle by order key that a join with a large orders table needs anyway (it is reused there, not added); where orders
+    # is small enough for a broadcast, it spreads a table of few row groups over all cores before the wide projection.
+    base = (lineitem.hint("rebalance", "l_orderkey").join(orders, F.col("l_orderkey") == ok)
             .withColumn("card", card)
             .join(customer, F.col("c_custkey") == F.col("card"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

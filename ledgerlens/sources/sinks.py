@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.schema import TRANSACTION_COLUMNS
+from ledgerlens.sources.versions import replace, resolve
 
 
 def write_transactions(df: DataFrame, path: str, partition_by: Sequence[str] = ("trans_year", "trans_month"),
-                       cluster_by: Sequence[str] = ("cc_num", "trans_ts"), mode: str = "overwrite") -> str:
+                       cluster_by: Sequence[str] = ("cc_num", "trans_ts"), keep: int = 2) -> str:
     """Write the prepared table as Parquet, replacing any previous version.
 
+    The replacement is crash-safe (see :mod:`ledgerlens.sources.versions`): a new folder is written under ``path`` and becomes the
+    table when it is complete, so ``df`` may read the table that it replaces. ``keep`` versions stay on storage.
+
     Layout for scale: one directory per year/month (date pruning on the
     partition columns), rows clustered by card and time inside each file so
     Parquet min/max statistics skip row groups on card or time predicates.
@@ -21,10 +25,10 @@ def write_transactions(df: DataFrame, path: str, partition_by: Sequence[str] = (
     several tasks and files, and merge small ones. The local sort rides on that
     shuffle; there is no global sort.
     """
-    w = layout_for_write(df, partition_by, cluster_by).write.mode(mode)
+    w = layout_for_write(df, partition_by, cluster_by).write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    replace(df.sparkSession, path, w.parquet, keep)
     return path
 
 
@@ -42,4 +46,4 @@ def layout_for_write(df: DataFrame, partition_by: Sequence[str] = ("trans_year",
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Read a prepared table written by :func:`write_transactions` (columns in canonical order)."""
-    return spark.read.parquet(path).select(*TRANSACTION_COLUMNS)
+    return spark.read.parquet(resolve(spark, path)).select(*TRANSACTION_COLUMNS)
