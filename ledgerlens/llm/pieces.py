@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from ledgerlens.llm.common import small_batches
@@ -286,40 +286,54 @@ def _slices(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _mapped(df: DataFrame, column: str, output: str, kind, make) -> DataFrame:
-    """Add ``output`` computed by ``make(array)`` from slices of ``column``; other columns pass through."""
-    kept = [f for f in df.schema.fields if f.name.lower() != output.lower()]
-    schema = StructType([*kept, StructField(output, kind)])
+def _mapped(df: DataFrame, column: str, outputs: dict[str, DataType], make) -> DataFrame:
+    """Add ``outputs`` computed by ``make(array)`` from slices of ``column``: (begin, array of each output); other columns pass through."""
+    taken = {name.lower() for name in outputs}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    schema = StructType([*kept, *(StructField(name, kind) for name, kind in outputs.items())])
     # inside, columns go by position: their own names may hold dots or clash with any other
-    places = [f"c{i}" for i in range(len(kept) + 1)]
-    inner = StructType([*(StructField(p, f.dataType) for p, f in zip(places, schema.fields))])
-    source = df.select(*[df[f"`{f.name}`"].alias(p) for p, f in zip(places, kept)], df[f"`{column}`"].alias(places[-1]))
+    places = [f"c{i}" for i in range(len(schema))]
+    inner = StructType([StructField(p, f.dataType) for p, f in zip(places, schema.fields)])
+    source = df.select(*[df[f"`{f.name}`"].alias(p) for p, f in zip(places, kept)], df[f"`{column}`"].alias(places[len(kept)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, values in make(batch.column(len(kept))):
-                own = batch.slice(begin, len(values))
-                yield pa.RecordBatch.from_arrays([*own.columns[:len(kept)], values], names=places)
+            for begin, *values in make(batch.column(len(kept))):
+                own = batch.slice(begin, len(values[0]))
+                yield pa.RecordBatch.from_arrays([*own.columns[:len(kept)], *values], names=places)
 
     out = small_batches(source).mapInArrow(run, inner)
     return out.select(*[out[p].alias(f.name) for p, f in zip(places, schema.fields)])
 
 
+def _encoded(v: Vocabulary, texts: pa.Array) -> Iterator[tuple[int, pa.ListArray]]:
+    for a, b in _slices(pc.utf8_length(texts), SLICE):
+        found = encode_texts(v, texts[a:b].to_pylist())
+        offsets = np.cumsum([0, *map(len, found)]) // 4
+        yield a, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+
+
+def _decoded(v: Vocabulary, lists: pa.ListArray) -> Iterator[tuple[int, list[str]]]:
+    for a, b in _slices(pc.list_value_length(lists), IDS):
+        yield a, decode_lists(v, lists[a:b])
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", output: str = "token_ids") -> DataFrame:
     """Add the array of ids of ``text``."""
-    def make(texts: pa.Array):
-        v = _loaded(model)
-        for a, b in _slices(pc.utf8_length(texts), SLICE):
-            found = encode_texts(v, texts[a:b].to_pylist())
-            offsets = np.cumsum([0, *map(len, found)]) // 4
-            yield a, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-    return _mapped(df, text, output, ArrayType(IntegerType()), make)
+    return _mapped(df, text, {output: ArrayType(IntegerType())}, lambda texts: _encoded(_loaded(model), texts))
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "token_ids", output: str = "decoded") -> DataFrame:
     """Add the text of the array ``ids``."""
-    def make(lists: pa.Array):
+    return _mapped(df, ids, {output: StringType()}, lambda lists: ((a, pa.array(found, pa.string())) for a, found in _decoded(_loaded(model), lists)))
+
+
+def round_trip(df: DataFrame, model: bytes, text: str = "text", output: str = "token_ids", same: str = "round_trip") -> DataFrame:
+    """Add the array of ids of ``text``, and whether they decode to the text again (null: as empty), in one pass: the decoded texts are not handed on."""
+    def make(texts: pa.Array):
         v = _loaded(model)
-        for a, b in _slices(pc.list_value_length(lists), IDS):
-            yield a, pa.array(decode_lists(v, lists[a:b]), pa.string())
-    return _mapped(df, ids, output, StringType(), make)
+        for begin, lists in _encoded(v, texts):
+            given = pc.fill_null(texts[begin:begin + len(lists)], "")
+            equal = [pc.equal(pa.array(found, pa.string()), given[a:a + len(found)]) for a, found in _decoded(v, lists)]
+            yield begin, lists, pa.chunked_array(equal, pa.bool_()).combine_chunks()
+    return _mapped(df, text, {output: ArrayType(IntegerType()), same: BooleanType()}, make)
