@@ -7,10 +7,10 @@ the shared checkpoint folder and reads it again for the next, so a lost executor
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import exact_dedup as _dedup, mixing as _mixing, pieces as _pieces, quality_rules as _rules, simhash as _simhash
-from ledgerlens.llm.common import fresh, shared_folder, table
+from ledgerlens.llm.common import shared_folder, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -37,9 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether the ids decode to the text again (a null text counts as empty)."""
-    model, back = _pieces.read_model(PIECE_MODEL), fresh(docs, "decoded")
-    decoded = _pieces.decode(_pieces.encode(docs, model), model, output=back)
-    return decoded.withColumn("round_trip", F.col(back) == F.coalesce("text", F.lit(""))).drop(back)
+    return _pieces.round_trip(docs, _pieces.read_model(PIECE_MODEL))
 
 
 STAGES = [
