@@ -25,7 +25,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows_of(sql):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     q = con.execute(sql)
     return [d[0] for d in q.description], q.fetchall()
