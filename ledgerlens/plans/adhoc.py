@@ -43,10 +43,10 @@ def fraud_after_large(txn: DataFrame, min_amount: int = 500, horizon_hours: int
                          F.col("_hours").cast("double").alias("hours_between"))
 
 
-def fraud_rate_jumps(txn: DataFrame, k: int = 10) -> DataFrame:
+def fraud_rate_jumps(txn: DataFrame, k: int = 10, rate=label_rate) -> DataFrame:
     """A2: the k largest month-over-month rises of a category's fraud rate."""
-    monthly = (txn.groupBy("category", "trans_year", "trans_month")
-                  .agg(pct_exact(F.sum("is_fraud"), F.count(F.lit(1)), 3).alias("_rate")))
+    monthly = (rate(txn, ["category", "trans_year", "trans_month"])
+               .select("category", "trans_year", "trans_month", pct_exact("label_n", "n", 3).alias("_rate")))
     jumps = period_delta(monthly, ["category"], ["trans_year", "trans_month"], "_rate", "_prev", "_change",
                          mode="diff", digits=3)
     out = (jumps.where(F.col("_prev").isNotNull())
@@ -56,9 +56,9 @@ def fraud_rate_jumps(txn: DataFrame, k: int = 10) -> DataFrame:
     return ranked.withColumn("fraud_rate_change", F.col("_change").cast("double")).drop("_change")
 
 
-def elevated_states(txn: DataFrame, k: int = 5, min_rate_pct: int = 1, min_loss: int = 10000) -> DataFrame:
+def elevated_states(txn: DataFrame, k: int = 5, min_rate_pct: int = 1, min_loss: int = 10000, rate=label_rate) -> DataFrame:
     """A3: top-k states by fraud loss with rate above ``min_rate_pct``% and loss above ``min_loss``."""
-    g = label_rate(txn, ["state"]).where(risk_condition("label_n", "n", "loss", min_rate_pct, min_loss))
+    g = rate(txn, ["state"]).where(risk_condition("label_n", "n", "loss", min_rate_pct, min_loss))
     out = g.select("state", F.col("label_n").alias("fraud_txns"),
                    pct("label_n", "n", 3).alias("fraud_rate_pct"),
                    money("loss").alias("fraud_loss"), F.col("loss").alias("_loss"))

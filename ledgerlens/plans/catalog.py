@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.plans import adhoc, behavior, category, geography, operations, preparation, segmentation, velocity
+from ledgerlens.plans import adhoc, behavior, category, from_states, geography, operations, preparation, segmentation, velocity
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.fixtures import raw_exports, raw_from_driver_tables
 from ledgerlens.sources.sinks import read_transactions, write_transactions
@@ -35,10 +36,17 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "elevated_states": adhoc.elevated_states,
 }
 
+
+def _from_states(report: Callable[[DataFrame], DataFrame], txn: DataFrame) -> DataFrame:
+    return report(from_states.stored_states(txn))
+
+
 # further queries over the prepared table, and over the tables of a folder
 EXTRAS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "card_baselines": operations.card_baselines,
     "large_fraud_pairs": operations.large_fraud_pairs,
+    "sketched_cards": from_states.sketched_cards,
+    **{f"{name}_from_states": partial(_from_states, report) for name, report in from_states.STATE_REPORTS.items()},
 }
 
 

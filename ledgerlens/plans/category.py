@@ -1,4 +1,7 @@
-"""Section 2: category, merchant and hour risk."""
+"""Section 2: category, merchant and hour risk.
+
+``rate`` is :func:`label_rate` over transactions or :func:`ledgerlens.operators.rollup.merged_rate` over stored states.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,9 @@ from ledgerlens.functions import money, pct, ratio
 from ledgerlens.operators.rates import label_rate, rank_by, top_k
 
 
-def category_scorecard(txn: DataFrame) -> DataFrame:
+def category_scorecard(txn: DataFrame, rate=label_rate) -> DataFrame:
     """2a: volume, cards, size, fraud count, rate and loss per category."""
-    g = label_rate(txn, ["category"], entity="cc_num")
+    g = rate(txn, ["category"], entity="cc_num")
     return g.select(
         "category",
         F.col("n").alias("total_txns"),
@@ -23,9 +26,9 @@ def category_scorecard(txn: DataFrame) -> DataFrame:
     ).orderBy(F.col("gross_volume").desc(), "category")
 
 
-def category_loss_priority(txn: DataFrame) -> DataFrame:
+def category_loss_priority(txn: DataFrame, rate=label_rate) -> DataFrame:
     """2b: fraud loss as % of volume; ranked on the unrounded ratio, sorted on the rounded one."""
-    g = label_rate(txn, ["category"])
+    g = rate(txn, ["category"])
     loss_ratio = F.col("loss") * F.lit(100) / F.nullif(F.col("volume"), F.lit(0))
     ranked = rank_by(g, loss_ratio, "intervention_priority")
     return ranked.select(
@@ -51,9 +54,9 @@ def top_merchants(txn: DataFrame, k: int = 20) -> DataFrame:
     return top_k(out, k, [F.col("_volume").desc(), F.col("merchant"), F.col("category")]).drop("_volume")
 
 
-def hour_category_pattern(txn: DataFrame) -> DataFrame:
+def hour_category_pattern(txn: DataFrame, rate=label_rate) -> DataFrame:
     """2d: transactions, mean amount, fraud count and rate per hour x category."""
-    g = label_rate(txn, ["trans_hour", "category"])
+    g = rate(txn, ["trans_hour", "category"])
     return g.select(
         "trans_hour", "category",
         F.col("n").alias("txn_count"),

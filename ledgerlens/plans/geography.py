@@ -1,4 +1,4 @@
-"""Section 5: state-level risk and city size."""
+"""Section 5: state-level risk and city size (``rate`` as in :mod:`ledgerlens.plans.category`)."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from ledgerlens.functions import city_size_band, confidence_label, money, pct, r
 from ledgerlens.operators.rates import label_rate
 
 
-def state_risk(txn: DataFrame, min_rows: int = 200) -> DataFrame:
+def state_risk(txn: DataFrame, min_rows: int = 200, rate=label_rate) -> DataFrame:
     """5a: per state rate, loss, sample-size confidence and elevated-risk flag (>= min_rows rows)."""
-    g = label_rate(txn, ["state"], entity="cc_num").where(F.col("n") >= min_rows)
+    g = rate(txn, ["state"], entity="cc_num").where(F.col("n") >= min_rows)
     return g.select(
         "state",
         F.col("n").alias("total_txns"),
@@ -24,10 +24,10 @@ def state_risk(txn: DataFrame, min_rows: int = 200) -> DataFrame:
     ).orderBy(F.col("fraud_rate_pct").desc(), "state")
 
 
-def city_size_rate(txn: DataFrame) -> DataFrame:
+def city_size_rate(txn: DataFrame, rate=label_rate) -> DataFrame:
     """5b: fraud rate by city population band, bands ordered by their smallest population."""
-    g = label_rate(txn.withColumn("city_size", city_size_band("city_pop")), ["city_size"],
-                   entity="cc_num", extra=[F.min("city_pop").alias("_min_pop")])
+    g = rate(txn.withColumn("city_size", city_size_band("city_pop")), ["city_size"],
+             entity="cc_num", extra=[F.min("city_pop").alias("_min_pop")])
     return g.orderBy(F.col("_min_pop").asc_nulls_last()).select(
         "city_size",
         F.col("n").alias("txn_count"),

@@ -10,10 +10,10 @@ from ledgerlens.operators.rates import expected_vs_actual, label_rate
 from ledgerlens.operators.rfm import rfm_base, rfm_score, segment_exposure, with_segments
 
 
-def distance_band_rate(txn: DataFrame) -> DataFrame:
+def distance_band_rate(txn: DataFrame, rate=label_rate) -> DataFrame:
     """4a: fraud rate per home-to-merchant distance band, ordered by the band's nearest row."""
-    g = label_rate(txn.withColumn("distance_band", distance_band("dist_km")), ["distance_band"],
-                   extra=[F.min("dist_km").alias("_min_dist")])
+    g = rate(txn.withColumn("distance_band", distance_band("dist_km")), ["distance_band"],
+             extra=[F.min("dist_km").alias("_min_dist")])
     return g.orderBy(F.col("_min_dist").asc_nulls_last()).select(
         "distance_band",
         F.col("n").alias("txn_count"),
@@ -46,10 +46,10 @@ def layered_alerts_report(txn: DataFrame, **params) -> DataFrame:
               "category")
 
 
-def amount_band_rate(txn: DataFrame) -> DataFrame:
+def amount_band_rate(txn: DataFrame, rate=label_rate) -> DataFrame:
     """4c: fraud count per amount band against the count the portfolio rate predicts."""
-    counts = (txn.groupBy(amount_band("amt").alias("band"))
-                 .agg(F.count(F.lit(1)).alias("txn_count"), F.sum("is_fraud").cast("long").alias("actual_fraud")))
+    counts = (rate(txn.withColumn("band", amount_band("amt")), ["band"])
+              .select("band", F.col("n").alias("txn_count"), F.col("label_n").alias("actual_fraud")))
     return (expected_vs_actual(counts)
             .withColumn("actual_fraud_rate_pct", pct("actual_fraud", "txn_count", 3))
             .select("band", "txn_count", "actual_fraud", "actual_fraud_rate_pct", "expected_if_random",

@@ -1,0 +1,129 @@
+"""Stored rate states: equal to the direct reports, merged over months, with exact or sketched distinct cards."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from txn_rows import SF_SMALL, make_txn
+
+from ledgerlens.functions import amount_band, city_size_band, distance_band
+from ledgerlens.operators.rates import label_rate
+from ledgerlens.operators.rollup import add_months, merged_rate, rate_states, read_states, write_states
+from ledgerlens.plans.catalog import REPORTS, transactions_from_driver_tables
+from ledgerlens.plans.from_states import STATE_REPORTS
+
+
+def random_rows(n: int, seed: int = 7, cards: int = 40) -> list[dict]:
+    """Rows of two months with nulls in every key; one card holds a third of them."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    return [{"trans_num": str(i), "cc_num": 0 if i % 3 == 0 else pick([None, *range(cards)]), "category": pick(["a_net", "b_pos", None]),
+             "state": pick(["S1", "S2", None]), "city_pop": pick([None, 10, 4999, 5000, 600000]), "dist_km": pick([None, 0.5, 30.0, 99.9, 500.0]),
+             "amt": pick([None, "0.01", "10.00", "199.99", "1200.50"]), "is_fraud": pick([0, 0, 1, None]),
+             "trans_ts": dt.datetime(2020, pick([1, 2]), 3, pick([0, 5, 23]), 1)} for i in range(n)]
+
+
+def as_set(df):
+    columns = sorted(df.columns)
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def txn(spark):
+    return make_txn(spark, random_rows(600)).cache()
+
+
+@pytest.mark.parametrize("dims, entity", [
+    (["category"], None), (["category"], "cc_num"), (["state"], "cc_num"), (["city_size"], "cc_num"), (["city_size"], None),
+    (["distance_band"], None), (["band"], None), (["trans_hour", "category"], None),
+    (["trans_year", "trans_month", "category"], "cc_num"), ([], "cc_num"),
+])
+def test_merged_states_equal_the_direct_aggregate(txn, dims, entity):
+    def banded(df):
+        return df.withColumns({"city_size": city_size_band("city_pop"), "distance_band": distance_band("dist_km"), "band": amount_band("amt")})
+
+    least = [F.min("city_pop").alias("least_pop")]
+    direct = label_rate(banded(txn), dims, entity=entity, extra=least)
+    merged = merged_rate(banded(rate_states(txn)), dims, entity, least)
+    assert as_types(merged) == as_types(direct)
+    assert as_set(merged) == as_set(direct)
+
+
+def as_types(df):
+    return {f.name: f.dataType for f in df.schema}
+
+
+def test_distinct_cards_are_kept_by_their_dims_only(txn):
+    with pytest.raises(ValueError):
+        merged_rate(rate_states(txn), ["trans_hour"], "cc_num")
+    with pytest.raises(ValueError):
+        merged_rate(rate_states(txn), ["category"], "merchant")
+    with pytest.raises(ValueError):
+        rate_states(txn, "guess")
+
+
+@pytest.mark.parametrize("distinct", ["exact", "sketch"])
+def test_a_month_is_added_without_touching_the_others(spark, txn, tmp_path, distinct):
+    path = str(tmp_path / "states")
+    write_states(txn.where("trans_month = 1"), path, distinct)
+
+    def files(month):
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path)
+                for f in names if f"trans_month={month}" in d and f.endswith(".parquet")}
+
+    january = files(1)
+    assert january and not files(2)
+    add_months(txn.where("trans_month = 2"), path, distinct)
+    assert files(1) == january and files(2)
+    add_months(txn.where("trans_month = 2"), path, distinct)          # repeated after a loss: replaced, not doubled
+    direct = label_rate(txn, ["state"], entity="cc_num")
+    assert as_set(merged_rate(read_states(spark, path, distinct), ["state"], "cc_num")) == as_set(direct)   # 41 cards: the sketch is exact
+
+
+def test_other_kind_of_states_is_refused(spark, txn, tmp_path):
+    path = write_states(txn, str(tmp_path / "states"), "sketch")
+    with pytest.raises(ValueError):
+        read_states(spark, path)
+    with pytest.raises(ValueError):
+        add_months(txn, path)
+
+
+@pytest.mark.parametrize("distinct", ["exact", "sketch"])
+def test_no_transactions(spark, tmp_path, distinct):
+    path = write_states(make_txn(spark, []), str(tmp_path / "states"), distinct)
+    states = read_states(spark, path, distinct)
+    assert states.count() == 0
+    for name, report in STATE_REPORTS.items():
+        assert report(states).collect() == [], name
+
+
+def test_sketches_stay_within_their_bound(spark, tmp_path):
+    """30,000 cards over 12 months: merged estimates within four standard errors (1.04 / 64 each) in 2a's and 5a's groups."""
+    rows = spark.range(120_000).selectExpr(
+        "id % 30000 AS cc_num", "2020 AS trans_year", "cast(id % 12 + 1 AS int) AS trans_month", "cast(id % 24 AS int) AS trans_hour",
+        "concat('c', id % 5) AS category", "concat('S', id % 30000 % 7) AS state", "cast(id % 30000 AS bigint) AS city_pop",
+        "cast(id % 150 AS double) AS dist_km", "cast(id % 900 AS decimal(12,2)) AS amt", "cast(id % 50 = 0 AS int) AS is_fraud")
+    states = rate_states(rows, "sketch").cache()
+    for dim in ("category", "state", "city_size"):
+        exact = {r[dim]: r.entities for r in label_rate(rows.withColumn("city_size", city_size_band("city_pop")), [dim], entity="cc_num").collect()}
+        merged = {r[dim]: r.entities for r in merged_rate(states, [dim], "cc_num").collect()}
+        direct = {r[dim]: r.entities for r in label_rate(rows.withColumn("city_size", city_size_band("city_pop")), [dim], entity="cc_num", sketch_lg_k=12).collect()}
+        for found in (merged, direct):
+            assert found.keys() == exact.keys()
+            assert all(abs(found[k] - n) <= 4 * 1.04 / 64 * n for k, n in exact.items()), (dim, found, exact)
+
+
+def test_reports_from_one_scan_of_the_facts(spark, tmp_path):
+    txn = transactions_from_driver_tables(spark, SF_SMALL)
+    plan = rate_states(txn)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1
+    states = read_states(spark, write_states(txn, str(tmp_path / "states")))
+    for name, report in STATE_REPORTS.items():
+        made = report(states)
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "l_orderkey" not in text and "kind" in text.split("PartitionFilters")[1].split("]")[0], name
+        assert as_set(made) == as_set(REPORTS[name](txn)), name
