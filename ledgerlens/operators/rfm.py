@@ -11,19 +11,24 @@ from ledgerlens.operators.ranking import with_tiles
 
 
 def rfm_base(txn: DataFrame, keys: Sequence[str] = ("cc_num",), as_of=None,
-             legit=None) -> DataFrame:
+             legit=None, each=None) -> DataFrame:
     """Per-entity last date, recency in days, frequency and monetary (legit rows).
 
     Recency is measured from ``as_of`` or, by default, from the latest date of
     the whole table (fraud rows included): a one-row aggregate attached by a
-    broadcast cross join (a single row, so the broadcast is bounded).
+    broadcast cross join (a single row, so the broadcast is bounded). ``each`` applies the aggregate to the
+    rows of a table laid out by card (:meth:`ledgerlens.sources.bucketed.CardTable.each`); ``keys`` then include the card.
     """
     legit = legit if legit is not None else (F.col("is_fraud") == 0)
-    base = (txn.where(legit)
-               .groupBy(*keys)
-               .agg(F.max("trans_date").alias("last_txn_date"),
-                    F.count(F.lit(1)).alias("frequency"),
-                    F.sum("amt").alias("monetary")))
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return (rows.where(legit)
+                    .groupBy(*keys)
+                    .agg(F.max("trans_date").alias("last_txn_date"),
+                         F.count(F.lit(1)).alias("frequency"),
+                         F.sum("amt").alias("monetary")))
+
+    base = sums(txn) if each is None else each(sums)
     if as_of is None:
         latest = txn.agg(F.max("trans_date").alias("_as_of"))
     else:

@@ -99,16 +99,20 @@ def entity_months(txn: DataFrame, entity: str, date: str, value: str, legit: Col
 
 
 def cohort_matrix(txn: DataFrame, entity: str = "cc_num", date: str = "trans_date", value: str = "amt",
-                  legit: Column | None = None) -> DataFrame:
+                  legit: Column | None = None, each=None) -> DataFrame:
     """First-seen cohort x month: active entities, legit spend, mean spend per entity.
 
     The cohort month comes from all rows; spend from legit rows only. The
-    first-seen month is a window over the entity's month rows (<= one per month).
+    first-seen month is a window over the entity's month rows (<= one per month). ``each`` applies that
+    per-entity part to a table laid out by entity.
     """
     legit = legit if legit is not None else (F.col("is_fraud") == 0)
-    months = entity_months(txn, entity, date, value, legit)
-    with_cohort = months.withColumn("cohort_month", F.min("txn_month").over(Window.partitionBy(entity)))
-    active = with_cohort.where(F.col("legit_rows") > 0)
+
+    def with_cohort(rows: DataFrame) -> DataFrame:
+        months = entity_months(rows, entity, date, value, legit)
+        return months.withColumn("cohort_month", F.min("txn_month").over(Window.partitionBy(entity)))
+
+    active = (with_cohort(txn) if each is None else each(with_cohort)).where(F.col("legit_rows") > 0)
     return (active.groupBy("cohort_month", "txn_month")
                   .agg(F.count(entity).alias("active_cards"),
                        F.sum("spend").alias("_spend"),

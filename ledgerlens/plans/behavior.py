@@ -9,9 +9,9 @@ from ledgerlens.operators.rates import top_k
 from ledgerlens.operators.series import cohort_matrix, consistency
 
 
-def cohort_spend_matrix(txn: DataFrame) -> DataFrame:
+def cohort_spend_matrix(txn: DataFrame, each=None) -> DataFrame:
     """3a: first-seen month cohort x month: active cards, legit spend, mean per card."""
-    m = cohort_matrix(txn)
+    m = cohort_matrix(txn, each=each)
     return m.select(
         "cohort_month", "txn_month", "month_number", "active_cards",
         money("_spend").alias("cohort_spend"),

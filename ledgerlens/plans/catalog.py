@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.plans import adhoc, behavior, category, from_states, geography, operations, preparation, segmentation, velocity
+from ledgerlens.plans import adhoc, behavior, by_card, category, from_states, geography, operations, preparation, segmentation, velocity
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.fixtures import raw_exports, raw_from_driver_tables
 from ledgerlens.sources.sinks import read_transactions, write_transactions
@@ -47,6 +47,7 @@ EXTRAS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "large_fraud_pairs": operations.large_fraud_pairs,
     "sketched_cards": from_states.sketched_cards,
     **{f"{name}_from_states": partial(_from_states, report) for name, report in from_states.STATE_REPORTS.items()},
+    **{f"{name}_by_card": partial(by_card.by_card, name) for name in by_card.CARD_REPORTS},
 }
 
 

@@ -1,4 +1,7 @@
-"""Section 1: RFM segments, age bands, month-over-month growth, rolling decline."""
+"""Section 1: RFM segments, age bands, month-over-month growth, rolling decline.
+
+``each`` applies per-card work to a table laid out by card (:meth:`ledgerlens.sources.bucketed.CardTable.each`); default: to ``txn``.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,9 @@ from ledgerlens.operators.series import TREND_URGENT, TREND_WARNING, period_delt
 RFM_KEYS = ("cc_num", "customer_name", "gender", "age", "job")
 
 
-def rfm_segments(txn: DataFrame) -> DataFrame:
+def rfm_segments(txn: DataFrame, each=None) -> DataFrame:
     """1a: cardholders, mean spend, recency, frequency and revenue share per sub-segment."""
-    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS), tie=RFM_KEYS))
+    scored = with_segments(rfm_score(rfm_base(txn, RFM_KEYS, each=each), tie=RFM_KEYS))
     grouped = (scored.groupBy("sub_segment", "recommended_action")
                      .agg(F.count(F.lit(1)).alias("cardholders"),
                           ratio(F.sum("monetary"), F.count("monetary"), 2).alias("avg_2yr_spend"),
@@ -58,21 +61,25 @@ def category_mom_growth(txn: DataFrame) -> DataFrame:
     ).orderBy("trans_year", "trans_month", "category")
 
 
-def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019, last_only: bool = False) -> DataFrame:
+def card_month_trend(txn: DataFrame, window: int = 3, base_year: int = 2019, last_only: bool = False, each=None) -> DataFrame:
     """Per card and month: legit spend, rolling mean over the last ``window`` active
     months, its previous value, change and trend label; ``last_only``: rows of the table's latest month only."""
-    monthly = (txn.groupBy("cc_num", "customer_name", "trans_year", "trans_month")
-                  .agg(F.round(F.sum(F.when(F.col("is_fraud") == 0, F.col("amt")).otherwise(0)), 2)
-                       .alias("legit_spend"))
-                  .withColumn("month_seq", month_index("trans_year", "trans_month", base_year)))
     # latest month of the whole table: a two-column scan, not a second pass over the trend windows
     latest = txn.agg(F.max(month_index("trans_year", "trans_month", base_year))) if last_only else None
-    return rolling_trend(monthly, ["cc_num"], ["month_seq"], "legit_spend", window, last_only=last_only, latest=latest)
+
+    def trend(rows: DataFrame) -> DataFrame:
+        monthly = (rows.groupBy("cc_num", "customer_name", "trans_year", "trans_month")
+                       .agg(F.round(F.sum(F.when(F.col("is_fraud") == 0, F.col("amt")).otherwise(0)), 2)
+                            .alias("legit_spend"))
+                       .withColumn("month_seq", month_index("trans_year", "trans_month", base_year)))
+        return rolling_trend(monthly, ["cc_num"], ["month_seq"], "legit_spend", window, last_only=last_only, latest=latest)
+
+    return trend(txn) if each is None else each(trend)
 
 
-def rolling_spend_decline(txn: DataFrame) -> DataFrame:
+def rolling_spend_decline(txn: DataFrame, each=None) -> DataFrame:
     """1d: cards declining in the latest month, ranked (urgent first, then larger rolling mean)."""
-    flagged = (card_month_trend(txn, last_only=True)
+    flagged = (card_month_trend(txn, last_only=True, each=each)
                .where(F.col("trend_label").isin(TREND_URGENT, TREND_WARNING))
                .withColumn("_priority", F.when(F.col("trend_label") == TREND_URGENT, 1)
                            .when(F.col("trend_label") == TREND_WARNING, 2).otherwise(3)))
