@@ -12,7 +12,7 @@ from txn_rows import SF_SMALL
 from ledgerlens.oracle import oracle_sql
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+_DUCK_TYPE = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
               "timestamp_ntz": "TIMESTAMP"}
 
 
