@@ -118,3 +118,19 @@ def test_hourly_distinct_count_is_two_phase(spark):
     assert any("merchant" in e for e in exchanges)
     assert any("merchant" not in e and "trans_hour" in e for e in exchanges)
     assert "partial_count" in plan
+
+
+def test_alerts_with_a_card_that_has_a_third_of_all_rows(spark):
+    """The hot card's history is counted, not gathered: same alerts, and no window over hours."""
+    rnd = random.Random(9)
+    rows = some_rows(11)
+    start = dt.datetime(2020, 1, 1)
+    rows += [dict(cc_num=77, trans_ts=start + dt.timedelta(hours=rnd.randrange(24 * 120), seconds=i % 3600), category=rnd.choice(["misc_net", "grocery_pos"]),
+                  merchant=f"m{rnd.randrange(9)}", amt=f"{rnd.choice([10, 200, 900])}.50", is_fraud=int(rnd.random() < 0.05)) for i in range(len(rows) // 2)]
+    params = {"max_txns": 2, "max_spend": 500, "elevated": 1}
+    alerts = layered_alerts(make_txn(spark, rows), **params)
+    got = {tuple(r) for r in alerts.select(*HOUR_KEYS).collect()}
+    assert got == check_row_by_row(rows, **params) and any(k[0] == 77 for k in got)
+    plan = layered_alerts(transactions_from_driver_tables(spark, SF_MID))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_units" in line for line in windows)
