@@ -1,4 +1,4 @@
-"""Queries that exercise single operators, readers and the sink: replace, load with rejects, baselines, interval pairs."""
+"""Queries that exercise single operators, readers and the sink: replace, load with rejects, baselines, interval pairs, look-ups."""
 
 from __future__ import annotations
 
@@ -53,3 +53,32 @@ def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = good.agg(F.lit("loaded").alias("outcome"), F.count(F.lit(1)).alias("n"), F.sum("amt").cast("double").alias("spend"))
     rejects = spark.read.parquet(f"{folder}/rejects").select(F.explode("reasons").alias("outcome"))
     return loaded.unionByName(rejects.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("spend")))
+
+
+# columns of the look-up layout, and distinct values that a row group is expected to hold of those with a bloom filter
+SKIP_BY = ("merchant", "cc_num", "category")
+BLOOM = {"merchant": 10_000, "trans_num": 1_000_000}
+
+
+def lookup_table(txn: DataFrame, path: str, row_group_bytes: int | None = None, bloom: dict[str, int] | None = None) -> DataFrame:
+    """The prepared table written for look-ups by merchant, card, category and transaction number, and read back."""
+    write_transactions(txn, path, partition_by=(), cluster_by=("trans_ts", "trans_num"), skip_by=SKIP_BY,
+                       bloom=BLOOM if bloom is None else bloom, row_group_bytes=row_group_bytes)
+    return read_transactions(txn.sparkSession, path)
+
+
+def merchant_months(txn: DataFrame, merchant: str) -> DataFrame:
+    """One merchant's activity by month."""
+    return (txn.where(F.col("merchant") == merchant).groupBy("merchant", "trans_year", "trans_month")
+               .agg(F.count(F.lit(1)).alias("txn_count"), F.countDistinct("cc_num").alias("unique_cards"), F.sum("amt").cast("double").alias("spend"),
+                    F.sum("is_fraud").cast("long").alias("fraud_count")))
+
+
+def merchant_lookup(txn: DataFrame) -> DataFrame:
+    """The merchant with the largest fraud loss (ties: by name), looked up month by month in a table written for look-ups."""
+    base = scratch_path(txn.sparkSession, "lookup")
+    facts = read_transactions(txn.sparkSession, write_transactions(txn, f"{base}/facts"))     # the layout reads its input three times
+    table = lookup_table(facts, f"{base}/table")
+    worst = (table.where("is_fraud = 1 AND merchant IS NOT NULL").groupBy("merchant").agg(F.sum("amt").alias("loss"))
+                  .orderBy(F.col("loss").desc(), "merchant").first())
+    return merchant_months(table, worst.merchant if worst else "")
