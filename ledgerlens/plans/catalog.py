@@ -46,6 +46,7 @@ EXTRAS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "card_baselines": operations.card_baselines,
     "large_fraud_pairs": operations.large_fraud_pairs,
     "merchant_lookup": operations.merchant_lookup,
+    "layered_alerts_by_counts": partial(velocity.layered_alerts_report, history="counts"),
     "sketched_cards": from_states.sketched_cards,
     **{f"{name}_from_states": partial(_from_states, report) for name, report in from_states.STATE_REPORTS.items()},
     **{f"{name}_by_card": partial(by_card.by_card, name) for name in by_card.CARD_REPORTS},

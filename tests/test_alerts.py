@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 from fractions import Fraction
 
+import pytest
 from txn_rows import SF_MID, make_txn
 from ledgerlens.operators.alerts import HOUR_KEYS, context_risk, hourly_profile, layered_alerts, personal_baseline
 from ledgerlens.plans.catalog import transactions_from_driver_tables
@@ -127,10 +128,24 @@ def test_alerts_with_a_card_that_has_a_third_of_all_rows(spark):
     start = dt.datetime(2020, 1, 1)
     rows += [dict(cc_num=77, trans_ts=start + dt.timedelta(hours=rnd.randrange(24 * 120), seconds=i % 3600), category=rnd.choice(["misc_net", "grocery_pos"]),
                   merchant=f"m{rnd.randrange(9)}", amt=f"{rnd.choice([10, 200, 900])}.50", is_fraud=int(rnd.random() < 0.05)) for i in range(len(rows) // 2)]
-    params = {"max_txns": 2, "max_spend": 500, "elevated": 1}
+    params = {"max_txns": 2, "max_spend": 500, "elevated": 1, "history": "counts"}
     alerts = layered_alerts(make_txn(spark, rows), **params)
     got = {tuple(r) for r in alerts.select(*HOUR_KEYS).collect()}
-    assert got == check_row_by_row(rows, **params) and any(k[0] == 77 for k in got)
-    plan = layered_alerts(transactions_from_driver_tables(spark, SF_MID))._jdf.queryExecution().optimizedPlan().toString()
+    assert got == check_row_by_row(rows, max_txns=2, max_spend=500, elevated=1) and any(k[0] == 77 for k in got)
+    plan = layered_alerts(transactions_from_driver_tables(spark, SF_MID), history="counts")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("_units" in line for line in windows)
+
+
+def test_both_ways_to_the_baseline_agree(spark):
+    rows = some_rows(21) + [dict(cc_num=None, trans_ts=dt.datetime(2020, 3, 1, 22)), dict(cc_num=1, trans_ts=dt.datetime(2020, 1, 1, 22), category=None)]
+    txn = make_txn(spark, rows).cache()
+    sizes = []
+    for params in ({}, {"q": 0.5, "spend_factor": 1}, {"lookback_days": 10}, {"min_history_days": 500}, {"as_of": dt.date(2020, 4, 1)}, {"max_txns": 2, "max_spend": 100}):
+        by_window, by_counts = (layered_alerts(txn, history=h, **params) for h in ("window", "counts"))
+        assert sorted(map(str, by_counts.select(*by_window.columns).collect())) == sorted(map(str, by_window.collect())), params
+        sizes.append(by_window.count())
+    assert sizes[0] and len(set(sizes)) > 3
+    assert layered_alerts(make_txn(spark, []), history="counts").collect() == []
+    with pytest.raises(ValueError):
+        layered_alerts(txn, history="other")
