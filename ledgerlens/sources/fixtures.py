@@ -8,11 +8,14 @@ that the preparation combines by name, as with the original two-file export.
 
 The whole mapping is a join + projection: lineitem joins orders on the order
 key (the only big-big join; Spark picks broadcast or shuffle from the sizes), the card's customer,
-its nation and the supplier; nothing is collected or broadcast by hand.
+its nation and the supplier; nothing is collected or broadcast by hand. What one task sorts is
+bounded whatever ``spark.sql.shuffle.partitions`` says: the parts of a large lineitem grow in number with its files.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.schema import RAW_COLUMNS
@@ -26,6 +29,7 @@ BASE_DATE = "2019-01-01"      # first transaction day
 ORDER_EPOCH = "1995-01-01"    # first order date of the driver tables
 DAYS_SPAN = 731               # 2019-01-01 .. 2020-12-31
 DOB_BASE = "1940-01-01"
+TASK_BYTES = 8 << 20          # of lineitem's files to a join task (about half a million rows)
 # ---------------------------------------------------------------------------
 
 
@@ -40,6 +44,14 @@ def _tables(spark: SparkSession, sf_dir: str, half: int | None = None):
             t("nation", "n_nationkey", "n_name"), t("supplier", "s_suppkey", "s_name"))
 
 
+def _join_tasks(spark: SparkSession, sf_dir: str, half: int | None) -> int:
+    """Number of tasks that join with lineitem in parts of ``TASK_BYTES``; 0 where that gives less than one to a core."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    tasks = math.ceil(size / (TASK_BYTES if half is None else 2 * TASK_BYTES))
+    return tasks if tasks > spark.sparkContext.defaultParallelism else 0
+
+
 def _two_digits(x: Column) -> Column:
     return F.lpad(x.cast("int").cast("string"), 2, "0")
 
@@ -55,13 +67,21 @@ def raw_from_driver_tables(spark: SparkSession, sf_dir: str, half: int | None =
     lineitem, orders, customer, nation, supplier = _tables(spark, sf_dir, half)
     ok = F.col("o_orderkey")
     card = F.col("o_custkey") - F.pmod(F.col("o_custkey"), F.lit(10))
-    # The shuffle by order key that a join with a large orders table needs anyway (it is reused there, not added); where orders
-    # is small enough for a broadcast, it spreads a table of few row groups over all cores before the wide projection.
-    base = (lineitem.hint("rebalance", "l_orderkey").join(orders, F.col("l_orderkey") == ok)
-            .withColumn("card", card)
-            .join(customer, F.col("c_custkey") == F.col("card"))
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey")))
+    tasks = _join_tasks(spark, sf_dir, half)
+    if tasks:
+        # Orders meet their customers while they are few and narrow; lineitem moves once, in parts of bounded size. The parts of a
+        # supplier table too large for a broadcast are as many, so the rows that meet it are cut alike.
+        sessions = orders.withColumn("card", card).join(customer, F.col("c_custkey") == F.col("card")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        base = (lineitem.repartition(tasks, "l_orderkey").join(sessions, F.col("l_orderkey") == ok)
+                .join(supplier.repartition(tasks, "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")))
+    else:
+        # The shuffle by order key that a join with a large orders table needs anyway (it is reused there, not added); where orders
+        # is small enough for a broadcast, it spreads a table of few row groups over all cores before the wide projection.
+        base = (lineitem.hint("rebalance", "l_orderkey").join(orders, F.col("l_orderkey") == ok)
+                .withColumn("card", card)
+                .join(customer, F.col("c_custkey") == F.col("card"))
+                .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+                .join(supplier, F.col("l_suppkey") == F.col("s_suppkey")))
 
     trans_date = F.date_add(F.lit(BASE_DATE).cast("date"),
                             F.pmod(F.datediff(F.col("o_orderdate").cast("date"),

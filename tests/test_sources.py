@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import tempfile
 
 import pytest
@@ -184,3 +185,43 @@ def test_mapping_shuffles_lineitem_once_whatever_the_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "SortMergeJoin [l_orderkey" in plan
     assert txn._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_mapping_cuts_a_large_lineitem_into_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Twice the rows give twice the join tasks whatever the session's number of shuffle partitions, and the same rows as one small table."""
+    from ledgerlens.sources import fixtures
+
+    def tables(folder, n):
+        ship = "timestamp_ntz'2000-03-01 00:00:00'"
+        # keys repeat and may be null on both sides
+        columns = {
+            "lineitem": (n, "nullif(id % 500, 7) AS l_orderkey", "id AS l_partkey", "nullif(id % 9, 8) AS l_suppkey", "cast(id % 3 AS int) AS l_linenumber", "id * 1.5D AS l_extendedprice"),
+            "orders": (520, "nullif(id % 510, 9) AS o_orderkey", "nullif(id % 60, 11) AS o_custkey", f"if(id % 50 = 0, null, {ship}) AS o_orderdate"),
+            "customer": (62, "id % 60 AS c_custkey", "concat('C#', id) AS c_name", "cast(id % 4 AS int) AS c_nationkey", "nullif('m', if(id = 10, 'm', '')) AS c_mktsegment"),
+            "nation": (4, "cast(id AS int) AS n_nationkey", "concat('n', id) AS n_name"),
+            "supplier": (10, "id % 9 AS s_suppkey", "concat('s', id) AS s_name")}
+        for name, (rows, *made) in columns.items():
+            spark.range(0, rows, 1, 1).selectExpr(*made).write.parquet(f"{folder}/{name}.parquet")
+        return str(folder)
+
+    def cut(folder):
+        plan = fixtures.raw_from_driver_tables(spark, folder)._jdf.queryExecution().executedPlan().toString()
+        return [int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+
+    small, large = tables(tmp_path / "small", 20_000), tables(tmp_path / "large", 40_000)
+    want = {f: fixtures.raw_from_driver_tables(spark, f).cache() for f in (small, large)}
+    assert all(df.count() > 0 for df in want.values()) and cut(small) == []
+    monkeypatch.setattr(fixtures, "TASK_BYTES", 1 << 13)
+    (few,), (many,) = cut(small), cut(large)
+    assert few > 8 and 1.7 * few < many < 2.3 * few
+    for folder, df in want.items():
+        for threshold in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            try:
+                got = fixtures.raw_from_driver_tables(spark, folder)
+                assert got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+                halves = fixtures.raw_exports(spark, folder)
+                assert halves[0].unionByName(halves[1]).count() == df.count()
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        df.unpersist()
