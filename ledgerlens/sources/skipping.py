@@ -11,11 +11,13 @@ poor sample costs time, not rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SAMPLE_ROWS = 10_000
+RANGE_ROWS = 750_000
 KEY = "_zorder"
 
 
@@ -34,10 +36,14 @@ def bin_cuts(df: DataFrame, columns: Sequence[str], bits: int = 6, sample_rows:
     return cuts
 
 
-def bin_of(value: Column, cuts: Column, bits: int) -> Column:
-    """How many of the ascending ``cuts`` (an array padded with NULLs to 2**bits - 1) are not above ``value``, by binary search; 0 for NULL."""
-    steps = F.array(*[F.lit(2 ** b) for b in reversed(range(bits))])
-    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.element_at(cuts, found + step) <= value, found + step).otherwise(found))
+def with_bins(df: DataFrame, bins: Mapping[str, tuple[str, str]], bits: int) -> DataFrame:
+    """Adds for each ``bin: (value, cuts)`` how many of the ascending ``cuts`` (an array padded with NULLs to 2**bits - 1) are not above ``value``, by
+    binary search; 0 for NULL. One projection to a step of the search, which Spark compiles; a lambda over the steps it would interpret."""
+    found = {name: F.lit(0) for name in bins}
+    for step in (2 ** b for b in reversed(range(bits))):
+        df = df.withColumns({name: F.when(F.element_at(cuts, found[name] + step) <= F.col(value), found[name] + step).otherwise(found[name]) for name, (value, cuts) in bins.items()})
+        found = {name: F.col(name) for name in bins}
+    return df
 
 
 def interleaved(bins: Sequence[Column], bits: int) -> Column:
@@ -65,7 +71,7 @@ def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 6, sample_row
     row = tuple(cuts[c] + [None] * (size - len(cuts[c])) for c in columns)
     one = df.sparkSession.createDataFrame([row], T.StructType(fields))
     bins = [f"_bin{i}" for i in range(len(columns))]
-    placed = df.crossJoin(F.broadcast(one)).withColumns({b: bin_of(F.col(c), F.col(f"_cuts{i}"), bits) for i, (b, c) in enumerate(zip(bins, columns))})
+    placed = with_bins(df.crossJoin(F.broadcast(one)), {b: (c, f"_cuts{i}") for i, (b, c) in enumerate(zip(bins, columns))}, bits)
     return placed.select(*df.columns, interleaved([F.col(b) for b in bins], bits).alias(KEY))
 
 
@@ -74,9 +80,13 @@ def z_order(df: DataFrame, columns: Sequence[str], partition_by: Sequence[str] =
     """Rows range-partitioned and sorted by ``partition_by``, then by the curve over ``columns``, then by ``spread_by``; ready to be written.
 
     One point of the curve may hold many rows (a card with a third of all); ``spread_by`` lets the ranges cut through it, so no
-    task gets it whole. ``files`` sets the number of ranges, by default AQE sizes them.
+    task gets it whole. ``files`` sets the number of ranges, by default AQE sizes them, and a range holds about ``RANGE_ROWS`` rows at
+    most (a count of ``df`` tells; over a stored table it reads no column).
     """
     order = [*partition_by, KEY, *spread_by]
+    if not files:
+        ranges = math.ceil(df.count() / RANGE_ROWS)
+        files = ranges if ranges > df.sparkSession.sparkContext.defaultParallelism else None
     placed = with_zorder(df, columns, bits, sample_rows)
     ranged = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
     return ranged.sortWithinPartitions(*order).drop(KEY)

@@ -87,3 +87,31 @@ def test_look_ups_read_a_small_share(spark, tmp_path):
     assert share(by_month, "merchant") > 0.9
     months = merchant_months(skipping, some["merchant"])
     assert as_set(months) == as_set(merchant_months(txn, some["merchant"]))
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr("ledgerlens.sources.skipping.RANGE_ROWS", 500)
+    for rows in (4000, 8000):
+        df = spark.range(rows).withColumn("k", F.col("id") % 900)
+        sizes = [r["count"] for r in z_order(df, ["k"], spread_by=["id"]).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == rows // 500 and sum(sizes) == rows and max(sizes) < 1000
+
+
+def test_bins_are_found_by_compiled_code(spark):
+    df = spark.createDataFrame([(i % 50, f"m{i % 30}") for i in range(500)], "a int, b string")
+    plan = with_zorder(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "aggregate(" not in plan
+
+
+def test_facts_of_the_look_up_are_stored_without_a_sort(spark, monkeypatch):
+    from ledgerlens.plans import operations
+    from ledgerlens.sources.sinks import layout_for_write
+    plans = []
+
+    def seen(df, path, **layout):
+        plans.append(layout_for_write(df, **layout)._jdf.queryExecution().optimizedPlan().toString())
+        return write_transactions(df, path, **layout)
+    monkeypatch.setattr(operations, "write_transactions", lambda df, path, **layout: write_transactions(df, path, **layout) if "skip_by" in layout else seen(df, path, **layout))
+    txn = make_txn(spark, random_rows(200))
+    assert merchant_lookup(txn).count() > 0
+    assert len(plans) == 1 and "Sort" not in plans[0] and "Rebalance" not in plans[0]
