@@ -2,9 +2,10 @@
 
 A text is cut into marked words: runs of the space mark followed by other code points. No piece of the
 vocabulary has the mark after another code point (checked on loading), so no piece crosses a cut and the
-words are encoded one by one. Per batch of texts the distinct marked words are sorted and walked as a trie,
-depth first: a step down extends the lattice by one code point, a step back drops it, so words with a common
-prefix share that prefix's forward states and each trie node is computed once.
+words are encoded one by one; for BPE they are cut further where letters end or begin and no piece joins the two code points.
+Per batch of texts the distinct words are sorted and walked as a trie, depth first: a step down extends the lattice
+by one code point, a step back drops it, so words with a common prefix share that prefix's forward states and each trie node
+is computed once. The pieces that end at a code point come from an automaton (Aho-Corasick), whose state is part of the node.
 
 The forward state depends on the model:
 
@@ -53,6 +54,7 @@ MOST_PAIRS = 1 << 19
 MOST_WORDS = 200_000
 # ids decoded at once (a longer list is decoded alone)
 IDS = 1 << 18
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -75,14 +77,29 @@ class Vocabulary:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.byte_ids = {b: i for i, b in self.bytes_of.items()}
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
-        # usable pieces as a trie read from their ends: code point -> [id of the piece that begins there or -1, next]
-        self.ends: dict[str, list] = {}
+        self.words = self.cut()
+        # usable pieces as an automaton over code points (Aho-Corasick): a state is [next state by code point, state of its longest
+        # suffix that begins a piece, (length, id) of the pieces that end here, the longest first]
+        self.start: list = [{}, None, ()]
         for p, i in self.ids.items():
             if not self.bpe or self.merge(p) == [p]:
-                node = [-1, self.ends]
-                for c in reversed(p):
-                    node = node[1].setdefault(c, [-1, {}])
-                node[0] = i
+                state = self.start
+                for c in p:
+                    state = state[0].setdefault(c, [{}, self.start, ()])
+                state[2] = ((len(p), i),)
+        level = list(self.start[0].values())
+        while level:
+            below = []
+            for state in level:
+                for c, longer in state[0].items():
+                    suffix = state[1]
+                    while suffix is not None and c not in suffix[0]:
+                        suffix = suffix[1]
+                    if suffix is not None:
+                        longer[1] = suffix[0][c]
+                        longer[2] += longer[1][2]
+                    below.append(longer)
+            level = below
         # what each id stands for, in UTF-8 with marks turned into spaces: one run of bytes, cut by ``starts``; the
         # last entry stands for ids that the model lacks
         spoken = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.items()} | {i: bytes([b]) for i, b in self.bytes_of.items()}
@@ -119,6 +136,26 @@ class Vocabulary:
         """Ids of a code point that is no piece."""
         return [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
 
+    def cut(self) -> re.Pattern:
+        """Matches the words to encode one by one. For BPE, letters and other code points are cut where no piece has the two beside the
+        border side by side: nothing merges across it. Where some piece has them, all up to the next mark stays whole; so do
+        words of unigram models, whose sums of scores round."""
+        if not self.bpe:
+            return _WORD
+        pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        joined: dict[bool, dict[str, set[str]]] = {True: {}, False: {}}
+        for a, b in pairs:
+            ends = bool(_LETTER.match(a))
+            if a != MARK and ends != bool(_LETTER.match(b)):
+                joined[ends].setdefault(b if ends else a, set()).add(a if ends else b)
+        # a run of letters and what some piece joins to its last one; a run of others, and the letter that some piece joins to its last one
+        kinds = {k: {c: "[" + "".join(map(re.escape, sorted(own))) + "]" for c, own in sorted(found.items())} for k, found in joined.items()}
+        after = "|".join(f"(?<={own}){re.escape(c)}" for c, own in kinds[True].items()) or "(?!)"
+        before = "|".join(f"(?<={re.escape(c)}){own}" for c, own in kinds[False].items()) or "(?!)"
+        letter, other = _LETTER.pattern, rf"(?!{MARK})[\W\d_]"
+        tail = f"(?:(?:{after})[^{MARK}]*)?"
+        return re.compile(rf"{MARK}+(?:{letter}+{tail}|{other}[^{MARK}]*)?|{letter}+{tail}|(?:{other})+(?:(?:{before})[^{MARK}]*)?")
+
     def merge(self, symbols: str) -> list[str]:
         """BPE of a short string: the best-scored adjacent pair first, the leftmost of equals."""
         s, scores = list(symbols), self.scores
@@ -148,13 +185,15 @@ class Trie:
         self.last: list[int] = []
         self.piece: list[int] = []
         self.best: list[float] = []
+        # per code point, for BPE: the automaton's state
+        self.states: list[list] = []
 
     def walk(self, word: str) -> list[int]:
         """Go from the last word's node to this one's and read the encoding off the path."""
         common, most = 0, min(len(self.word), len(word))
         while common < most and self.word[common] == word[common]:
             common += 1
-        del self.last[common:], self.piece[common:], self.best[common:]
+        del self.last[common:], self.piece[common:], self.best[common:], self.states[common:]
         self.word = word
         if self.v.bpe:
             self._extend_bpe(word, common)
@@ -164,36 +203,34 @@ class Trie:
         return self._read()
 
     def _extend_bpe(self, word: str, common: int) -> None:
-        last, piece, pairs, ends = self.last, self.piece, self.v.pairs, self.v.ends
+        last, piece, states, pairs, start = self.last, self.piece, self.states, self.v.pairs, self.v.start
+        state = states[-1] if common else start
         for end in range(common + 1, len(word) + 1):
-            # pieces that end here, by where they begin; the longest is tried first
-            begin, node, begins, ids = end, ends, [], []
-            while begin:
-                begin -= 1
-                found = node.get(word[begin])
-                if found is None:
-                    break
-                p, node = found
-                if p >= 0:
-                    begins.append(begin)
-                    ids.append(p)
-            if not begins or begins[0] != end - 1:
-                begins.insert(0, end - 1)
-                ids.insert(0, -1 - ord(word[end - 1]))
-            while True:
-                begin, p = begins.pop(), ids.pop()
-                if not begin:
+            char = word[end - 1]
+            found = state[0].get(char)
+            while found is None and state is not start:
+                state = state[1]
+                found = state[0].get(char)
+            state = found or start
+            states.append(state)
+            # pieces that end here; the longest is tried first
+            for length, p in state[2]:
+                if length == end:
                     break
                 # ids lie in a range of less than 2^22
-                pair = (piece[begin - 1] << 22) + p
+                pair = (piece[end - length - 1] << 22) + p
                 ok = pairs.get(pair)
                 if ok is None:
                     if len(pairs) >= MOST_PAIRS:
                         pairs.clear()
+                    begin = end - length
                     ok = pairs[pair] = self.v.keeps(word[begin - last[begin - 1]:begin], word[begin:end])
                 if ok:
                     break
-            last.append(end - begin)
+            else:
+                # no piece: a code point that never merges with what stands before it
+                length, p = 1, -1 - ord(char)
+            last.append(length)
             piece.append(p)
 
     def _step_unigram(self, word: str, end: int) -> None:
@@ -225,11 +262,11 @@ class Trie:
 
 
 def encode_texts(v: Vocabulary, texts: Sequence[str | None]) -> list[bytes]:
-    """Ids of each text as int32 in memory order; the distinct marked words of all texts are encoded once, in trie order.
+    """Ids of each text as int32 in memory order; the distinct words of all texts are encoded once, in trie order.
 
     Words that were encoded lately are looked up.
     """
-    cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    cut = [v.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     trie, ids = Trie(v), {}
     for word in sorted(set().union(*cut)):
         found = v.known.get(word)

@@ -17,3 +17,12 @@ def spark():
     s = local_session(4, shuffle_partitions=4, app="ledgerlens-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def own_cache():
+    """What a module caches goes with it: Spark would put it into the plans of later modules that read the same tables."""
+    yield
+    from pyspark.sql import SparkSession
+    if session := SparkSession.getActiveSession():
+        session.catalog.clearCache()

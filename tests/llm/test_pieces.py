@@ -129,3 +129,32 @@ def test_names_with_dots_and_clashes(spark, model, monkeypatch):
 def test_models_that_would_not_be_exact_are_refused():
     with pytest.raises(ValueError, match="space mark"):
         P.Vocabulary.from_model(unigram_model([("a▁b", -1.0)], True))
+
+
+def test_words_are_cut_where_no_piece_joins_and_walked_once(model, monkeypatch):
+    """Words that differ only beyond a border that no piece crosses share the stem; ids stay those of the library."""
+    v, sp = P.Vocabulary.from_model(model), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert v.words.findall("▁for.\nWhble▁▁x▁.a▁") == ["▁for", ".\n", "Whble", "▁▁x", "▁.a", "▁"]
+    odd = "".join(ODD) + "it's l'a a-b x_y 3rd f(x).y[0] \"q\"."
+    assert "".join(v.words.findall(odd)) == odd
+    tied = [p for p in v.ids if len(p) > 1 and v.words.findall(p) != [p]]
+    assert tied == [], tied[:5]
+    walked, walk = [], P.Trie.walk
+    monkeypatch.setattr(P.Trie, "walk", lambda trie, word: (walked.append(word), walk(trie, word))[1])
+    stems = ["▁forblety", "▁Whble", "▁inter"]
+    texts = [" ".join(f"{stem[1:]}{end}" for stem in stems for end in ("", ".", ",", "\nEd", ".\nThe", "é\n", "\n\n", "🎉x", "\x00."))] * 2
+    assert ids_of(v, texts) == sp.encode(texts)
+    assert len(walked) == len(set(walked)) and sum(w in stems for w in walked) == 3 and not any(w[:-1] in stems and w.endswith(".") for w in walked)
+
+
+def test_one_look_up_a_code_point_finds_the_pieces_that_end_there(model):
+    v = P.Vocabulary.from_model(model)
+    usable = {p for p in v.ids if v.merge(p) == [p]}
+    for word in ["▁international", "▁(\"x\")", "▁ßß日本", "....", "▁▁▁▁▁a"]:
+        state = v.start
+        for end in range(1, len(word) + 1):
+            while word[end - 1] not in state[0] and state is not v.start:
+                state = state[1]
+            state = state[0].get(word[end - 1], v.start)
+            assert [n for n, _ in state[2]] == [n for n in range(end, 0, -1) if word[end - n:end] in usable]
+            assert all(v.ids[word[end - n:end]] == p for n, p in state[2])
